@@ -130,7 +130,7 @@ THRESHOLD = 0.3
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows scored below threshold; columns as they were. The text is scored in the scan, nothing is joined."""
+    """docs without the rows scored below threshold; columns as they were. The classifier is fitted to labelled rows of docs; texts are scored in the scan, nothing is joined."""
     weights = train(training_rows(docs, labels, "quality", 6000))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
