@@ -17,6 +17,7 @@ two documents share the string only if they share that gram and what surrounds i
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from .common import read_table, shared_path
 
 GRAM = 16
 #: Bytes of text worked on at once; entries held before they are sent; bytes of contexts in a shard.
-PIECE, HELD, SHARD = 1 << 21, 1 << 20, 4 << 20
+PIECE, HELD, SHARD = 1 << 21, 1 << 20, 1 << 20
 BASE, INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 
 
@@ -365,8 +366,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder; the shuffle files it came from can then go."""
     spark, at = df.sparkSession, shared_path(df.sparkSession, what)
     df.write.parquet(at)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    del df
+    for _ in range(2):  # a shuffle's files go when nothing refers to it any more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return spark.read.parquet(at)
 
 
@@ -380,7 +384,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark, span = rows.sparkSession, length - GRAM + 1
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = written(resolved(selected_grams(rows, length, 8 * parts)), "repeat-grams")
-    asked = found.where("gram is not null").groupBy("doc").agg(F.collect_list(F.struct("pos", "gram")).alias("asked"))
+    asked = found.where("gram is not null").groupBy("doc").agg(F.collect_set(F.struct("pos", "gram")).alias("asked"))
 
     def cut_out(batches):
         for b in batches:
@@ -394,7 +398,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     context.append(text[low[-1] : x["pos"] + length])
             yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(doc, pa.int64()), pa.array(low, pa.int64()), pa.array(context, pa.binary())], ["gram", "doc", "low", "context"])
 
-    contexts = rows.join(asked, rows["id"] == asked["doc"]).select("id", "t", "asked").mapInArrow(cut_out, "gram long, doc long, low long, context binary").dropDuplicates(["gram", "doc", "low"])
+    contexts = rows.join(asked, rows["id"] == asked["doc"]).select("id", "t", "asked").mapInArrow(cut_out, "gram long, doc long, low long, context binary")
     near = written(compared(contexts, length, shard_bytes), "repeat-spans")
     whole = found.where("gram is null").select("doc", F.greatest(F.lit(0), F.col("pos") - (span - 1)).alias("start"), (F.col("pos") + length).alias("end"))
     spans = whole.unionByName(near).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
