@@ -28,10 +28,10 @@ GROUP_CHARS = 16 << 20
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, piece_id): as many rows as the vocabulary has, a fixed size, so it may be broadcast."""
+    """(piece, piece_id, cost: the score with its sign turned): as many rows as the vocabulary has, a fixed size, so it may be broadcast."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = [(model.id_to_piece(i), i) for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-    return spark.createDataFrame(rows, "piece string, piece_id int")
+    rows = [(model.id_to_piece(i), i, -model.get_score(i)) for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+    return spark.createDataFrame(rows, "piece string, piece_id int, cost double")
 
 
 def encode_units(units: DataFrame, path: str) -> DataFrame:
@@ -42,9 +42,9 @@ def encode_units(units: DataFrame, path: str) -> DataFrame:
     spans = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("s")))).alias("n"))
     parts = spans.select("unit", "s", (F.col("s") + F.col("n")).alias("e"), F.expr("substring(unit, s + 1, n)").alias("piece"))
     found = parts.join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or e = s + 1")
-    lattice = found.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("piece_id", "s", "e"))).alias("edges"))
+    lattice = found.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("cost", "s", "e", "piece_id"))).alias("edges"))
     joins = F.filter("edges", lambda x: x["e"] > x["s"] + 1)
-    # pieces are numbered by rank; a piece may become whole by a later merge, so the fold goes round twice
+    # in order of score, then from the left; a piece may become whole by a later merge, so the fold goes round twice
     cuts = F.aggregate(
         F.concat(joins, joins),
         F.sequence(F.lit(0), F.length("unit")),

@@ -177,7 +177,7 @@ def read_tokens(spark: SparkSession, at: str, digest: bool = False) -> DataFrame
 def read_document(spark: SparkSession, at: str, doc_id) -> list[list[int]]:
     """The ids of each document of that id; only its own frames are decompressed."""
     dictionary, width = open_dictionary(spark, at)
-    rows = spark.read.parquet(f"{at}/blocks").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).where(F.array_contains("ids", doc_id))
+    rows = spark.read.parquet(f"{at}/blocks").where((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id)).where(F.array_contains("ids", doc_id))
     hits = rows.select(F.explode(F.arrays_zip("ids", "offsets", F.slice(F.concat("offsets", F.array(F.length("frames").cast("long"))), 2, F.size("offsets")).alias("ends"))).alias("x"), "frames").where(F.col("x.ids") == doc_id)
     decompress = zstandard.ZstdDecompressor(**compression(dictionary)).decompress
     return [np.frombuffer(decompress(bytes(r.f)), f"<u{width}").tolist() for r in hits.select(F.expr("substring(frames, cast(x.offsets as int) + 1, cast(x.ends - x.offsets as int))").alias("f")).collect()]
