@@ -1,2 +1,357 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries over the test tables by name, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lettera.functions import native as N
+from lettera.functions import udfs
+from lettera.functions.constants import CHARACTER_FIXES, CORE, GERMANISMS, OLD_MARKS, PALATALS, STOPWORDS
+from lettera.functions.text import PLACE_OF
+from lettera.operators import articles as A
+from lettera.operators import frontier as R
+from lettera.operators import search as S
+from lettera.operators import store as K
+from lettera.operators import urls as U
+from lettera.sources import tables as X
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str = ""):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+TOKENS = r"regexp_extract_all(replace(strip_accents(lower(text)), 'ſ', 's'), '[\p{L}\p{N}]+')"
+
+
+def bm25_sql(groups: list[list[str]], limit: int | None = 20) -> str:
+    terms = list(dict.fromkeys(t for g in groups for t in g))
+    counts = ", ".join(f"len(list_filter(t, lambda x: x = '{t}')) AS f{i}" for i, t in enumerate(terms))
+    stats = ", ".join(f"sum(CASE WHEN f{i} > 0 THEN 1 ELSE 0 END) AS n{i}" for i in range(len(terms)))
+    weight = lambda i: f"(-greatest(ln((n - n{i} + 0.5::DOUBLE) / (n{i} + 0.5::DOUBLE)), 1e-6::DOUBLE) * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / mean)))"
+    match = lambda g: "(" + " AND ".join(f"f{terms.index(t)} > 0" for t in g) + ")"
+    score = " + ".join(f"(CASE WHEN {match(g)} THEN {' + '.join(weight(terms.index(t)) for t in g)} ELSE 0 END)" for g in groups)
+    return f"""WITH w AS (SELECT doc_id, {TOKENS} AS t FROM documents), c AS (SELECT doc_id, len(t) AS d, {counts} FROM w), s AS (SELECT count(*) AS n, avg(d) AS mean, {stats} FROM c),
+r AS (SELECT doc_id, CAST({score} AS DOUBLE) AS score FROM c, s WHERE {" OR ".join(map(match, groups))})
+SELECT doc_id, round(score, 6) AS score FROM r ORDER BY r.score, doc_id {f"LIMIT {limit}" if limit else ""}"""
+
+
+def ranked(spark, sf, groups, limit: int | None = 20):
+    index = S.indexed(table(spark, sf, "documents"), "doc_id", ["text"])
+    return S.search(index, [[[t] for t in g] for g in groups], limit).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(bm25_sql([["the", "nation"]]).replace("nation", "tion"))
+def search_bm25_and(spark, sf):
+    return ranked(spark, sf, [["the", "tion"]])
+
+
+@query(bm25_sql([["the", "with"], ["des", "une"], ["the"]], None))
+def search_or_groups(spark, sf):
+    return ranked(spark, sf, [["the", "with"], ["des", "une"], ["the"]], None)
+
+
+@query(bm25_sql([["und", "der"]], 7))
+def search_topk_stable(spark, sf):
+    return ranked(spark, sf, [["und", "der"]], 7)
+
+
+@query(f"""WITH w AS (SELECT doc_id, {TOKENS} AS t FROM documents), p AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM w)
+SELECT term, doc_id, count(*) AS tf, CAST(min(pos) AS BIGINT) AS first_pos FROM p GROUP BY ALL""")
+def index_postings(spark, sf):
+    return S.postings(S.indexed(table(spark, sf, "documents"), "doc_id", ["text"])).select("term", F.col("id").alias("doc_id"), "tf", F.element_at("positions", 1).cast("long").alias("first_pos"))
+
+
+@query("SELECT doc_id FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the th%' ORDER BY doc_id LIMIT 20")
+def search_like_fallback(spark, sf):
+    d = table(spark, sf, "documents").withColumns({"title": F.lit(""), "raw": F.lit("")})
+    return S.like_fallback(d, "the th", "doc_id", "title", "raw", "text").select("doc_id")
+
+
+@query(f"SELECT r.doc_id, r.score FROM ({bm25_sql([['la']], 20)}) r JOIN documents d USING (doc_id) WHERE d.lang = 'fr'")
+def search_lang_postfilter(spark, sf):
+    hits = F.broadcast(ranked(spark, sf, [["la"]]))
+    return table(spark, sf, "documents").where("lang = 'fr'").select("doc_id").join(hits, "doc_id")
+
+
+@query("""SELECT doc_id, trim(CASE WHEN strpos(lower(text), 'the') > 0 THEN substr(text, greatest(strpos(lower(text), 'the') - 80, 1), 160) ELSE substr(text, 1, 160) END) AS snippet FROM documents""")
+def snippet_window(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", N.snippet(F.col("text"), "the with").alias("snippet"))
+
+
+@query("SELECT doc_id, sha256(strip_accents(lower(text))) AS plain FROM documents")
+def deaccent_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(N.deaccent(F.col("text")), 256).alias("plain"))
+
+
+@query(rf"""WITH w AS (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS w FROM documents)
+SELECT regexp_replace(strip_accents(lower(w)), '^(.{{3,}}?)({N.SUFFIX})$', '\1') AS stem, count(*) AS n FROM w GROUP BY 1""")
+def stem_vocab_counts(spark, sf):
+    # words first, so that each distinct word is stemmed once a task and counts combine before the shuffle
+    w = table(spark, sf, "documents").select(F.explode(N.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return w.groupBy(N.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"))
+
+
+def sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+CLEAN = reduce(lambda x, f: f"replace({x}, {sql_text(f[0])}, {sql_text(f[1])})", CHARACTER_FIXES, "coalesce(text, '')")
+for _p, _by in ((r"(\p{L})[-=¬]\s*\n\s*(\p{L})", r"\1\2"), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+    CLEAN = f"regexp_replace({CLEAN}, {sql_text(_p)}, {sql_text(_by)}, 'g')"
+
+
+@query(f"SELECT doc_id, sha256({CLEAN}) AS cleaned FROM documents")
+def ocr_clean_basic(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(N.clean_ocr(F.col("text")), 256).alias("cleaned"))
+
+
+RULES = reduce(lambda x, r: f"replace({x}, '{r[0]}', '{r[1]}')", [*CORE, *GERMANISMS, *PALATALS], "w")
+
+
+@query(rf"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM documents) SELECT w AS word, {RULES} AS modern FROM w")
+def orthography_rules_words(spark, sf):
+    w = table(spark, sf, "documents").select(F.explode(N.words(F.lower("text"))).alias("word")).distinct()
+    return w.select("word", N.spelling_rules(F.col("word")).alias("modern"))
+
+
+MARKS = [(p.replace("h(?![aeiouāēīū])", "h([^aeiouāēīū]|$)"), w) for p, w in OLD_MARKS]
+WEIGHT = "greatest(" + ", ".join(f"CASE WHEN regexp_matches(w, '{p}') THEN {w}::DOUBLE ELSE 0::DOUBLE END" for p, w in MARKS) + ")"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM documents), x AS (SELECT doc_id, {WEIGHT} AS o, regexp_matches(w, '[āčēģīķļņšūž]') AS m FROM w),
+s AS (SELECT doc_id, sum(o) AS o, sum(CASE WHEN o = 0 AND m THEN 1 ELSE 0 END) AS m FROM x GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(o, 0) = 0 THEN 0::DOUBLE ELSE CAST(round(o / (o + m), 2) AS DOUBLE) END AS old_score FROM documents d LEFT JOIN s USING (doc_id)""")
+def old_score(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.round(N.old_score(F.col("text")), 2).alias("old_score"))
+
+
+def stop_share(lang: str) -> str:
+    return f"count(*) FILTER (w IN ({', '.join(map(sql_text, STOPWORDS[lang]))}))"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM documents),
+s AS (SELECT doc_id, count(*) AS n, CAST({stop_share('lv')} AS DOUBLE) / count(*) + least(0.25::DOUBLE, CAST(count(*) FILTER (regexp_matches(w, '[āčēģīķļņšūž]')) AS DOUBLE) / count(*)) AS lv, CAST({stop_share('de')} AS DOUBLE) / count(*) AS de, CAST({stop_share('et')} AS DOUBLE) / count(*) AS et FROM w GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n IS NULL OR greatest(lv, de, et) < 0.03 THEN 'unknown' WHEN lv >= de AND lv >= et THEN 'lv' WHEN de >= et THEN 'de' ELSE 'et' END AS language, coalesce(round(greatest(lv, de, et), 6), 0) AS score
+FROM documents d LEFT JOIN s USING (doc_id)""")
+def detect_language(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", N.detect_language(F.col("text")).alias("d"))
+    return d.select("doc_id", "d.language", "d.score")
+
+
+@query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) - INTERVAL 200 YEAR AS d FROM orders)
+SELECT o_orderkey, CAST(d + to_days(CASE WHEN d < DATE '1700-03-01' THEN 10 WHEN d < DATE '1800-03-01' THEN 11 WHEN d < DATE '1900-03-01' THEN 12 ELSE 13 END) AS DATE)::VARCHAR AS gregorian FROM d""")
+def gregorian_dates(spark, sf):
+    d = F.add_months(F.to_date("o_orderdate"), -2400)
+    return table(spark, sf, "orders").select("o_orderkey", N.julian_to_gregorian(d).cast("string").alias("gregorian"))
+
+
+@query(r"""WITH e AS (SELECT event_id, strftime(ts, 'seen %Y-%-m-%-d') AS s FROM events)
+SELECT event_id, regexp_extract(s, '(\d{4})-', 1) || '-' || lpad(regexp_extract(s, '-(\d+)-', 1), 2, '0') || '-' || lpad(regexp_extract(s, '-(\d+)$', 1), 2, '0') AS guessed FROM e""")
+def parse_dates_main(spark, sf):
+    s = F.concat(F.lit("seen "), F.date_format("ts", "yyyy-M-d"))
+    return table(spark, sf, "events").select("event_id", N.guess_date(s).alias("guessed"))
+
+
+PLACE_ROWS = sorted((n, m) for n, m in PLACE_OF.items() if n.isalpha())
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{{L}}+')) AS w FROM documents), p(name, modern) AS (VALUES {", ".join(f"({sql_text(a)}, {sql_text(b)})" for a, b in PLACE_ROWS)})
+SELECT doc_id, modern, count(*) AS n FROM w JOIN p ON strip_accents(lower(w)) = name GROUP BY ALL""")
+def place_hits(spark, sf):
+    places = F.broadcast(spark.createDataFrame(PLACE_ROWS, "name string, modern string"))  # a fixed table
+    w = table(spark, sf, "documents").select("doc_id", F.explode(N.words(F.col("text"))).alias("w"))
+    return w.join(places, N.deaccent(F.col("w")) == F.col("name")).groupBy("doc_id", "modern").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS n FROM documents")
+def sentence_split_count(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(F.split("text", r"(?<=[.!?])\s+")).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, substr(sha1(concat_ws('|', nullif(source, ''), nullif(lang, ''), CAST(doc_id AS VARCHAR), substr(text, 1, 60))), 1, 20) AS id FROM documents")
+def doc_id_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", N.document_id(F.col("source"), F.col("lang"), F.col("doc_id").cast("string"), F.substring("text", 1, 60)).alias("id"))
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source LIKE '%rc1%' AND source >= 'src1' AND source <= 'src15' ORDER BY source NULLS FIRST, doc_id LIMIT 50 OFFSET 5")
+def find_documents(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.col("source").alias("date"), F.col("source").alias("publication"))
+    found = K.find_documents(d, publication="RC1", date_from="src1", date_to="src15", language="en", offset=5, order=("date", "doc_id"))
+    return found.select("doc_id", F.col("language").alias("lang"), F.col("publication").alias("source"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id = 17")
+def get_document(spark, sf):
+    return table(spark, sf, "documents").where("doc_id = 17").select("doc_id", "n_chars")
+
+
+@query("SELECT 'lang' AS key, coalesce(nullif(lang, ''), '?') AS value, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'source', coalesce(nullif(source, ''), '?'), count(*) FROM documents GROUP BY ALL")
+def stats_groups(spark, sf):
+    return K.group_counts(table(spark, sf, "documents"), "lang", "source")
+
+
+@query("SELECT count(*) AS documents, count(DISTINCT nullif(source, '')) AS issues, min(nullif(source, '')) AS first_date, max(nullif(source, '')) AS last_date FROM documents")
+def stats_totals(spark, sf):
+    return K.totals(table(spark, sf, "documents"), "source", "source")
+
+
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM (SELECT DISTINCT * FROM conversations)) WHERE n = 1")
+def upsert_latest(spark, sf):
+    return K.latest(table(spark, sf, "conversations"), "conv_id", "turn")
+
+
+@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=.(\w+)', 1) AS lang FROM pages")
+def page_title_lang(spark, sf):
+    h = F.col("html")
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(h, r"<html lang=.(\w+)", 1).alias("lang"))
+
+
+@query()
+def page_parse(spark, sf):
+    return X.html_rows(table(spark, sf, "pages"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(trim(url), '^(?i)(https?)://([^/?#:]+)(:\d+)?([^?#]*)(\?[^#]*)?(#.*)?$', ['s', 'h', 'p', 'path', 'q', 'f']) AS u FROM pages),
+q AS (SELECT page_id, u, list_filter(string_split(substr(u.q, 2), '&'), lambda x: x <> '' AND NOT lower(split_part(x, '=', 1)) IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid')) AS k FROM p)
+SELECT page_id, lower(u.s) || '://' || lower(u.h) || CASE WHEN (lower(u.s) = 'http' AND u.p = ':80') OR (lower(u.s) = 'https' AND u.p = ':443') THEN '' ELSE u.p END || regexp_replace(CASE WHEN u.path = '' THEN '/' ELSE u.path END, '/{2,}', '/', 'g') || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END || u.f AS url FROM q""")
+def url_normalize(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.normalize_url(F.col("url")).alias("url"))
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, NOT regexp_matches(url, '(?i)/de/') AS in_scope,
+(CASE WHEN regexp_matches(url, '(?i)/en/') THEN 10 ELSE 0 END) + (CASE WHEN regexp_matches(url, '(?i)page=') THEN 10 ELSE 0 END) + (CASE WHEN lower(url) LIKE '%.xml' THEN 5 ELSE 0 END) AS priority FROM pages""")
+def url_scope_priority(spark, sf):
+    p = table(spark, sf, "pages")
+    u = F.col("url")
+    h = U.host(u)
+    return p.select("page_id", h.alias("host"), (~u.rlike("(?i)/de/")).alias("in_scope"), U.priority(u, ["/en/", "page="]).alias("priority"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '/([a-z]{2})/\d+', 1) AS issue_id, regexp_extract(url, '/[a-z]{2}/(\d+)', 1) AS article_id, TRY_CAST(nullif(regexp_extract(url, 'page=(\d+)', 1), '') AS INTEGER) AS page FROM pages")
+def url_ids(spark, sf):
+    ids = U.ids_from_url(F.col("url"), [r"/([a-z]{2})/\d+"], [r"/[a-z]{2}/(\d+)"], [r"page=(\d+)"])
+    return table(spark, sf, "pages").select("page_id", ids.alias("i")).select("page_id", "i.issue_id", "i.article_id", "i.page")
+
+
+@query(r"""WITH t AS (SELECT url, regexp_extract(url, '^([a-z]+://[^/?#]+)([^?#]*?)(\d+)([^\d?#]*)([?#].*)?$', ['a', 'b', 'n', 'c', 'd']) AS m FROM pages)
+SELECT CASE WHEN m.n = '' THEN url ELSE m.a || m.b || CASE WHEN len(m.n) > 1 AND m.n LIKE '0%' THEN '{n:0' || len(m.n) || 'd}' ELSE '{n}' END || m.c || m.d END AS template, count(*) AS n, min(url) AS example FROM t GROUP BY 1""")
+def url_templates(spark, sf):
+    return U.templates(table(spark, sf, "pages"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_fields(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+def as_frontier(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").otherwise("pending")
+    return e.select(F.concat(F.lit("http://x/"), F.col("event_id")).alias("url"), (F.col("user_id") % 5).cast("int").alias("depth"), (F.col("user_id") % 7).cast("int").alias("priority"), state.alias("state"), F.lit("").alias("discovered_from"), F.lit(0).alias("attempts"), F.col("event_id").alias("seq"))
+
+
+FRONTIER = "(SELECT 'http://x/' || event_id AS url, CAST(user_id % 5 AS INTEGER) AS depth, CAST(user_id % 7 AS INTEGER) AS priority, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'pending' END AS state, 0 AS attempts, event_id AS seq FROM events)"
+
+
+@query(f"SELECT url, 'active' AS state, 1 AS attempts FROM {FRONTIER} WHERE state = 'pending' ORDER BY priority DESC, depth, seq LIMIT 32")
+def frontier_claim(spark, sf):
+    return R.claim(as_frontier(spark, sf), 32).where("state = 'active'").select("url", "state", "attempts")
+
+
+@query(f"SELECT state, count(*) AS n FROM {FRONTIER} GROUP BY state")
+def frontier_counts(spark, sf):
+    return R.counts(as_frontier(spark, sf))
+
+
+@query(f"""WITH f AS (SELECT url FROM {FRONTIER}), n AS (SELECT 'http://x/' || (user_id * 300) AS url, CAST(min(event_id) AS BIGINT) AS seq FROM events GROUP BY 1)
+SELECT url, seq, 'pending' AS state FROM n WHERE url NOT IN (SELECT url FROM f)""")
+def frontier_insert_ignore(spark, sf):
+    found = table(spark, sf, "events").select(F.concat(F.lit("http://x/"), F.col("user_id") * 300).alias("url"), F.lit(1).alias("depth"), F.lit(0).alias("priority"), F.lit("http://x/").alias("discovered_from"), F.col("event_id").alias("seq"))
+    known = as_frontier(spark, sf)
+    return R.add_urls(known, found).where("depth = 1 and discovered_from = 'http://x/'").select("url", "seq", "state")
+
+
+def line_blocks(spark, sf) -> DataFrame:
+    """Lines of documents as blocks of pages."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return lines.select(F.col("doc_id").alias("page_id"), "pos", F.concat(F.lit("B"), "pos").alias("block_id"), "text", F.col("doc_id").cast("int").alias("page_number"), (F.col("pos") % 10 / 10.0).alias("confidence"))
+
+
+@query("""WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
+SELECT doc_id AS div_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY pos)) AS text_sha256, round(avg((pos % 10) / 10.0::DOUBLE), 6) AS confidence FROM b WHERE pos BETWEEN 1 AND 3 AND trim(t) <> '' AND doc_id IN (SELECT doc_id FROM b WHERE pos = 3) GROUP BY doc_id""")
+def articles_from_blocks(spark, sf):
+    blocks = line_blocks(spark, sf)
+    areas = blocks.where("pos = 3").select(F.col("page_id").alias("div_id"), "page_id", F.lit(0).alias("area_id"), F.lit("B3").alias("begin"), F.lit("B1").alias("end"))
+    got = A.assemble(A.area_blocks(areas, blocks))
+    return got.select("div_id", F.sha2("text", 256).alias("text_sha256"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS page_id, l_linenumber AS pos, CAST(l_partkey % 1000 AS INTEGER) AS hpos, CAST(l_suppkey % 100 AS INTEGER) AS vpos, CAST(200 + l_quantity AS INTEGER) AS width FROM lineitem),
+s AS (SELECT page_id, list_sort(list(width)) AS w FROM b GROUP BY page_id), c AS (SELECT page_id, greatest(floor(1000.0 / least(greatest(round_even(1000.0 / w[CAST(floor(len(w) / 2.0) AS INTEGER) + 1], 0), 1), 12)), 1) AS cw FROM s)
+SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY floor(hpos / cw), vpos, hpos, pos) AS reading_pos FROM b JOIN c USING (page_id)""")
+def reading_order(spark, sf):
+    b = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 1000).cast("int").alias("hpos"), (F.col("l_suppkey") % 100).cast("int").alias("vpos"), (200 + F.col("l_quantity")).cast("int").alias("width"), F.lit(1000).alias("page_width"))
+    return A.column_order(b).select("page_id", "pos", F.col("reading_pos").cast("long").alias("reading_pos"))
+
+
+@query("WITH l AS (SELECT l_orderkey, l_suppkey, l_linenumber, avg(l_discount) AS c FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey, l_suppkey, avg(c) AS c FROM l GROUP BY ALL) SELECT l_orderkey AS page_id, round(avg(c), 6) AS confidence FROM b GROUP BY ALL")
+def page_confidence(spark, sf):
+    s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_suppkey").alias("block_id"), F.col("l_linenumber").alias("line_id"), F.col("l_discount").alias("confidence"))
+    return A.page_confidence(s).select("page_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT doc_id, text_hash FROM (SELECT doc_id, sha256(text) AS text_hash, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def dedupe_first_wins(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash"))
+    return d.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text_hash")
+
+
+@query(r"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents) SELECT w AS word, levenshtein(w, 'therefore') AS distance FROM w WHERE regexp_full_match(w, '[a-z]+') AND levenshtein(w, 'therefore') <= 4")
+def levenshtein_near(spark, sf):
+    w = table(spark, sf, "documents").select(F.explode(N.words(F.lower("text"))).alias("word")).distinct()
+    w = w.where(F.col("word").rlike("^[a-z]+$"))  # the oracle counts bytes
+    return w.withColumn("distance", F.levenshtein("word", F.lit("therefore")).cast("long")).where("distance <= 4")
+
+
+def spelled(name: str):
+    def run(spark, sf):
+        return table(spark, sf, "documents").select("doc_id", F.sha2(udfs.functions()[name](F.col("text")), 256).alias("result"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+
+
+for _name in ("old_to_modern", "fold_text", "normalize_lv"):
+    spelled(_name)
+
+
+@query()
+def analyze_articles(spark, sf):
+    a = table(spark, sf, "documents").select("doc_id", udfs.functions()["analyze_article"](F.col("text")).alias("a"))
+    return a.select("doc_id", "a.language", "a.orthography", "a.old_score", "a.date")
+
+
+@query()
+def parse_dates_full(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", udfs.functions()["parse_date"](F.substring("text", 1, 400)).alias("d")).select("doc_id", "d.date", "d.calendar")
+
+
+@query()
+def sentences(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(udfs.functions()["split_sentences"](F.col("text"))).alias("n"))
