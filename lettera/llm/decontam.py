@@ -72,19 +72,19 @@ class WuManber:
             i += 1
 
 
-def windows(items: Iterable[tuple[object, str | None]], window: int) -> Iterator[tuple[tuple[bytes, ...], str]]:
+def windows(items: Iterable[tuple[object, str | None]], window: int, short_items: bool) -> Iterator[tuple[tuple[bytes, ...], str]]:
     for item, text in items:
         w = words_of(text)
-        if item is not None and w:
+        if item is not None and w and (short_items or len(w) >= window):
             for at in range(max(1, len(w) - window + 1)):
                 yield tuple(w[at : at + window]), str(item)
 
 
-def pattern_blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[list[WuManber]]:
+def pattern_blocks(benchmark: DataFrame, window: int, most: int, short_items: bool = True) -> Iterator[list[WuManber]]:
     """Searchers for at most `most` windows at a time, so that what is broadcast at once is bounded."""
     held: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
     n = 0
-    for p, item in windows(((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()), window):
+    for p, item in windows(((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()), window, short_items):
         held.setdefault(len(p), {}).setdefault(p, set()).add(item)
         n += 1
         if n >= most:
@@ -104,18 +104,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_windows: int = 250_000) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_windows: int = 250_000, short_items: bool = True) -> DataFrame:
     """docs with three columns more: n_words, hit_spans (array of [start, end) word spans, merged), hit_items (sorted item ids).
 
     Windows of `window` consecutive words of an item occur in a document's words; an item of fewer,
-    but not none, is one window. Null or wordless texts have no words and no
+    but not none, is one window, unless short_items is off. Null or wordless texts have no words and no
     hits; null item ids and wordless items are left out; items repeated under one id count
     once. Columns of docs with the names of the new ones are replaced. Nothing is
     shuffled: each block of benchmark windows is broadcast and takes one pass over the texts.
     """
     names = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items")]
     rows = docs.select(names).withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.expr("cast(array() as array<struct<start: long, end: long>>)"), "hit_items": F.expr("cast(array() as array<string>)")})
-    for k, block in enumerate([None, *pattern_blocks(benchmark, window, block_windows)][1:] or [[]]):
+    for k, block in enumerate([None, *pattern_blocks(benchmark, window, block_windows, short_items)][1:] or [[]]):
         rows = one_pass(checkpointed(rows) if k else rows, block)
     return rows
 
@@ -147,9 +147,12 @@ def one_pass(rows: DataFrame, block: list[WuManber]) -> DataFrame:
 LEAST_ITEMS = 2
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = LEAST_ITEMS) -> DataFrame:
-    """docs without the rows in which windows of least_items or more items occur; columns as they were."""
-    return occurrences(docs, benchmark).where(F.size("hit_items") < least_items).select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:
+    """docs without the rows in which windows of least_items or more items occur; columns as they were.
+
+    Only whole windows count: an item of a few words may stand in a clean document by chance, a passage of eight does not.
+    """
+    return occurrences(docs, benchmark, short_items=False).where(F.size("hit_items") < least_items).select(docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
