@@ -26,7 +26,8 @@ from tokenizers import Tokenizer
 
 from .common import read_table, shared_path
 
-CACHE, BLOCK_BYTES, LEVEL = 400_000, 4 << 20, 3
+CACHE, BLOCK_BYTES, LEVEL = 1_000_000, 4 << 20, 3
+MARK = b"\x1e"
 
 
 def worker_cache(name: str, make):
@@ -47,28 +48,43 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.mark = self.ids(MARK.decode())[0]
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
+    def learn(self, texts: list[str | None]) -> None:
+        """Remembers the words of the texts. Those not met before are encoded together, with a mark between them that no other character's ids contain."""
+        words = set().union(*((t or "").encode().split() for t in texts))
+        if len(self.known) > CACHE:
+            self.known.clear()
+        fresh, kind = list(words.difference(self.known)), f"<u{self.width}"
+        plain = [w for w in fresh if MARK not in w]
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = np.array(self.ids(" " + (b" " + MARK + b" ").join(some).decode() + f" {MARK.decode()}"), np.int64)
+            ends = np.flatnonzero(ids == self.mark)
+            if len(self.ids(MARK.decode())) != 1 or len(ends) != len(some):
+                self.known.update((w, np.array(self.ids(w.decode()), kind).tobytes()) for w in some)
+                continue
+            raw = ids.astype(kind).tobytes()
+            for w, x, y in zip(some, np.concatenate(([0], ends[:-1] + 1)).tolist(), ends.tolist()):
+                self.known[w] = raw[x * self.width : y * self.width]
+        self.known.update((w, np.array(self.ids(w.decode()), kind).tobytes()) for w in fresh if MARK in w)
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian integers of self.width bytes."""
-        words = (text or "").encode().split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            fresh = list(set(words).difference(self.known))
-            kind = f"<u{self.width}"
-            for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, kind).tobytes()
-            return b"".join(map(self.known.__getitem__, words))
+        """The ids of a text whose words are known, as little-endian integers of self.width bytes."""
+        return b"".join(map(self.known.__getitem__, (text or "").encode().split()))
 
 
 def train_dictionary(docs: DataFrame, path: str, sample: int, size: int) -> bytes:
     """A zstandard dictionary from the ids of at most `sample` documents, those of least id hash; empty if they are too few."""
     rows = docs.select("id", "t").orderBy(F.xxhash64("id"), "id", "t").limit(sample)
     encoder = WordEncoder(path)
-    found = [encoder.encode(r.t) for r in rows.select("t").collect()]
+    texts = [r.t for r in rows.select("t").collect()]
+    encoder.learn(texts)
+    found = list(map(encoder.encode, texts))
     try:
         return zstandard.train_dictionary(size, [x for x in found if x]).as_bytes()
     except zstandard.ZstdError:
@@ -109,6 +125,7 @@ def write_tokens(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
         id_type = pa.int64()
         for b in batches:
             id_type = b.schema.field("id").type
+            encoder.learn(b["t"].to_pylist())
             for i, t in zip(b["id"], b["t"]):
                 raw = encoder.encode(t.as_py()) + end
                 ids.append(i.as_py())
