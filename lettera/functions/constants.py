@@ -47,7 +47,7 @@ STOPWORDS = {
 MONTHS = [("janva", 1), ("febru", 2), ("mart", 3), ("april", 4), ("maij", 5), ("junij", 6), ("julij", 7), ("augus", 8), ("septe", 9), ("oktob", 10), ("novem", 11), ("decem", 12), ("janwa", 1), ("mahrt", 3), ("nowem", 11), ("dezem", 12)]
 FOLK_MONTHS = [("ziemas", [1, 12]), ("svecu", [2, 1]), ("sersnu", [3]), ("sulu", [4]), ("lapu", [5]), ("ziedu", [6, 5]), ("siena", [7]), ("rudzu", [8]), ("silu", [9]), ("velu", [10, 11]), ("salnu", [11]), ("vilku", [12])]
 
-# Places by modern name, with names of the time.
+# Places by modern name, with names of the time; _ stands for a blank within a name.
 PLACES = {
     "Rīga": "Riga Rihga Рига", "Jelgava": "Mitau Jelgawa Митава", "Liepāja": "Libau Leepaja Либава", "Ventspils": "Windau Wentspils Виндава", "Kuldīga": "Goldingen Kuldiga Гольдинген",
     "Aizpute": "Hasenpoth Aispute Газенпот", "Grobiņa": "Grobin Grobina", "Tukums": "Tuckum Tukkums Туккум", "Talsi": "Talsen Talsi", "Kandava": "Kandau Kandawa", "Sabile": "Zabeln Sabile",
@@ -58,7 +58,7 @@ PLACES = {
     "Ķemeri": "Kemmern Kjemeri", "Alūksne": "Marienburg Aluhksne Мариенбург", "Gulbene": "Schwanenburg Gulbene", "Madona": "Modohn Madona", "Cesvaine": "Sesswegen Zeswaine", "Smiltene": "Smilten Smiltene",
     "Salaspils": "Kirchholm Salaspils", "Vidzeme": "Livland Lifland Widseme Лифляндия", "Kurzeme": "Kurland Kurseme Курляндия", "Zemgale": "Semgallen Semgale", "Latgale": "Latgola Inflantija Инфлянты",
     "Sēlija": "Selonien Sehlija", "Igaunija": "Estland Igaunija Эстляндия", "Tartu": "Dorpat Terbata Юрьев Дерпт", "Tallina": "Reval Rewele Ревель", "Pērnava": "Pernau Pernawa Пернов", "Viļņa": "Wilna Wilna Вильно",
-    "Sanktpēterburga": "St. Petersburg Petersburga Pehterburga Петербургъ",
+    "Sanktpēterburga": "St._Petersburg Petersburga Pehterburga Петербургъ",
 }
 
 # Abbreviations after which a full stop ends no sentence.
