@@ -24,21 +24,36 @@ RUN = re.compile(rb"(.)\1+", re.S)
 SHAPES = bytes(0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x41 if 0x41 <= b <= 0x5A else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 
 
-def word_hashes(word: bytes) -> tuple[int, int, int]:
-    """Hashes of the word in lower case, of its shape with runs squeezed, and of its last two bytes."""
-    shape = word.translate(SHAPES)
-    return zlib.crc32(word.lower()), zlib.crc32(b"\0" + RUN.sub(rb"\1", shape)), zlib.crc32(b"\1" + word[-2:])
+class Memo(dict):
+    """Values of a function by its argument, kept until there are too many."""
 
+    def __init__(self, of):
+        self.of = of
 
-def features(text: str | None, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    def __missing__(self, key):
+        if len(self) > CACHE:
+            self.clear()
+        self[key] = value = self.of(key)
+        return value
+
+
+class Hashes:
+    """Hashes of the words of a text in lower case, of their shapes with runs squeezed, and of their last two bytes. Shapes and ends are few, and remembered."""
+
+    def __init__(self):
+        self.shapes, self.ends = Memo(lambda s: zlib.crc32(b"\0" + RUN.sub(rb"\1", s))), Memo(lambda e: zlib.crc32(b"\1" + e))
+
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = text.split()
+        n = len(words)
+        word = np.fromiter(map(zlib.crc32, text.lower().split()), np.uint64, n)
+        shape = np.fromiter(map(self.shapes.__getitem__, text.translate(SHAPES).split()), np.uint64, n)
+        return word, shape, np.fromiter(map(self.ends.__getitem__, [w[-2:] for w in words]), np.uint64, n)
+
+
+def features(text: str | None, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Feature indices of a whole text and their values, of Euclidean length 1. Index 0 is the constant."""
-    words = (text or "").encode().split()
-    if len(cache) > CACHE:
-        cache.clear()
-    for w in set(words).difference(cache):
-        cache[w] = word_hashes(w)
-    found = np.array([cache[w] for w in words], np.uint64).reshape(-1, 3)
-    word, shape, end = found[:, 0], found[:, 1], found[:, 2]
+    word, shape, end = hashes((text or "").encode())
     pair = lambda a, salt: (a[:-1] * np.uint64(0x9E3779B1) + a[1:] * np.uint64(0x85EBCA77) + np.uint64(salt)) >> np.uint64(7)
     groups = [word, shape, end, pair(word, 1), pair(shape, 2)]
     where, value = [np.zeros(1, np.int64)], [np.array([1.0])]
@@ -49,8 +64,8 @@ def features(text: str | None, cache: dict) -> tuple[np.ndarray, np.ndarray]:
             where.append(index)
             value.append(v / np.sqrt((v * v).sum()))
     # n-grams told apart only by whether the text had them before: shares of words like the last one, of words, and of bigrams met again
-    n, last = max(len(words), 1), 1 << BITS
-    again = [(word[1:] == word[:-1]).sum() / n, 1 - len(where[1]) / n if len(words) else 0, 1 - len(where[4]) / n if len(words) > 1 else 0]
+    n, last = max(len(word), 1), 1 << BITS
+    again = [(word[1:] == word[:-1]).sum() / n, 1 - len(where[1]) / n if len(word) else 0, 1 - len(where[4]) / n if len(word) > 1 else 0]
     index = np.concatenate([*where, [last], [last + 1 + 11 * i + int(10 * x) for i, x in enumerate(again)]])
     return index.astype(np.int64), np.concatenate([*value, [min(np.log1p(n), 16) / 16, 1.0, 1.0, 1.0]])
 
@@ -79,8 +94,8 @@ class Ftrl:
 
 def train(rows: list[tuple[str | None, int]], epochs: int = 3) -> np.ndarray:
     """Dense weights; rows in the order given, in each epoch."""
-    model, cache = Ftrl(SIZE), {}
-    ready = [(*features(t, cache), y) for t, y in rows]
+    model, hashes = Ftrl(SIZE), Hashes()
+    ready = [(*features(t, hashes), y) for t, y in rows]
     for _ in range(epochs):
         for index, value, y in ready:
             model.update(index, value, y)
@@ -104,11 +119,11 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     shared = spark.sparkContext.broadcast(weights)  # 2^18 floats: 1 MB at any size of the corpus
 
     def run(batches):
-        w, cache = shared.value, {}
+        w, hashes = shared.value, Hashes()
         for b in batches:
             out = []
             for t in b["t"]:
-                index, value = features(t.as_py(), cache)
+                index, value = features(t.as_py(), hashes)
                 out.append(1 / (1 + np.exp(-float(w[index] @ value))))
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(out, pa.float64())], ["id", "score"])
 
@@ -135,11 +150,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        w, cache = shared.value, {}
+        w, hashes = shared.value, Hashes()
         for b in batches:
             good = []
             for t in b["text"]:
-                index, value = features(t.as_py(), cache)
+                index, value = features(t.as_py(), hashes)
                 good.append(1 / (1 + np.exp(-float(w[index] @ value))) >= threshold)
             yield b.filter(pa.array(good, pa.bool_()))
 

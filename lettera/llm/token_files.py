@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import sys
 import types
 import zlib
@@ -22,12 +23,17 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .common import read_table, shared_path
 
 CACHE, BLOCK_BYTES, LEVEL = 1_000_000, 4 << 20, 3
-MARK = b"\x1e"
+#: Texts are looked through in runs of about so many characters.
+RUN_CHARS = 1 << 20
+#: Words of printable ASCII and Latin-1 letters: of these the pre-tokens are known from a pattern, the file's own for such characters.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+SPECIAL = "<|"
 
 
 def worker_cache(name: str, make):
@@ -39,52 +45,71 @@ def worker_cache(name: str, make):
 
 
 class WordEncoder:
-    """Encodes texts word by word with a memory of words.
+    """Encodes texts word by word with a memory of words and of their pieces.
 
     The tokenizer drops white space and no token crosses it, so the ids of a text
     are those of its ASCII-blank-separated words in turn; other white space stays inside a word and is left to the library.
+    A plain word is lower-cased and cut into pre-tokens here, and pre-tokens not met before are
+    encoded together by the library's byte-pair model; any other word goes through the whole of the library's tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.mark = self.ids(MARK.decode())[0]
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-
-    def learn(self, texts: list[str | None]) -> None:
-        """Remembers the words of the texts. Those not met before are encoded together, with a mark between them that no other character's ids contain."""
-        words = set().union(*((t or "").encode().split() for t in texts))
-        if len(self.known) > CACHE:
-            self.known.clear()
-        fresh, kind = list(words.difference(self.known)), f"<u{self.width}"
-        plain = [w for w in fresh if MARK not in w]
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = np.array(self.ids(" " + (b" " + MARK + b" ").join(some).decode() + f" {MARK.decode()}"), np.int64)
-            ends = np.flatnonzero(ids == self.mark)
-            if len(self.ids(MARK.decode())) != 1 or len(ends) != len(some):
-                self.known.update((w, np.array(self.ids(w.decode()), kind).tobytes()) for w in some)
-                continue
-            raw = ids.astype(kind).tobytes()
-            for w, x, y in zip(some, np.concatenate(([0], ends[:-1] + 1)).tolist(), ends.tolist()):
-                self.known[w] = raw[x * self.width : y * self.width]
-        self.known.update((w, np.array(self.ids(w.decode()), kind).tobytes()) for w in fresh if MARK in w)
-
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text whose words are known, as little-endian integers of self.width bytes."""
-        return b"".join(map(self.known.__getitem__, (text or "").encode().split()))
+        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.width = 2 if len(self.ends) <= 1 << 16 else 4
+        self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}").tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remembers words not met before."""
+        plain: dict[bytes, list[str]] = {}
+        for w in words:
+            t = w.decode()
+            if PLAIN.fullmatch(t) and SPECIAL not in t:
+                plain[w] = PIECE.findall(t.lower())
+            else:
+                self.known[w] = self.ids(t)
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        fresh = list(set().union(*plain.values()).difference(self.pieces))
+        for at in range(0, len(fresh), 1000):
+            some = fresh[at : at + 1000]
+            ids = np.array(self.model.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width  # a pre-token's last token alone ends a word
+            if len(ends) != len(some):
+                raise ValueError("tokens do not tell where a word ends")
+            raw = ids.astype(f"<u{self.width}").tobytes()
+            self.pieces.update((p, raw[x:y]) for p, x, y in zip(some, [0, *ends[:-1].tolist()], ends.tolist()))
+        of = self.pieces.__getitem__
+        self.known.update((w, of(p[0]) if len(p) == 1 else b"".join(map(of, p))) for w, p in plain.items())
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as little-endian integers of self.width bytes."""
+        out, at = [], 0
+        while at < len(texts):
+            run, chars = [], 0
+            while at < len(texts) and chars < RUN_CHARS:
+                run.append((texts[at] or "").encode().split())
+                chars, at = chars + len(texts[at] or ""), at + 1
+            if len(self.known) > CACHE:
+                self.known.clear()
+            self.learn(set().union(*run).difference(self.known))
+            out += [b"".join(map(self.known.__getitem__, words)) for words in run]
+        return out
 
 
 def train_dictionary(docs: DataFrame, path: str, sample: int, size: int) -> bytes:
     """A zstandard dictionary from the ids of at most `sample` documents, those of least id hash; empty if they are too few."""
     rows = docs.select("id", "t").orderBy(F.xxhash64("id"), "id", "t").limit(sample)
-    encoder = WordEncoder(path)
-    texts = [r.t for r in rows.select("t").collect()]
-    encoder.learn(texts)
-    found = list(map(encoder.encode, texts))
+    found = WordEncoder(path).encode([r.t for r in rows.select("t").collect()])
     try:
         return zstandard.train_dictionary(size, [x for x in found if x]).as_bytes()
     except zstandard.ZstdError:
@@ -125,10 +150,9 @@ def write_tokens(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
         id_type = pa.int64()
         for b in batches:
             id_type = b.schema.field("id").type
-            encoder.learn(b["t"].to_pylist())
-            for i, t in zip(b["id"], b["t"]):
-                raw = encoder.encode(t.as_py()) + end
-                ids.append(i.as_py())
+            for i, raw in zip(b["id"].to_pylist(), encoder.encode(b["t"].to_pylist())):
+                raw += end
+                ids.append(i)
                 counts.append(len(raw) // width)
                 offsets.append(held)
                 frames.append(compress(raw))
