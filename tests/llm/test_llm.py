@@ -248,3 +248,17 @@ def test_pipeline(spark):
     assert kept.columns == docs.columns and kept.count() == docs.select(F.regexp_replace("text", r"\s+", " ")).distinct().count()
     out = P.run(spark, SF)
     assert out.columns == ["doc_id", "n_ids", "ids"] and 0 < out.count() <= kept.count()
+
+
+def test_word_encoder_equals_the_library():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lettera.llm.token_files import WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", "it's I'LL don't 'sx .'s \"'s ''s", "<|endoftext|> a<|startoftext|>b <|x|>", "Œuvre ΣΑΣ ß ẞ É É ½ ª µ × ÷ \x1eb \x85 a\xa0b 東京 İi", "1234 a1b2 _x_", "​😀👍🏽 don’t", "x" * 3000]
+    whole = Tokenizer.from_file(path)
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in WordEncoder(path).encode(texts)] == want
