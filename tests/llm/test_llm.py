@@ -227,6 +227,30 @@ def test_near_copies(spark, odd):
     assert kept.columns == odd.columns and {1, 3, 5, 8, 9, None} <= {r.doc_id for r in kept.collect()}
 
 
+def test_near_copies_against_brute_force(spark, docs):
+    from lettera.llm.near_copies import near_copies
+
+    rng = np.random.default_rng(3)
+    texts = [t.split() for t in docs.text if 120 < len(t.split()) < 600][:40]
+    rows = [(100 * k, w) for k, w in enumerate(texts)]
+    for k, w in enumerate(texts):
+        other = texts[(k + 7) % len(texts)]
+        for c, share in enumerate((0.05, 0.1, 0.15, 0.2, 0.3)):
+            n = int(share * len(w))
+            at = int(rng.integers(0, len(w) - n))
+            swapped = list(w)
+            for p in rng.choice(len(w), max(1, n // 10), replace=False):
+                swapped[p] = f"new{p}"
+            rows += [(100 * k + 10 + c, w + other[:n]), (100 * k + 20 + c, w[:at] + w[at + n :]), (100 * k + 30 + c, swapped)]
+    # many copies of one text, which fill its anchors, and one that is only near to some of them
+    rows += [(9000 + c, [f"v{c}" if i == 3 * c else f"w{i}" for i in range(300)]) for c in range(60)]
+    sets = {i: {tuple(x.lower() for x in w[p : p + 5]) for p in range(len(w) - 4)} for i, w in rows}
+    ids = sorted(sets)
+    want = components(ids, [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9])
+    got = near_copies(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 @pytest.mark.parametrize("op", ["quality", "lang", "licenses", "exact", "simhash", "repeats", "decontam", "pieces"])
 def test_odd_and_empty_tables(spark, odd, op):
     from lettera.llm import decontam, exact_dedup, langid, license_scan, quality, sentence_pieces, simhash, suffix_dedup
