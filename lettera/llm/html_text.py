@@ -160,10 +160,8 @@ def content(root: Node) -> list[Node]:
     up = best
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
-    if up is not None:  # the page itself says where the article begins and ends
-        return [up]
-    if articles := [n for n in nodes if n.tag == "article"]:
-        return [max(articles, key=lambda n: n.total)]
+    if up is not None:  # the page itself says how far the text around the best subtree goes
+        best = up
     found, todo = [], [body]
     while todo:
         n = todo.pop()

@@ -208,6 +208,20 @@ def test_html():
     assert main_text(f"<body><div><a href=1>a</a> <a href=2>b</a></div><div><h1>T</h1><div><p>{long}</p><p>{long}</p></div></div>") == f"T\n{long.strip()}\n{long.strip()}"
 
 
+def test_html_text_outside_and_across_articles():
+    from lettera.llm.html_text import main_text
+
+    def words(w, n):
+        return " ".join([w] * n)
+
+    nav, long, other = "<nav><a href=1>x</a></nav>", [words("aaa", 80), words("bbb", 70)], [words("ccc", 60), words("ddd", 50)]
+    paragraphs, more = ("".join(f"<p>{t}</p>" for t in x) for x in (long, other))
+    assert main_text(f"<body>{nav}<div>{paragraphs}</div></body>") == "\n".join(long)
+    assert main_text(f"<body>{nav}<article><h3>Card</h3><p>A teaser.</p></article><div>{paragraphs}</div></body>") == "\n".join(long)
+    assert main_text(f"<body>{nav}<article>{paragraphs}</article><article>{more}</article><article>{paragraphs}</article></body>") == "\n".join(long + other + long)
+    assert main_text(f"<body>{nav}<main><article>{paragraphs}</article><article>{more}</article></main></body>") == "\n".join(long + other)
+
+
 def test_near_copies(spark, odd):
     from lettera.llm.near_copies import drop_near_copies, near_copies
 
