@@ -3,8 +3,8 @@
 Texts are cut into units that no piece of the vocabulary crosses. Of the distinct
 units every substring up to the longest piece is exploded and joined to the piece
 table; the edges are grouped by unit and folded by a higher-order aggregate.
-The public model is a byte-pair one, whose encoder merges by rank, so the fold goes over the
-edges by rank and joins two neighbours wherever an edge spans exactly them. (A Viterbi
+The public model is a byte-pair one, whose encoder merges by rank, so each step of the fold takes the
+edge of best rank, the leftmost of equals, that spans exactly two neighbours, until there is none. (A Viterbi
 fold over the same scores gives other ids than the library; see the README.)
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 UNIT = "▁*[^▁\\n]+|▁+|\\n+"
-#: A unit of more characters is encoded by the library where the document is put together: the fold takes time in proportion to a unit's length squared.
+#: A unit of more characters is encoded by the library where the document is put together: the fold takes time in proportion to a unit's length cubed.
 LONG_UNIT = 120
 GROUP_CHARS = 16 << 20
 
@@ -44,12 +44,20 @@ def encode_units(units: DataFrame, path: str) -> DataFrame:
     found = parts.join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or e = s + 1")
     lattice = found.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("cost", "s", "e", "piece_id"))).alias("edges"))
     joins = F.filter("edges", lambda x: x["e"] > x["s"] + 1)
-    # in order of score, then from the left; a piece may become whole by a later merge, so the fold goes round twice
-    cuts = F.aggregate(
-        F.concat(joins, joins),
-        F.sequence(F.lit(0), F.length("unit")),
-        lambda c, x: F.when(F.array_contains(c, x["s"]) & F.array_contains(c, x["e"]) & (F.array_position(c, x["e"]) == F.array_position(c, x["s"]) + 2), F.filter(c, lambda y: (y <= x["s"]) | (y >= x["e"]))).otherwise(c),
-    )
+    whole = F.sequence(F.lit(0), F.length("unit"))
+
+    def step(at, _):
+        """The leftmost of the best edges that span two neighbours joins them; edges that then have an end within a piece are done with."""
+        cut, left = at["cut"], at["left"]
+        best = F.filter(left, lambda x: F.array_position(cut, x["e"]) == F.array_position(cut, x["s"]) + 2)
+        return F.when(F.size(left) == 0, at).otherwise(F.transform(F.array(F.try_element_at(best, F.lit(1))), lambda b: F.when(b.isNull(), F.struct(cut.alias("cut"), F.slice(left, 1, 0).alias("left"))).otherwise(joined(cut, left, b)))[0])
+
+    def joined(cut, left, b):
+        inside = lambda y: (y > b["s"]) & (y < b["e"])
+        return F.struct(F.filter(cut, lambda y: ~inside(y)).alias("cut"), F.filter(left, lambda x: ~(inside(x["s"]) | inside(x["e"]) | ((x["s"] == b["s"]) & (x["e"] == b["e"])))).alias("left"))
+
+    # a unit of n characters has at most n - 1 merges
+    cuts = F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.struct(whole.alias("cut"), joins.alias("left")), step)["cut"]
     known = F.map_from_arrays(F.transform(F.filter("edges", lambda x: x["piece_id"].isNotNull()), lambda x: x["s"] * 1000 + x["e"]), F.transform(F.filter("edges", lambda x: x["piece_id"].isNotNull()), lambda x: x["piece_id"]))
     ids = F.flatten(
         F.transform(

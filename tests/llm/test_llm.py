@@ -160,6 +160,22 @@ def test_sentence_pieces_as_the_library(spark, docs):
         assert list(r.ids) == model.encode(r.text) and r.decoded == r.text
 
 
+def test_runs_of_blanks_as_the_library(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    from lettera.llm.sentence_pieces import encode, encode_units
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [" " * n + end for n in range(1, 201) for end in ("", "return", "漢")] + ["a\n" + " " * n + "x = 1" for n in (15, 17, 33)]
+    got = encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts) and [r.text for r in got if list(r.ids) != model.encode(r.text)] == []
+    units = ["▁" * n + end for n in (*range(1, 41), 64, 80) for end in ("", "return", "漢")]
+    folded = encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), path).collect()
+    assert len(folded) == len(units) and [r.unit for r in folded if list(r.ids) != model.encode("\n" + r.unit)[2:]] == []
+
+
 def test_token_files(spark, odd, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
