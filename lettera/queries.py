@@ -349,7 +349,7 @@ def analyze_articles(spark, sf):
 
 @query()
 def parse_dates_full(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", udfs.functions()["parse_date"](F.substring("text", 1, 400)).alias("d")).select("doc_id", "d.date", "d.calendar")
+    return table(spark, sf, "documents").select("doc_id", udfs.functions()["parse_date"](F.col("text")).alias("d")).select("doc_id", "d.date", "d.calendar")
 
 
 @query()

@@ -81,3 +81,12 @@ def test_stream(spark, tmp_path):
         F.start(spark, f"{tmp_path}/links", f"{tmp_path}/frontier", f"{tmp_path}/check").awaitTermination()
     got = spark.read.schema(R.SCHEMA).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/frontier")
     assert sorted(r.url for r in got.collect()) == ["a", "b"]
+
+
+def test_dates_of_whole_texts(spark, tmp_path):
+    from lettera.functions import text as T
+
+    rows = [(1, "vārdi " * 100 + "1905. gada 3. maijā"), (2, "1905. gada 3. maijā"), (3, "vārdi"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.date for r in Q.QUERIES["parse_dates_full"](spark, str(tmp_path)).collect()}
+    assert got == {i: T.parse_date(t)["date"] for i, t in rows} and got[1] == got[2] == "1905-05-03"
