@@ -329,6 +329,13 @@ def levenshtein_near(spark, sf):
     return w.withColumn("distance", F.levenshtein("word", F.lit("therefore")).cast("long")).where("distance <= 4")
 
 
+@query()
+def levenshtein_near_full(spark, sf):
+    """As levenshtein_near, of words in all letters; without SQL, as the oracle counts bytes."""
+    w = table(spark, sf, "documents").select(F.explode(N.words(F.lower("text"))).alias("word")).distinct()
+    return w.withColumn("distance", F.levenshtein("word", F.lit("therefore")).cast("long")).where("distance <= 4")
+
+
 def spelled(name: str):
     def run(spark, sf):
         return table(spark, sf, "documents").select("doc_id", F.sha2(udfs.functions()[name](F.col("text")), 256).alias("result"))

@@ -90,3 +90,14 @@ def test_dates_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.date for r in Q.QUERIES["parse_dates_full"](spark, str(tmp_path)).collect()}
     assert got == {i: T.parse_date(t)["date"] for i, t in rows} and got[1] == got[2] == "1905-05-03"
+
+
+def test_near_words_with_accents_against_brute_force(spark, tmp_path):
+    from lettera.functions import text as T
+
+    texts = ["Therefore thērefore, treêtre", "treçre étreretre therefor\u0113 ķēniņš", "there for e", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {"".join(c if c.isalpha() else " " for c in x).lower() for t in texts if t for x in t.split()}
+    want = {w: n for x in words for w in x.split() if (n := T.levenshtein(w, "therefore")) <= 4}
+    got = {r.word: r.distance for r in Q.QUERIES["levenshtein_near_full"](spark, str(tmp_path)).collect()}
+    assert got == want and {"thērefore", "thereforē", "treêtre", "treçre", "étreretre"} <= set(got)
