@@ -148,11 +148,12 @@ LEAST_ITEMS = 2
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:
-    """docs without the rows in which windows of least_items or more items occur; columns as they were.
+    """docs without the rows in which whole windows of least_items or more items occur, or LEAST_ITEMS items of any length; columns as they were.
 
-    Only whole windows count: an item of a few words may stand in a clean document by chance, a passage of eight does not.
+    One item of a few words may stand in a clean document by chance, a passage of eight does not.
     """
-    return occurrences(docs, benchmark, short_items=False).where(F.size("hit_items") < least_items).select(docs.columns)
+    rest = occurrences(docs, benchmark).where(F.size("hit_items") < max(least_items, LEAST_ITEMS))
+    return occurrences(rest, benchmark, short_items=False).where(F.size("hit_items") < least_items).select(docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,15 @@ def test_decontamination_against_brute_force(spark):
         assert {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.hit_spans), list(r.hit_items)) for r in got} == want
 
 
+def test_contaminated_documents_are_dropped(spark):
+    from lettera.llm.decontam import drop_contaminated
+
+    items = [(1, "What is the capital?"), (2, "Name two rivers"), (3, "one two three four five six seven eight nine"), (4, None)]
+    docs = [(1, "so what is the capital of it"), (2, "What is the capital? Name two rivers!"), (3, "what is the capital what is the capital"), (4, "x one two three four five six seven eight"), (5, None), (6, "name two rivers one two three four five six seven")]
+    got = drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert got.columns == ["doc_id", "text"] and sorted(r.doc_id for r in got.collect()) == [1, 3, 5, 6]
+
+
 def test_html():
     from lettera.llm.html_text import main_text
 
