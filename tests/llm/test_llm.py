@@ -136,6 +136,22 @@ def test_licenses(spark):
     assert not got[1].matches and not got[2].matches
 
 
+def test_licenses_and_their_near_siblings(spark):
+    from lettera.llm.license_scan import TEMPLATES, scan
+
+    header = TEMPLATES["GPL-3.0", "header"]
+    texts = {
+        "Apache-2.0": TEMPLATES["Apache-2.0", "text"], "BSD-2-Clause": TEMPLATES["BSD-2-Clause", "text"], "BSD-3-Clause": TEMPLATES["BSD-3-Clause", "text"], "MIT": TEMPLATES["MIT", "text"],
+        "GPL-2.0": header.replace("version 3", "version 2"), "GPL-3.0": header, "AGPL-3.0": header.replace("GNU General", "GNU Affero General"), "LGPL-3.0": header.replace("GNU General", "GNU Lesser General"),
+        None: header.replace("version 3", "version 9"),
+    }
+    rows = [(i, f"Before it.\n{t}\nAnd after.") for i, t in enumerate(texts.values())]
+    got = {r.doc_id: r.matches for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [[m.license for m in got[i]] for i, _ in rows] == [[n] if n else [] for n in texts]
+    # the span is that of the whole text, less punctuation at its end
+    assert all(m.coverage > 0.98 and m.end - m.start > 0.97 * len(t) for (i, _), t in zip(rows, texts.values()) for m in got[i])
+
+
 @pytest.mark.parametrize("hash_all", [True, False])
 def test_exact(spark, odd, hash_all):
     from lettera.llm.exact_dedup import exact_dedup
