@@ -21,6 +21,8 @@ from .common import read_table
 
 WORD = re.compile(r"[^\W\d_]+")
 CACHE, SMOOTHING = 300_000, 0.1
+#: In words of more characters, with their mark, products of probabilities could become zero.
+LONG = 32
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -85,6 +87,26 @@ def forward(words: list[str], pieces: dict[str, int], longest: int, probs: np.nd
     return out
 
 
+def piece_counts(e: list[tuple[int, int, int]], m: int, prob: np.ndarray) -> list[tuple[int, float]]:
+    """(piece, its expected count in all segmentations) of each edge of a word of m characters; sums of long words are in log space, so they cannot vanish."""
+    if m <= LONG:
+        ahead, back = np.zeros(m + 1), np.zeros(m + 1)
+        ahead[0] = back[m] = 1.0
+        for i, j, p in e:
+            ahead[j] += ahead[i] * prob[p]
+        for i, j, p in reversed(e):
+            back[i] += back[j] * prob[p]
+        return [(p, ahead[i] * prob[p] * back[j] / ahead[m]) for i, j, p in e]
+    ahead, back = np.full(m + 1, -np.inf), np.full(m + 1, -np.inf)
+    ahead[0] = back[m] = 0.0
+    logs = np.log(prob)
+    for i, j, p in e:
+        ahead[j] = np.logaddexp(ahead[j], ahead[i] + logs[p])
+    for i, j, p in reversed(e):
+        back[i] = np.logaddexp(back[i], back[j] + logs[p])
+    return [(p, np.exp(ahead[i] + logs[p] + back[j] - ahead[m])) for i, j, p in e]
+
+
 def fit(rows: list[tuple[str, str]], pieces: dict[str, int], rounds: int = 2) -> tuple[list[str], np.ndarray]:
     """Languages in order, and (pieces + 1, languages) probabilities, by expectation maximisation from equal piece weights in all segmentations.
 
@@ -102,17 +124,8 @@ def fit(rows: list[tuple[str, str]], pieces: dict[str, int], rounds: int = 2) ->
         for _ in range(rounds):
             counts = np.zeros(size)
             for word, n in words[lang].items():
-                e = edges(word[:64], pieces, longest)
-                m = len(word[:64]) + 1
-                ahead, back = np.zeros(m + 1), np.zeros(m + 1)
-                ahead[0] = back[m] = 1.0
-                for i, j, p in e:
-                    ahead[j] += ahead[i] * prob[p]
-                for i, j, p in reversed(e):
-                    back[i] += back[j] * prob[p]
-                if ahead[m] > 0:
-                    for i, j, p in e:
-                        counts[p] += n * ahead[i] * prob[p] * back[j] / ahead[m]
+                for p, x in piece_counts(edges(word, pieces, longest), len(word) + 1, prob):
+                    counts[p] += n * x
             prob = (counts + SMOOTHING) / (counts.sum() + SMOOTHING * size)
         probs[:, a] = prob
     return langs, probs

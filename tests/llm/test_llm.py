@@ -90,6 +90,21 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(forward_one("ab" * 3000, pieces, 2, probs)[0])
 
 
+def test_fitting_counts_whole_words():
+    from lettera.llm.langid import edges, fit, piece_counts
+
+    pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "c": 4}
+    _, probs = fit([("ab" * 400 + "c" * 400, "x"), ("ab" * 400, "y")], pieces)
+    assert np.isfinite(probs).all() and probs[4, 0] > 0.2 and probs[4, 1] < 0.01
+    # each character is in one piece; long and short words are counted alike
+    prob = np.array([0.1, 0.2, 0.3, 0.2, 0.1, 0.1])
+    for word in ("ab" * 15, "ab" * 16, "ab" * 2000):
+        e = edges(word, pieces, 2)
+        found = piece_counts(e, len(word) + 1, prob)
+        assert np.isclose(sum(x * (j - i) for (_, x), (i, j, _) in zip(found, e)), len(word) + 1)
+        assert np.isclose(sum(x for p, x in found if p == 3), 0.2 / (0.2 + 0.06) * len(word) / 2)
+
+
 def brute_repeats(rows, length=50):
     first, out = {}, {}
     texts = [(i, (t or "").encode()) for i, t in rows]
