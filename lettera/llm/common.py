@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side may be broadcast only if it was counted and has at most so many rows.
@@ -17,11 +17,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set, a temporary one in local mode, which has no other machine, and else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found and (own := spark.sparkContext.getCheckpointDir()):
         found = own
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lettera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -47,3 +49,21 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def ascii_words(text: bytes) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of a text with A-Z lower-cased."""
     return text.lower().split()
+
+
+def without_copies(docs: DataFrame, key: Column, mark: Column, decided: DataFrame) -> DataFrame:
+    """docs without the rows whose (key, mark) is in decided (i, h, kept, n) as not kept; of n rows that are kept under one (key, mark), one stays. Columns as they were.
+
+    Rows are told apart by key and mark together, so a key may repeat with other texts, and be null. decided
+    holds only rows that have company; what moves is each row once, dealt by both.
+    """
+    rows = docs.select(F.struct("*").alias("row"), key.alias("i"), mark.alias("h"))
+    same = lambda d: rows_of["i"].eqNullSafe(d["i"]) & (rows_of["h"] == d["h"])
+    gone, twice = decided.where("not kept").select("i", "h"), decided.where("kept and n > 1").select("i", "h")
+    rows_of = rows
+    rest = rows.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():
+        rows_of = rest
+        single = rest.join(twice, same(twice), "left_semi").groupBy("i", "h").agg(F.first("row").alias("row"))
+        rest = rest.join(twice, same(twice), "left_anti").select("row").union(single.select("row"))
+    return rest.select("row.*")

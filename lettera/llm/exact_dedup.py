@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_or_not
+from .common import checkpointed, small_or_not, without_copies
 
 
 def normalised(text: str = "text"):
@@ -31,13 +31,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the surviving groups are too many to broadcast, and only without hash_all.
     """
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("t")).select("id", F.length("t").alias("n"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("p"), "t")
-    short = checkpointed(rows.drop("t"))
+    digest = F.unhex(F.sha2("t", 256)).alias("h")
+    # with hash_all each text is read and normalised once
+    hashed = checkpointed(rows.select("id", "n", "p", digest)) if hash_all else None
+    short = hashed.drop("h") if hash_all else checkpointed(rows.drop("t"))
     lengths = short.groupBy("n").count().where("count > 1").select("n")
     survivors = checkpointed(short.join(lengths, "n", "left_semi").groupBy("n", "p").count().where("count > 1").select("n", "p"))
-    digest = F.unhex(F.sha2("t", 256)).alias("h")
-    if hash_all:
-        hashed = checkpointed(rows.select("id", "n", "p", digest))
-    else:
+    if not hash_all:
         full = rows.join(small_or_not(survivors), ["n", "p"], "left_semi").select("id", "n", "p", digest)
         alone = short.join(survivors, ["n", "p"], "left_anti").select("id", "n", "p", F.lit(None).cast("binary").alias("h"))
         hashed = checkpointed(full.union(alone))
@@ -50,9 +50,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; columns as they were. Rows with a null id stay."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """docs with one row of each normalised text, that of least id; columns as they were.
+
+    Decisions are taken by row: another text under an id that is dropped stays, and of rows that repeat an id with its text one stays.
+    A null text equals an empty one. A row with a null id stays only if no row with an id has its text. An empty table gives no rows.
+    """
+    found = exact_dedup(docs, id_col, text_col).where("group_size > 1")
+    decided = checkpointed(found.groupBy(F.col(id_col).alias("i"), F.unhex("text_sha256").alias("h"), "kept").agg(F.count("*").alias("n")))
+    return without_copies(docs, F.col(id_col), F.unhex(F.sha2(normalised(text_col), 256)), decided)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

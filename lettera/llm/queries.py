@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .decontam import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .html_text import op10_html_text
@@ -16,6 +14,14 @@ from .suffix_dedup import op3_suffix_dedup
 from .token_files import op9_token_files
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_suffix_dedup, op4_license_scan, op5_exact_dedup, op6_sentence_pieces, op7_langid, op8_decontaminate, op9_token_files, op10_html_text)}
-QUERIES["pipeline"] = corpus_pipeline.run
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL}

@@ -1,128 +1,289 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
 Texts are cut into units that no piece of the vocabulary crosses. Of the distinct
-units every substring up to the longest piece is exploded and joined to the piece
+units every substring of two characters up to the longest piece is exploded and equi-joined to the piece
 table; the edges are grouped by unit and folded by a higher-order aggregate.
-The public model is a byte-pair one, whose encoder merges by rank, so each step of the fold takes the
+The public model is a byte-pair one, whose encoder merges by rank, so the fold always takes the
 edge of best rank, the leftmost of equals, that spans exactly two neighbours, until there is none. (A Viterbi
 fold over the same scores gives other ids than the library; see the README.)
+
+Texts are shuffled once, by groups. A group's units, their lattice and the texts then meet in one
+task. Units that a sample shows to be frequent are encoded once, and are no work for the groups.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
+from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import checkpointed, read_table
+
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Characters of a unit that one fold takes: a cut between any two of them is a bit of a long. Longer units are folded in windows, each STEP characters on.
+WINDOW, STEP = 62, 32
+GROUP_CHARS = 48_000_000
+#: Frequent units kept, and characters of the sample in which they are counted. Ids don't depend on them: any other unit is encoded with its group.
+FREQUENT, SAMPLE_CHARS = 400_000, 100_000_000
+
+
+def model_of(path: str) -> sentencepiece.SentencePieceProcessor:
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def vocabulary(model: sentencepiece.SentencePieceProcessor) -> dict[str, int]:
+    return {model.id_to_piece(i): i for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
 
-UNIT = "▁*[^▁\\n]+|▁+|\\n+"
-#: A unit of more characters is encoded by the library where the document is put together: the fold takes time in proportion to a unit's length cubed.
-LONG_UNIT = 120
-GROUP_CHARS = 16 << 20
+
+def unit_pattern(pieces) -> str:
+    """A pattern, alike in Java and Python, of units: blanks with the Latin letters or with the other characters after them. No piece goes from the ones to the others; if one does, blanks alone begin a unit."""
+    latin = re.compile(f"[{LATIN}]")
+    if any("▁" not in (a, b) and bool(latin.match(a)) != bool(latin.match(b)) for p in pieces for a, b in pairwise(p)):
+        return "▁*[^▁\\n]+|▁+|\\n+"
+    return f"▁*[{LATIN}]+|▁*[^▁\\n{LATIN}]+|▁+|\\n+"
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, piece_id, cost: the score with its sign turned): as many rows as the vocabulary has, a fixed size, so it may be broadcast."""
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = [(model.id_to_piece(i), i, -model.get_score(i)) for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-    return spark.createDataFrame(rows, "piece string, piece_id int, cost double")
-
-
-def encode_units(units: DataFrame, path: str) -> DataFrame:
-    """(unit) distinct -> (unit, ids array<int>): the library's ids of a unit."""
-    pieces = piece_table(units.sparkSession, path)
-    longest = 16
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    spans = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("s")))).alias("n"))
-    parts = spans.select("unit", "s", (F.col("s") + F.col("n")).alias("e"), F.expr("substring(unit, s + 1, n)").alias("piece"))
-    found = parts.join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or e = s + 1")
-    lattice = found.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("cost", "s", "e", "piece_id"))).alias("edges"))
-    joins = F.filter("edges", lambda x: x["e"] > x["s"] + 1)
-    whole = F.sequence(F.lit(0), F.length("unit"))
-
-    def step(at, _):
-        """The leftmost of the best edges that span two neighbours joins them; edges that then have an end within a piece are done with."""
-        cut, left = at["cut"], at["left"]
-        best = F.filter(left, lambda x: F.array_position(cut, x["e"]) == F.array_position(cut, x["s"]) + 2)
-        return F.when(F.size(left) == 0, at).otherwise(F.transform(F.array(F.try_element_at(best, F.lit(1))), lambda b: F.when(b.isNull(), F.struct(cut.alias("cut"), F.slice(left, 1, 0).alias("left"))).otherwise(joined(cut, left, b)))[0])
-
-    def joined(cut, left, b):
-        inside = lambda y: (y > b["s"]) & (y < b["e"])
-        return F.struct(F.filter(cut, lambda y: ~inside(y)).alias("cut"), F.filter(left, lambda x: ~(inside(x["s"]) | inside(x["e"]) | ((x["s"] == b["s"]) & (x["e"] == b["e"])))).alias("left"))
-
-    # a unit of n characters has at most n - 1 merges
-    cuts = F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.struct(whole.alias("cut"), joins.alias("left")), step)["cut"]
-    known = F.map_from_arrays(F.transform(F.filter("edges", lambda x: x["piece_id"].isNotNull()), lambda x: x["s"] * 1000 + x["e"]), F.transform(F.filter("edges", lambda x: x["piece_id"].isNotNull()), lambda x: x["piece_id"]))
-    ids = F.flatten(
-        F.transform(
-            F.expr("sequence(1, size(cuts) - 1)"),
-            lambda i: F.when(
-                F.map_contains_key("known", F.element_at("cuts", i) * 1000 + F.element_at("cuts", i + 1)),
-                F.array(F.try_element_at("known", F.element_at("cuts", i) * 1000 + F.element_at("cuts", i + 1))),
-            ).otherwise(byte_ids(F.substr("unit", F.element_at("cuts", i) + 1, F.element_at("cuts", i + 1) - F.element_at("cuts", i)))),
-        )
-    )
-    return lattice.select("unit", known.alias("known"), cuts.alias("cuts")).select("unit", ids.alias("ids"))
-
-
-def byte_ids(char):
-    """Ids of the byte pieces of a character: the byte's value plus 3."""
-    hexed = F.hex(F.encode(char, "UTF-8"))
-    return F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda k: F.conv(F.substr(hexed, k, F.lit(2)), 16, 10).cast("int") + 3)
-
-
-def units_of(text: str = "text"):
+    """(piece, piece_id, place: the order of scores, equal for equal ones, late) of the pieces of two characters or more: as many rows as the vocabulary has, a fixed size, so it may be broadcast.
+
+    A piece is late if a part of it may be merged only after its own turn, as it has no better place and what is beside it is a piece or a character.
+    """
+    model = model_of(path)
+    pieces = vocabulary(model)
+    place = {s: k for k, s in enumerate(sorted({model.get_score(i) for i in pieces.values()}, reverse=True))}
+    at = {p: place[model.get_score(i)] for p, i in pieces.items() if len(p) > 1}
+
+    def late(p: str) -> bool:
+        halves = (h for k in range(1, len(p)) for h in ((p[:k], p[k:]), (p[k:], p[:k])))
+        return any(a in at and (len(b) == 1 or b in at) and at[a] >= at[p] for a, b in halves)
+
+    return spark.createDataFrame([(p, pieces[p], k, late(p)) for p, k in at.items()], "piece string, piece_id int, place int, late boolean")
+
+
+#: A token of a unit as a long: where it starts, its characters and its id.
+START, CHARS = 1 << 40, 1 << 32
+
+
+def encode_units(units: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (*by, unit) of 1 to WINDOW characters, with tokens array<long>: the library's tokens of two characters or more. All other characters are tokens of their own. Units without an edge have no row."""
+    pieces, one = piece_table(units.sparkSession, path), F.lit(1).cast("long")
+    # a number for each unit makes the groups cheap to sort; it doesn't leave the task
+    keys = ["_n", *by, "unit"]
+    rows = units.where(F.length("unit") > 1).withColumn("_n", F.monotonically_increasing_id())
+    longest = max(map(len, vocabulary(model_of(path))), default=1)
+    starts = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.length("unit") - 2)).alias("s"))
+    spans = starts.select(*keys, "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.length("unit") - F.col("s")))).alias("n"))
+    found = spans.select(*keys, "s", "n", F.substr("unit", F.col("s") + 1, F.col("n")).alias("piece")).join(F.broadcast(pieces), "piece")
+    # cuts as bits: those at an edge's ends, and those inside it
+    inside = F.call_function("shiftleft", F.call_function("shiftleft", one, F.col("n") - 1) - one, F.col("s") + 1)
+    ends = F.call_function("shiftleft", one, F.col("s")).bitwiseOR(F.call_function("shiftleft", one, F.col("s") + F.col("n")))
+    turn, token = (F.col("place").cast("long") * 64 + F.col("s")).alias("turn"), (F.col("s") * F.lit(START) + F.col("n") * F.lit(CHARS) + F.col("piece_id")).alias("token")
+    lattice = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(turn, ends.alias("ends"), inside.alias("inside"), token, "late"))).alias("edges"))
+    able = lambda x, cuts: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inside"])) == 1)
+    none = F.lit(-(1 << 63)).cast("long")
+
+    def once(cuts: Column, x: Column, late: Column) -> Column:
+        """Each edge in turn joins the neighbours that it spans. Where that makes a late edge able to join whose turn is over, the sign says that turns were wrong."""
+        then = cuts.bitwiseAND(F.bitwise_not(x["inside"]))
+        return F.when((cuts < 0) | ~able(x, cuts), cuts).when(F.exists(late, lambda y: (y["turn"] < x["turn"]) & able(y, then)), none).otherwise(then)
+
+    def best(cuts: Column, edges: Column) -> Column:
+        """The best of the edges that span two neighbours joins them; the sign says that there is none any more."""
+        return F.when(cuts < 0, cuts).otherwise(F.coalesce(cuts.bitwiseAND(F.bitwise_not(F.get(F.filter(edges, lambda x: able(x, cuts)), F.lit(0))["inside"])), cuts.bitwiseOR(none)))
+
+    every = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 63 - F.length("unit"))  # a bit more than characters
+    # transforms of one value bind it, so that it is worked out once
+    first = F.transform(F.array(F.filter("edges", lambda x: x["late"])), lambda late: F.aggregate("edges", every, lambda cuts, x: once(cuts, x, late)))
+    turns = F.sequence(F.lit(1), F.greatest(F.length("unit") - 1, F.lit(1)))  # a unit of n characters has at most n - 1 merges
+    again = F.aggregate(turns, every, lambda cuts, _: best(cuts, F.col("edges"))).bitwiseAND(F.lit((1 << 63) - 1))
+    cuts = F.transform(first, lambda c: F.when(c < 0, again).otherwise(c))
+    tokens = F.transform(cuts, lambda c: F.transform(F.filter("edges", lambda x: (c.bitwiseAND(x["ends"]) == x["ends"]) & (c.bitwiseAND(x["inside"]) == 0)), lambda x: x["token"]))
+    return lattice.select(*by, "unit", F.sort_array(F.get(tokens, F.lit(0))).alias("tokens"))
+
+
+def windows_of(unit: str = "unit") -> Column:
+    """A unit in parts that one fold can take."""
+    n = F.length(unit)
+    many = F.transform(F.sequence(F.lit(0), F.ceil((n - WINDOW) / STEP).cast("int")), lambda k: F.substr(F.col(unit), k * STEP + 1, F.lit(WINDOW)))
+    return F.when(n > WINDOW, many).otherwise(F.array(unit))
+
+
+def cut(pattern: re.Pattern, text: str) -> list[str]:
     """Units of a text with the mark ▁ for blanks and before its start; none of an empty text."""
-    marked = F.concat(F.lit("▁"), F.replace(F.col(text), F.lit(" "), F.lit("▁")))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(UNIT), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return pattern.findall("▁" + text.replace(" ", "▁")) if text else []
+
+
+def frequent_units(rows: DataFrame, pattern: str, path: str, chars: int) -> dict[str, bytes]:
+    """Ids of the most frequent units, FREQUENT at most, of a sample, by hash, of some SAMPLE_CHARS of the chars characters of rows."""
+    share = min(1.0, SAMPLE_CHARS / max(chars, 1))
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+
+    def count(batches):
+        units, n = re.compile(pattern), Counter()
+        for b in batches:
+            for t in b["text"].to_pylist():
+                n.update(cut(units, t))
+            if len(n) > FREQUENT:
+                yield from out(n)
+                n = Counter()
+        yield from out(n)
+
+    def out(n):
+        names = [u for u in n if len(u) <= WINDOW]
+        for at in range(0, len(names), 65536):
+            some = names[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([n[u] for u in some], pa.int64())], ["unit", "n"])
+
+    counts = checkpointed(sample.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1"))
+    least, have = 0, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("units")).orderBy(F.desc("n")).collect():  # a row for each number of occurrences
+        if have + r.units > FREQUENT:
+            break
+        least, have = r.n, have + r.units
+    if not have:
+        return {}
+    chosen = counts.where(F.col("n") >= least).select("unit")
+    found = encode_units(chosen.repartition(-(-have // 20_000), "unit"), path).toArrow()
+    encoder = Encoder(path)
+    return {u: encoder.ids(u, []) for u in chosen.toArrow()["unit"].to_pylist()} | encoder.all(found)
+
+
+class Encoder:
+    """Ids of units, as bytes of 32-bit integers, from the tokens that the lattice gives."""
+
+    def __init__(self, path: str):
+        self.model = model_of(path)
+        self.pieces = vocabulary(self.model)
+        self.singles: dict[str, list[int]] = {}
+
+    def single(self, c: str) -> list[int]:
+        if (got := self.singles.get(c)) is None:
+            got = self.singles[c] = [self.pieces[c]] if c in self.pieces else [b + 3 for b in c.encode()]
+        return got
+
+    def ids(self, unit: str, tokens: list[int]) -> bytes:
+        out, p = array("i"), 0
+        for x in tokens:
+            s = x // START
+            while p < s:
+                out.extend(self.single(unit[p]))
+                p += 1
+            out.append(x % CHARS)
+            p += x % START // CHARS
+        for c in unit[p:]:
+            out.extend(self.single(c))
+        return out.tobytes()
+
+    def all(self, table: pa.Table) -> dict[str, bytes]:
+        """Ids of the units of a table (unit, tokens)."""
+        tokens = table["tokens"].combine_chunks()
+        values, ends = tokens.values.to_pylist(), tokens.offsets.to_pylist()
+        return {u: self.ids(u, values[a:z]) for u, a, z in zip(table["unit"].to_pylist(), ends[:-1], ends[1:])}
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id_col, text, ids array<int>): one row per row of docs, with the ids the library gives its whole text.
 
-    Null and empty texts have no ids. Documents are dealt by a hash of their id to groups of
-    some 16 million characters; a group's distinct units are encoded once and come back to it, so no table of all units is ever broadcast.
+    Null and empty texts have no ids. Documents are dealt by a hash of id and text to groups of
+    some 48 million characters; units that are not frequent are encoded once a group, and no table of all units is ever broadcast.
     Repeated rows get equal ids; an empty table gives no rows; further columns are ignored.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
+    pattern = unit_pattern(vocabulary(model_of(path)))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, total // GROUP_CHARS, min(12, total >> 18))
+    shared = rows.sparkSession.sparkContext.broadcast(frequent_units(rows, pattern, path, total))  # FREQUENT units at most
     # id and text as one array: all readers of the shuffled texts need the same column, so they are shuffled once
-    dealt = rows.select(F.pmod(F.xxhash64("id", F.length("text")), F.lit(groups)).cast("int").alias("g"), F.array(F.col("id").cast("string"), "text").alias("d")).repartition(int(groups), "g")
-    pairs = dealt.select("g", F.col("d")[1].alias("text")).select("g", F.explode(F.array_distinct(units_of())).alias("unit")).where(F.length("unit") <= LONG_UNIT).distinct()
-    encoded = encode_units(pairs.select("unit").distinct(), path)
-    back = pairs.join(encoded, "unit").select(F.col("g").alias("of"), "unit", "ids")
+    dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int").alias("g"), F.array(F.col("id").cast("string"), "text").alias("d")).repartition(int(groups), "g")
+
+    @F.arrow_udf("array<string>")
+    def rare_units(texts: pa.Array) -> pa.Array:
+        units, known = re.compile(pattern), shared.value
+        return pa.array([[u for u in set(cut(units, t)) if u not in known] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    rare = dealt.select("g", F.explode(rare_units(F.col("d")[1])).alias("unit")).distinct().repartition(int(groups), "g")
+    pairs = rare.select("g", F.explode(windows_of()).alias("unit")).distinct()
+    back = encode_units(pairs, path, ("g",)).select(F.col("g").alias("of"), "unit", "tokens")
     kind = rows.schema["id"].dataType.simpleString()
 
     def assemble(texts: pa.Table, units: pa.Table) -> pa.Table:
-        cut, model = re.compile(UNIT), sentencepiece.SentencePieceProcessor(model_file=path)
-        flat = units["ids"].combine_chunks()
-        values, ends = np.asarray(flat.values, np.int32), np.asarray(flat.offsets)
-        known = {u: values[a:z].tobytes() for u, a, z in zip(units["unit"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist())}
+        pieces, known, encoder = re.compile(pattern), shared.value, Encoder(path)
+        rare, own = encoder.all(units), LongUnits(path)
 
         def ids_of(u: str) -> bytes:
-            if (got := known.get(u)) is None:
-                got = known[u] = np.array(model.encode("\n" + u)[2:] if u[0] != "▁" else model.encode(u[1:].replace("▁", " ")), np.int32).tobytes()
+            if (got := known.get(u) or rare.get(u)) is None:
+                got = rare[u] = encoder.ids(u, []) if len(u) <= WINDOW else own.ids(u, [ids_of(w) for w in own.windows(u)])
             return got
 
         docs = texts["d"].combine_chunks().values
         names, bodies = docs.take(pa.array(range(0, len(docs), 2))), docs.take(pa.array(range(1, len(docs), 2)))
-        found = [np.frombuffer(b"".join(map(ids_of, cut.findall("▁" + t.replace(" ", "▁")))), np.int32) if t else np.zeros(0, np.int32) for t in bodies.to_pylist()]
+        found = [np.frombuffer(b"".join(map(ids_of, cut(pieces, t))), np.int32) for t in bodies.to_pylist()]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
         return pa.table({"id": names, "text": bodies, "ids": ids})
 
     out = dealt.groupBy("g").cogroup(back.groupBy("of")).applyInArrow(assemble, "id string, text string, ids array<int>")
     return out.select(F.col("id").cast(kind).alias(id_col), "text", "ids")
 
 
+class LongUnits:
+    """Ids of units of over WINDOW characters, from those of their windows.
+
+    An encoding is right if, and only if, any two neighbours in it are the encoding of their own
+    text: the merges within a stretch of whole tokens are those of the stretch alone. So the encodings of two windows join at a token that both
+    have at the same place. Where two windows share none, the library encodes the unit.
+    """
+
+    def __init__(self, path: str):
+        self.model = model_of(path)
+        self.size = [0 if self.model.is_byte(i) else len(self.model.id_to_piece(i)) for i in range(self.model.vocab_size())]
+
+    @staticmethod
+    def windows(unit: str) -> list[str]:
+        return [unit[k * STEP : k * STEP + WINDOW] for k in range(max(0, -(-(len(unit) - WINDOW) // STEP)) + 1)]
+
+    def tokens(self, text: str, ids: list[int], at: int) -> list[tuple[int, int, list[int]]]:
+        """(start, end, ids) of each token; the bytes of a character outside the vocabulary are one."""
+        out, k, p = [], 0, 0
+        while k < len(ids):
+            n, many = (self.size[ids[k]], 1) if self.size[ids[k]] else (1, len(text[p].encode()))
+            out.append((at + p, at + p + n, ids[k : k + many]))
+            k, p = k + many, p + n
+        return out
+
+    def ids(self, unit: str, found: list[bytes]) -> bytes:
+        if (got := self.joined(unit, found)) is None:
+            whole = self.model.encode("\n" + unit)[2:] if unit[0] != "▁" else self.model.encode(unit[1:].replace("▁", " "))
+            return np.array(whole, np.int32).tobytes()
+        return got
+
+    def joined(self, unit: str, found: list[bytes]) -> bytes | None:
+        """The ids from those of the windows; None where two windows share no token."""
+        out: list[tuple[int, int, list[int]]] = []
+        for k, (w, raw) in enumerate(zip(self.windows(unit), found)):
+            more = self.tokens(w, np.frombuffer(raw, np.int32).tolist(), k * STEP)
+            if k:
+                where, last = {t[:2]: i for i, t in enumerate(more)}, len(out) - 1
+                while last >= 0 and out[last][1] > k * STEP and out[last][:2] not in where:
+                    last -= 1
+                if last < 0 or out[last][:2] not in where:
+                    return None
+                more = more[where[out[last][:2]] + 1 :]
+                del out[last + 1 :]
+            out += more
+        return np.array([i for t in out for i in t[2]], np.int32).tobytes()
+
+
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
     """rows with text_col: the text of ids_col, byte pieces joined to characters and the mark at the start taken off. Null ids give a null text."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
@@ -131,7 +292,8 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", pat
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         raw = [bytes([i - 3]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.vocab_size())]
         for b in batches:
-            texts = [None if ids is None else b"".join(map(raw.__getitem__, ids)).decode(errors="replace").removeprefix(" ") for ids in b[ids_col].to_pylist()]
+            ends, flat = b[ids_col].offsets.to_pylist(), b[ids_col].values.to_pylist()
+            texts = [b"".join(map(raw.__getitem__, flat[x:y])).decode(errors="replace").removeprefix(" ") if ok else None for x, y, ok in zip(ends[:-1], ends[1:], b[ids_col].is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != text_col), pa.array(texts, pa.string())], [*(c for c in b.schema.names if c != text_col), text_col])
 
     kept = [f for f in rows.schema.fields if f.name != text_col]
@@ -139,5 +301,15 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", pat
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip: whether decoding gives the text again."""
+
+    def digest(batches):
+        for b in batches:
+            flat, ends = b["ids"].values.to_numpy(zero_copy_only=False).astype("<u4"), b["ids"].offsets.to_numpy()
+            crc = [zlib.crc32(flat[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            same = [x == y for x, y in zip(b["text"].to_pylist(), b["decoded"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
+
     found = decode(encode(read_table(spark, sf_dir, "documents")))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("ids_crc32"), (F.col("text") == F.col("decoded")).alias("round_trip"))
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(digest, f"doc_id {kind}, n_ids long, ids_crc32 long, round_trip boolean")

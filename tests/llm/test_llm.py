@@ -195,16 +195,41 @@ def test_runs_of_blanks_as_the_library(spark):
     import public_tokenizers
     import sentencepiece
 
-    from lettera.llm.sentence_pieces import encode, encode_units
+    from lettera.llm.sentence_pieces import Encoder, encode, encode_units
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [" " * n + end for n in range(1, 201) for end in ("", "return", "漢")] + ["a\n" + " " * n + "x = 1" for n in (15, 17, 33)]
     got = encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert len(got) == len(texts) and [r.text for r in got if list(r.ids) != model.encode(r.text)] == []
-    units = ["▁" * n + end for n in (*range(1, 41), 64, 80) for end in ("", "return", "漢")]
-    folded = encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), path).collect()
-    assert len(folded) == len(units) and [r.unit for r in folded if list(r.ids) != model.encode("\n" + r.unit)[2:]] == []
+    rng = np.random.default_rng(4)
+    letters, words = list("aeinorst▁▁.,-=(1é漢"), open(__file__).read().split()
+    units = {"▁" * n + end for n in range(1, 47) for end in ("", "return", "漢")} | {"".join(rng.choice(letters, int(n))) for n in rng.integers(1, 63, 1500)} | {w[:62] for w in words}
+    encoder, folded = Encoder(path), {}
+    for r in encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), path).collect():
+        folded[r.unit] = np.frombuffer(encoder.ids(r.unit, list(r.tokens)), np.int32).tolist()
+    assert len(folded) > 1000 and [u for u in units if folded.get(u, np.frombuffer(encoder.ids(u, []), np.int32).tolist()) != model.encode("\n" + u)[2:]] == []
+
+
+def test_long_units_as_the_library(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    from lettera.llm.sentence_pieces import LongUnits, encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list(some), n)) for some in ("aeiourstnl", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "ab", "=-") for n in (62, 63, 64, 94, 95, 200, 1000, 20_000)]
+    texts += ["x" * n for n in (62, 63, 500)] + ["=" * n for n in (63, 94, 777)] + ["漢字" * 300, "é" * 5000, ("word" * 40 + " ") * 30]
+    got = encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts) and [r.text[:40] for r in got if list(r.ids) != model.encode(r.text)] == []
+    # most are put together from their windows, not by the library
+    own, joined = LongUnits(path), 0
+    for t in texts[:16]:
+        windows = [np.array(model.encode("\n" + w)[2:], np.int32).tobytes() for w in own.windows(t)]
+        joined += own.joined(t, windows) is not None
+    assert joined == 16
 
 
 def test_token_files(spark, odd, tmp_path):
@@ -321,17 +346,46 @@ def test_near_copies_against_brute_force(spark, docs):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-@pytest.mark.parametrize("op", ["quality", "lang", "licenses", "exact", "simhash", "repeats", "decontam", "pieces"])
-def test_odd_and_empty_tables(spark, odd, op):
-    from lettera.llm import decontam, exact_dedup, langid, license_scan, quality, sentence_pieces, simhash, suffix_dedup
+def test_copies_are_dropped_by_row(spark):
+    from lettera.llm.exact_dedup import drop_exact_copies
+    from lettera.llm.near_copies import drop_near_copies
+
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, "a b c d e f", 1), (2, "a  b c d e f", 2), (2, "only here and not there", 3), (3, "q r s t u v", 4), (3, "q r s t u v", 5), (None, "q r s t u v", 6), (None, "no other has this", 7), (4, None, 8), (5, "", 9)]
+    near = [(7, long, 10), (8, long + " more", 11), (8, "again under the same id", 12), (9, "again under the same id", 13)]
+    make = lambda r: spark.createDataFrame(r, "doc_id long, text string, i int")
+    got = {(r.doc_id, r.i) for r in drop_exact_copies(make(rows + near)).collect()}
+    assert {(i, n) for i, n in got if i != 3} == {(1, 1), (2, 3), (None, 7), (4, 8), (7, 10), (8, 11), (8, 12)} and len(got & {(3, 4), (3, 5)}) == 1 and len(got) == 8
+    got = {(r.doc_id, r.i) for r in drop_near_copies(make(rows + near)).collect()}
+    assert {(i, n) for i, n in got if i != 3} == {(1, 1), (2, 3), (None, 6), (None, 7), (4, 8), (7, 10), (8, 12)} and len(got & {(3, 4), (3, 5)}) == 1 and len(got) == 8
+    for drop in (drop_exact_copies, drop_near_copies):
+        empty = drop(make(rows).where("false"))
+        assert empty.columns == ["doc_id", "text", "i"] and empty.count() == 0
+
+
+def test_odd_and_empty_tables(spark, odd):
+    """Values of each operator on nulls, empty and long texts, ties, repeated rows and clashing columns; no rows of an empty table."""
+    from lettera.llm import decontam, exact_dedup, langid, license_scan, near_copies, quality, sentence_pieces, simhash, suffix_dedup
 
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (8, None)], "doc_id long, quality int")
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
-    run = {
-        "quality": lambda d: quality.quality_scores(d, labels), "lang": lambda d: langid.identify(d.withColumn("lang", F.lit("en"))), "licenses": license_scan.scan, "exact": exact_dedup.exact_dedup,
-        "simhash": simhash.near_dedup, "repeats": suffix_dedup.remove_repeats, "decontam": lambda d: decontam.occurrences(d, items), "pieces": sentence_pieces.encode,
-    }[op]
-    assert run(odd).count() == len(ODD) and run(odd.where("false")).count() == 0
+    by_id = lambda rows, f: {(r.doc_id, f(r)) for r in rows}
+    ids = {i for i, _ in ODD}
+    runs = {
+        quality: (lambda d: quality.quality_scores(d, labels), lambda got: len({r.score for r in got if r.doc_id in (3, 4)}) == 1 and all(0 <= r.score <= 1 for r in got)),
+        langid: (lambda d: langid.identify(d.withColumn("lang", F.lit("en"))), lambda got: by_id(got, lambda r: r.lang_pred) == {(i, "und" if i in (3, 4) else "en") for i in ids}),
+        license_scan: (license_scan.scan, lambda got: not any(r.matches for r in got)),
+        exact_dedup: (exact_dedup.exact_dedup, lambda got: sum(r.kept for r in got) == 6),
+        simhash: (simhash.near_dedup, lambda got: by_id(got, lambda r: r.component_id) >= {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (8, 8), (9, 9), (10, 9)}),
+        suffix_dedup: (suffix_dedup.remove_repeats, lambda got: by_id(got, lambda r: (r.n_bytes, len(r.kept))) >= {(3, (0, 0)), (4, (0, 0)), (9, (140, 140)), (10, (140, 0)), (8, (150_000, 150_000))}),
+        decontam: (lambda d: decontam.occurrences(d, items), lambda got: by_id(got, lambda r: tuple(r.hit_items)) == {(i, ("1",) if i in (1, 2) else ()) for i in ids}),
+        near_copies: (near_copies.near_copies, lambda got: by_id(got, lambda r: r.component_id) == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (None, None), (8, 8), (9, 9), (10, 9)}),
+        sentence_pieces: (sentence_pieces.encode, lambda got: all((not r.ids) == (r.doc_id in (3, 4)) for r in got) and len({tuple(r.ids) for r in got if r.doc_id in (5, 6)}) == 1),
+    }
+    for op, (run, right) in runs.items():
+        got = run(odd).collect()
+        assert len(got) == len(ODD) and right(got), op.__name__
+        assert run(odd.where("false")).count() == 0, op.__name__
 
 
 def test_pipeline(spark):
