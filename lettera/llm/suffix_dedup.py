@@ -5,7 +5,8 @@ two documents share the string only if they share that gram and what surrounds i
 1. Each document's selected grams go, as packed arrays, to the task of their hash, each
    with a hash of its context: the 34 bytes before it and the 34 after it.
    Of equal contexts all but those of the least document are resolved there.
-2. Only grams that documents share in different contexts need their bytes.
+2. Only grams that documents share in different contexts need their bytes, and of these only contexts that
+   share 17 bytes on one side of the gram too, as any 50 bytes around it reach so far on the left or on the right.
    These contexts are dealt by gram to tasks, which cut them into shards.
    A shard's suffix array comes from Larsson-Sadakane refinement,
    common prefixes from Kasai's recurrence, run abreast over all contexts. Runs of suffixes with 50 bytes in common are
@@ -16,8 +17,6 @@ two documents share the string only if they share that gram and what surrounds i
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from .common import read_table, shared_path
 
 GRAM = 16
 #: Bytes of text worked on at once; entries held before they are sent; bytes of contexts in a shard.
-PIECE, HELD, SHARD = 1 << 21, 1 << 20, 1 << 20
+PIECE, HELD, SHARD = 1 << 19, 1 << 19, 1 << 19
 BASE, INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 
 
@@ -55,19 +54,21 @@ def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
 class Winnower:
     """Selected grams of texts: positions, gram hashes and context hashes."""
 
-    def __init__(self, length: int):
+    def __init__(self, length: int, piece: int):
+        self.piece = piece
         self.length, self.span = length, length - GRAM + 1
+        self.side = (length - GRAM) // 2
         self.letters = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
         self.up = self.down = np.ones(0, np.uint64)
 
     def pieces(self, text: bytes) -> Iterator[tuple[int, int, int, int]]:
         """(low, high, first, last): bytes low to high hold all that windows first to last and their contexts need."""
-        for first in range(0, len(text) - self.length + 1, PIECE):
-            last = min(first + PIECE, len(text) - self.length + 1)
+        for first in range(0, len(text) - self.length + 1, self.piece):
+            last = min(first + self.piece, len(text) - self.length + 1)
             yield max(0, first - self.span + 1), min(len(text), last + 2 * self.length), first, last
 
-    def select(self, parts: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For parts (bytes, first, last window): part and position in it of each selected gram, gram hash, context hash."""
+    def select(self, parts: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, ...]:
+        """For parts (bytes, first, last window): part and position in it of each selected gram, gram hash, context hash, hashes of the gram with what is left and with what is right of it, zero if that is too short."""
         lens = np.array([len(p) for p, _, _ in parts])
         starts = np.concatenate(([0], np.cumsum(lens)))
         buf = np.frombuffer(b"".join(p for p, _, _ in parts), np.uint8)
@@ -87,7 +88,10 @@ class Winnower:
         low = np.maximum(starts[part], at - self.span + 1)
         high = np.minimum(starts[part + 1], at + self.length)
         around = mixed((total[high] - total[low]) * self.down[low] + np.uint64(BASE) * ((at - low).astype(np.uint64) * np.uint64(256) + (high - at).astype(np.uint64)))
-        return part, at - starts[part], gram[at], around
+        few = lambda low, high, ok: np.where(ok, mixed((total[high] - total[low]) * self.down[low]) >> np.uint64(32) | np.uint64(1), np.uint64(0)).astype(np.uint32)
+        left = few(np.maximum(at - self.side, 0), at + GRAM, at - self.side >= starts[part])
+        right = few(at, np.minimum(at + GRAM + self.side, n), at + GRAM + self.side <= starts[part + 1])
+        return part, at - starts[part], gram[at], around, left, right
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -105,7 +109,8 @@ def unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-KINDS = ["<u8", "<u8", "<i8", "<u4"]
+#: Of an entry: gram (its lower half; the upper gives the bucket), context, document, position, sides.
+KINDS = ["<u4", "<u8", "<i8", "<u4", "<u4", "<u4"]
 
 
 def first_of(gram, around, doc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,33 +121,39 @@ def first_of(gram, around, doc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, d == d[np.maximum.accumulate(np.where(begins, np.arange(len(d)), 0))], begins
 
 
-def selected_grams(rows: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, open, done): packed entries (gram, context, document, position), those still open and those that a smaller document of the task resolves."""
+def selected_grams(rows: DataFrame, length: int, buckets: int, piece: int = PIECE, most: int = HELD) -> DataFrame:
+    """(bucket, open, done): packed entries, those still open in the bucket of their gram, and (document, position) of those that a smaller document of the task resolves, in any bucket."""
 
     def run(batches):
-        winnow = Winnower(length)
+        winnow = Winnower(length, piece)
         held: list[list[np.ndarray]] = []
+        turn = 0
 
         def flush():
+            nonlocal turn
             if not held:
                 return
-            gram, around, doc, pos = (np.concatenate(x) for x in zip(*held))
+            gram, around, doc, pos, left, right = (np.concatenate(x) for x in zip(*held))
             held.clear()
             order, first, _ = first_of(gram, around, doc)
-            gram, around, doc, pos = gram[order], around[order], doc[order], pos[order]
-            bucket = (gram >> np.uint64(40)) % np.uint64(buckets)
-            for at in np.split(np.argsort(bucket, kind="stable"), np.flatnonzero(np.diff(np.sort(bucket))) + 1):
-                keep, gone = at[first[at]], at[~first[at]]
-                yield int(bucket[at[0]]), pack([gram[keep], around[keep], doc[keep], pos[keep]]), pack([doc[gone], pos[gone]])
+            gone, keep = order[~first], order[first]
+            bucket = (gram[keep] >> np.uint64(40)) % np.uint64(buckets)
+            by = np.argsort(bucket, kind="stable")
+            for at in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+                k = keep[at]
+                yield int(bucket[at[0]]), pack([gram[k].astype(np.uint32), around[k], doc[k], pos[k], left[k], right[k]]), None
+            if len(gone):
+                turn += 1
+                yield (int(doc[gone[0]]) + turn) % buckets, None, pack([doc[gone], pos[gone]])
 
         def batch_of(found):
             b, o, d = zip(*found)
             return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(o, pa.binary()), pa.array(d, pa.binary())], ["bucket", "open", "done"])
 
         def take(parts, where):
-            part, pos, gram, around = winnow.select(parts)
+            part, pos, gram, around, left, right = winnow.select(parts)
             ids, lows = np.array([w[0] for w in where], np.int64), np.array([w[1] for w in where])
-            held.append([gram, around, ids[part], (pos + lows[part]).astype(np.uint32)])
+            held.append([gram, around, ids[part], (pos + lows[part]).astype(np.uint32), left, right])
 
         for b in batches:
             parts, where, size = [], [], 0
@@ -154,10 +165,10 @@ def selected_grams(rows: DataFrame, length: int, buckets: int) -> DataFrame:
                     parts.append((text[low:high], first - low, last - low))
                     where.append((i, low))
                     size += high - low
-                    if size >= PIECE:
+                    if size >= piece:
                         take(parts, where)
                         parts, where, size = [], [], 0
-                    if sum(len(x[0]) for x in held) >= HELD:
+                    if sum(len(x[0]) for x in held) >= most:
                         yield batch_of(flush())
             if parts:
                 take(parts, where)
@@ -167,40 +178,57 @@ def selected_grams(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, open binary, done binary")
 
 
-def resolved(grams: DataFrame) -> DataFrame:
+def shared_side(gram: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries have a side, with their gram, that an entry of another document has too."""
+    key = gram.astype(np.uint64) << np.uint64(32) | side
+    order = np.argsort(key, kind="stable")
+    k, d = key[order], doc[order]
+    head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    differ = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(differ, np.diff(np.append(head, len(k))))
+    return out & (side > 0)
+
+
+def resolved(grams: DataFrame, most: int = HELD) -> DataFrame:
     """(doc, pos, gram): gram null where the whole context of the gram at pos is in a smaller document, else the gram whose contexts must be compared."""
 
-    def results(blobs, done):
-        doc, pos = (np.concatenate(x) for x in zip(*(unpack(d, ["<i8", "<u4"]) for d in done)))
-        gram, around, who, at = (np.concatenate(x) for x in zip(*(unpack(o, KINDS) for o in blobs)))
-        order, first, begins = first_of(gram, around, who)
-        gram, who, at = gram[order], who[order], at[order]
-        doc, pos = np.concatenate((doc, who[~first])), np.concatenate((pos, at[~first]))
-        # grams that stand in two contexts or more, first in two documents or more
-        gram, who, at, begins = gram[first], who[first], at[first], begins[first]
-        many = np.zeros(0, np.int64)
-        if len(gram):
-            head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-            differ = (np.add.reduceat(begins.astype(np.int64), head) > 1) & (np.minimum.reduceat(who, head) != np.maximum.reduceat(who, head))
-            many = np.flatnonzero(np.repeat(differ, np.diff(np.append(head, len(gram)))))
-        whole = pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos.astype(np.int64)), pa.nulls(len(doc), pa.int64())], ["doc", "pos", "gram"])
-        part = pa.RecordBatch.from_arrays([pa.array(who[many]), pa.array(at[many].astype(np.int64)), pa.array(gram[many].view(np.int64))], ["doc", "pos", "gram"])
-        for b in (whole, part):
-            for k in range(0, b.num_rows, 65536):
-                yield b.slice(k, 65536)
+    def rows(doc, pos, gram=None):
+        for k in range(0, len(doc), 65536):
+            some = doc[k : k + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(pos[k : k + 65536].astype(np.int64)), pa.nulls(len(some), pa.int64()) if gram is None else pa.array(gram[k : k + 65536].astype(np.int64))], ["doc", "pos", "gram"])
+
+    def first_only(held):
+        """The entries of least document of each context, and those of other documents."""
+        columns = [np.concatenate(x) for x in zip(*held)]
+        order, first, _ = first_of(columns[0], columns[1], columns[2])
+        return [c[order[first]] for c in columns], [c[order[~first]] for c in columns]
 
     def run(batches):
-        now, blobs, done = None, [], []
+        now, held, size = None, [], 0
+
+        def close():
+            if held:
+                (gram, _, doc, pos, left, right), gone = first_only(held)
+                yield from rows(gone[2], gone[3])
+                many = shared_side(gram, left, doc) | shared_side(gram, right, doc)
+                yield from rows(doc[many], pos[many], gram[many])
+
         for b in batches:
             for k, o, d in zip(b["bucket"].to_pylist(), b["open"], b["done"]):
-                if k != now and blobs:
-                    yield from results(blobs, done)
-                    blobs, done = [], []
-                now = k
-                blobs.append(o.as_py())
-                done.append(d.as_py())
-        if blobs:
-            yield from results(blobs, done)
+                if k != now:
+                    yield from close()
+                    now, held, size = k, [], 0
+                if d.is_valid:
+                    yield from rows(*unpack(d.as_py(), ["<i8", "<u4"]))
+                if o.is_valid:
+                    held.append(unpack(o.as_py(), KINDS))
+                    size += len(held[-1][0])
+                    if size >= 2 * most and len(held) > 1:  # a hot gram: equal contexts leave as they come
+                        kept, gone = first_only(held)
+                        yield from rows(gone[2], gone[3])
+                        held, size = [kept], len(kept[0]) // 2
+        yield from close()
 
     return grams.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, pos long, gram long")
 
@@ -362,28 +390,32 @@ def compared(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "doc long, start long, end long")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder; the shuffle files it came from can then go."""
+    """df as a table in the shared folder. Its shuffle files, which nothing reads again, are removed with the end of the write."""
     spark, at = df.sparkSession, shared_path(df.sparkSession, what)
-    df.write.parquet(at)
-    del df
-    for _ in range(2):  # a shuffle's files go when nothing refers to it any more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.parquet(at)
 
 
-def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = SHARD) -> DataFrame:
+def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = SHARD, piece: int = PIECE, most: int = HELD) -> DataFrame:
     """(id, t, spans): each row's id and text, and its merged spans [start, end) of bytes inside `length`-byte strings that start in documents of smaller id too.
 
     Ids are integers and name one text; rows that repeat an id with its text get the same
     spans. Null and empty texts, and rows with a null id, have no spans and give none to others.
+    Texts are shuffled once: both joins with them are by id, over as many partitions.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     spark, span = rows.sparkSession, length - GRAM + 1
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = written(resolved(selected_grams(rows, length, 8 * parts)), "repeat-grams")
+    found = written(resolved(selected_grams(rows, length, 8 * parts, piece, most), most), "repeat-grams")
     asked = found.where("gram is not null").groupBy("doc").agg(F.collect_set(F.struct("pos", "gram")).alias("asked"))
 
     def cut_out(batches):
@@ -398,14 +430,16 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     context.append(text[low[-1] : x["pos"] + length])
             yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(doc, pa.int64()), pa.array(low, pa.int64()), pa.array(context, pa.binary())], ["gram", "doc", "low", "context"])
 
-    contexts = rows.join(asked, rows["id"] == asked["doc"]).select("id", "t", "asked").mapInArrow(cut_out, "gram long, doc long, low long, context binary")
-    near = written(compared(contexts, length, shard_bytes), "repeat-spans")
+    # a null id has no partner in a join; spread, such rows don't meet in one task
+    dealt = rows.withColumn("of", F.coalesce("id", F.xxhash64("t"))).repartition(parts, "of")
+    contexts = dealt.where("id is not null").join(asked.withColumnRenamed("doc", "of"), "of").select("id", "t", "asked").mapInArrow(cut_out, "gram long, doc long, low long, context binary")
+    near = compared(contexts, length, shard_bytes)
     whole = found.where("gram is null").select("doc", F.greatest(F.lit(0), F.col("pos") - (span - 1)).alias("start"), (F.col("pos") + length).alias("end"))
-    spans = whole.unionByName(near).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return rows.join(spans, rows["id"] == spans["doc"], "left").select("id", "t", "spans")
+    spans = whole.unionByName(near).groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return dealt.join(spans, "of", "left").select("id", "t", F.when(F.col("id").isNotNull(), F.col("spans")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = SHARD, piece: int = PIECE, most: int = HELD) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, spans (array of [start, end)), kept (binary).
 
     kept may cut a UTF-8 character, as spans are bytes. An empty table gives no rows; further columns are ignored.
@@ -423,7 +457,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b"".join(text[x:y] for x, y in zip([0, *end.tolist()], [*start.tolist(), len(text)])))
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
-    out = repeat_spans(docs, id_col, text_col, length, shard_bytes).mapInArrow(run, "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    out = repeat_spans(docs, id_col, text_col, length, shard_bytes, piece, most).mapInArrow(run, "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 

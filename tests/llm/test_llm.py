@@ -120,12 +120,13 @@ def brute_repeats(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 300])
-def test_repeats_against_brute_force(spark, docs, shard):
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 300, "piece": 700, "most": 300}])
+def test_repeats_against_brute_force(spark, docs, sizes):
+    """With small sizes a text has several pieces, a gram several shards, and entries of one gram are many times as many as are held."""
     from lettera.llm.suffix_dedup import remove_repeats
 
     rows = [(int(i), t[:2500]) for i, t in zip(docs.doc_id, docs.text)] + [(10_001 + k, "same line of text that comes again " * 3 + "x" * k) for k in range(40)] + [(20_000, None), (20_001, "")]
-    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_bytes=shard).select("doc_id", F.sha2("kept", 256).alias("h")).collect()
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **sizes).select("doc_id", F.sha2("kept", 256).alias("h")).collect()
     assert {r.doc_id: r.h for r in got} == brute_repeats(rows)
 
 
