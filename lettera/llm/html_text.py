@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -29,9 +31,9 @@ ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select", "optgroup"})}
 #: Names by which pages mark what is not the article: menus, headers, footers, sidebars, notices, adverts, forms, reader comments.
 MARKED = re.compile(
-    r"(?:^|\s)(?:ad|ads|adv|advert\w*|ad[-_]\S+|\S+[-_]ads?|banner\S*|sponsor\S*|promo\S*|cookie\S*|consent\S*|gdpr\S*|notice\S*|alert\S*|popup\S*|modal\S*|overlay\S*|newsletter\S*|subscri\S*|signup\S*|login\S*"
+    r"ad|ads|adv|advert\w*|ad[-_]\S+|\S+[-_]ads?|banner\S*|sponsor\S*|promo\S*|cookie\S*|consent\S*|gdpr\S*|notice\S*|alert\S*|popup\S*|modal\S*|overlay\S*|newsletter\S*|subscri\S*|signup\S*|login\S*"
     r"|menu\S*|nav|nav[-_]\S+|navbar\S*|navigation\S*|breadcrumb\S*|pagination\S*|pager|toolbar\S*|site-?header|page-?header|masthead\S*|topbar\S*|site-?footer|page-?footer|footer\S*|header|sidebar\S*|side-?bar\S*|aside\S*"
-    r"|comments?|comments?[-_]\S+|\S+[-_]comments?|disqus\S*|respond|replies|reply\S*|related\S*|recommend\S*|share|share[-_]\S+|sharing\S*|social\S*|widget\S*|search|search[-_]?(?:form|box)|skip\S*|complementary|contentinfo|search)(?=\s|$)",
+    r"|comments?|comments?[-_]\S+|\S+[-_]comments?|disqus\S*|respond|replies|reply\S*|related\S*|recommend\S*|share|share[-_]\S+|sharing\S*|social\S*|widget\S*|search|search[-_]?(?:form|box)|skip\S*|complementary|contentinfo|search",
     re.I,
 )
 
@@ -45,70 +47,116 @@ class Node:
         self.density = self.total = 0.0
 
 
-def is_outside(tag: str, attributes: str, stack: list[Node]) -> bool:
+def is_outside(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in OUTSIDE:
         return True
     if tag == "header":
-        return not any(n.tag in ("article", "main") for n in stack)
+        return not in_article
     if tag in ("html", "body", "article", "main") or not attributes:
         return False
-    return any(MARKED.search(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes))
+    return any(MARKED.fullmatch(name) for m in ATTRIBUTE.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").split())
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, name, rest, end): a text, a start or an end tag, in one pass. A quote that is never closed is an ordinary character; what begins like a tag that never ends is left out with all after it."""
+    at, n, open_quotes = 0, len(html), set()
+    while at < n:
+        start = html.find("<", at)
+        if start < 0:
+            break
+        if start > at:
+            yield "text", "", html[at:start], start
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+        elif html.startswith("<![CDATA[", start):
+            end = html.find("]]>", start + 9)
+            at = n if end < 0 else end + 3
+            yield "text", "", html[start + 9 : n if end < 0 else end], at
+        elif html.startswith(("<!", "<?"), start):
+            end = html.find(">", start)
+            at = n if end < 0 else end + 1
+        elif m := TAG.match(html, start):
+            end = m.end()
+            while (stop := STOP.search(html, end)) is not None and (q := stop[0]) != ">":
+                close = -1 if q in open_quotes else html.find(q, stop.end())
+                if close < 0:
+                    open_quotes.add(q)
+                end = stop.end() if close < 0 else close + 1
+            if stop is None:
+                return
+            at = stop.end()
+            at = (yield "end" if m[1] else "start", m[2].lower(), html[m.end() : stop.start()], at) or at
+        else:
+            yield "text", "", "<", start + 1
+            at = start + 1
+    else:
+        return
+    yield "text", "", html[at:], n
+
+
+class Open:
+    """The open elements, with the places of each name and of the blocks among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.of, self.blocks = [root], {"html": [0]}, [0]
+
+    def last(self, *tags: str) -> int:
+        return max((self.of[t][-1] for t in tags if self.of.get(t)), default=-1)
+
+    def push(self, n: Node) -> None:
+        self.of.setdefault(n.tag, []).append(len(self.nodes))
+        if n.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(n)
+
+    def close(self, at: int) -> None:
+        """Closes all from a place on; the root stays."""
+        while len(self.nodes) > max(at, 1):
+            n = self.nodes.pop()
+            self.of[n.tag].pop()
+            if n.tag in BLOCK:
+                self.blocks.pop()
 
 
 def parse(html: str) -> Node:
-    """The DOM as far as it matters here: elements, their text and what is open when; broken markup is taken as browsers do for paragraphs, lists and tables."""
+    """The DOM as far as it matters here: elements, their text and what is open when; broken markup is taken as browsers do for paragraphs, lists and tables. Time is in proportion to the page."""
     root = Node("html", None, False)
-    stack = [root]
-    at = 0
-
-    def text(raw: str) -> None:
-        if raw and not stack[-1].dropped:
-            stack[-1].children.append(unescape(raw))
-
-    while (m := TOKEN.search(html, at)) is not None:
-        text(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
+    now, stream, jump = Open(root), tokens(html), None
+    while True:
+        try:
+            kind, tag, rest, at = stream.send(jump)
+        except StopIteration:
+            return root
+        jump, top = None, now.nodes[-1]
+        if kind == "text":
+            if not top.dropped:
+                top.children.append(unescape(rest))
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK and tag != "a":
-                    break  # an inline end tag doesn't close blocks
+        if kind == "end":
+            k = now.last(tag)
+            # an inline end tag doesn't close blocks
+            if k > 0 and (tag in BLOCK or tag == "a" or now.blocks[-1] < k):
+                now.close(k)
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and now.last(tag) >= 0:
             continue
         if tag == "body":
-            del stack[1:]
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+            now.close(1)
+        if tag in ENDS_P and now.nodes[now.blocks[-1]].tag == "p":
+            now.close(now.blocks[-1])
         if tag in SIBLINGS:
             own, within = SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in own:
-                    del stack[k:]
-                    break
-                if stack[k].tag in within:
-                    break
-        node = Node(tag, stack[-1], stack[-1].dropped or is_outside(tag, m[3], stack))
-        stack[-1].children.append(node)
+            if (k := now.last(*own)) > now.last(*within):
+                now.close(k)
+        top = now.nodes[-1]
+        node = Node(tag, top, top.dropped or is_outside(tag, rest, now.last("article", "main") >= 0))
+        top.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-        elif tag not in VOID and not m[3].rstrip().endswith("/") or tag not in VOID and tag in BLOCK:
-            stack.append(node)
-    text(html[at:])
-    return root
+            jump = end.end() if end else len(html)
+        elif tag not in VOID and (not rest.rstrip().endswith("/") or tag in BLOCK):
+            now.push(node)
 
 
 def in_order(root: Node) -> list[Node]:
@@ -162,22 +210,20 @@ def content(root: Node) -> list[Node]:
         up = up.parent
     if up is not None:  # the page itself says how far the text around the best subtree goes
         best = up
+    above, n = set(), best
+    while n is not None:
+        above.add(n)
+        n = n.parent
     found, todo = [], [body]
     while todo:
         n = todo.pop()
-        if n is best or n.tag in ("h1", "h2") or n is not body and n.density >= least and not holds(n, best):
+        if n is best or n.tag in ("h1", "h2") or n is not body and n.density >= least and n not in above:
             found.append(n)
-        elif holds(n, best):
+        elif n in above:
             todo.extend(c for c in reversed(n.children) if isinstance(c, Node) and not c.dropped)
     return [body] if best is body else found
 
 
-def holds(n: Node, other: Node) -> bool:
-    while other is not None and other is not n:
-        other = other.parent
-    return other is n
-
-
 def blocks(tops: list[Node]) -> list[str]:
     """The text of each block, with its white space runs as one space and trimmed; empty blocks are left out."""
     out, run = [], []

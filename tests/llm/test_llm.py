@@ -411,3 +411,55 @@ def test_word_encoder_equals_the_library():
     whole = Tokenizer.from_file(path)
     want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u2").tolist() for x in WordEncoder(path).encode(texts)] == want
+
+
+def test_html_of_odd_rows(spark):
+    from lettera.llm.html_text import extract
+
+    page = "<body><div><p>Some text of a page that is long enough.</p></div></body>"
+    rows = [(1, None, "x"), (2, "", "x"), (3, page, "x"), (3, page, "x"), (None, page, None), (5, "<b" * 50_000, "x"), (6, f"<div {'a=1 ' * 50_000}>{page}" + "</i>" * 50_000, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = extract(pages)
+    text = "Some text of a page that is long enough."
+    assert got.columns == ["page_id", "text"] and sorted(((r.page_id or 0), r.text) for r in got.collect()) == [(0, text), (1, ""), (2, ""), (3, text), (3, text), (5, ""), (6, text)]
+    assert extract(pages.where("false")).count() == 0
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    from lettera.llm.html_text import main_text
+
+    for part in ("<a ", "</b>", "<b></i>", "<a></b>", '<p class="', "<li>", "<!-- <p>", "<div class='ad-"):
+        began = time.process_time()
+        main_text("<body>" + part * 30_000)
+        assert time.process_time() - began < 5
+
+
+def test_html_densities_by_the_formula():
+    """Densities and the subtree of the largest sum, from counts taken node by node."""
+    import math
+
+    from lettera.llm.html_text import Node, in_order, measure, parse
+
+    html = "<body><div><a>menu</a> <a>more</a></div><div><p>One two three four, and <a>five</a>.</p><p>Six seven eight nine ten eleven.</p><ul><li>x</li></ul></div></body>"
+    nodes = in_order(parse(html))
+    measure(nodes)
+
+    def below(n):
+        return [n] + [x for c in n.children if isinstance(c, Node) for x in below(c)]
+
+    def count(n):
+        inside = below(n)
+        chars = lambda m: sum(len("".join(c.split())) for x in below(m) for c in x.children if isinstance(c, str))
+        return chars(n), len(inside) - 1, sum(chars(x) for x in inside if x.tag == "a"), sum(x.tag == "a" for x in inside[1:])
+
+    body = next(n for n in nodes if n.tag == "body")
+    c, _, lc, _ = count(body)
+    for n in nodes:
+        own, tags, links, anchors = count(n)
+        t, k, a = max(tags, 1), max(links, 1), max(anchors, 1)
+        base = math.log(own / max(own - links, 1) * links + lc / c * own + math.e)
+        assert math.isclose(n.density, own / t * math.log(max(own / k * t / a, 1.0) + 1) / max(base and math.log(base), 1.0) if own else 0.0)
+    sums = {id(n): sum(c.density for c in n.children if isinstance(c, Node)) for n in nodes}
+    assert all(math.isclose(n.total, sums[id(n)]) for n in nodes) and max(nodes, key=lambda n: n.total).tag in ("div", "body")
