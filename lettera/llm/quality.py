@@ -105,11 +105,12 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 3) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most: int) -> list[tuple[str | None, int]]:
     """At most `most` labelled rows outside the held-out fifth, by the hash of their id, so alike at every size.
 
-    Which rows are taken depends on ids alone; a text is read once. The order of training is that of the hash.
+    Which rows are taken depends on ids alone; a text is read once. The order of training is that of the hash. Of an id with
+    several texts the least in order is taken.
     """
     known = labels.where(F.col(label_col).isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max(label_col).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
     return [(r.text, int(r.y)) for r in found.select("text", "y").collect()]
 
 
@@ -145,7 +146,11 @@ THRESHOLD = 0.3
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows scored below threshold; columns as they were. The classifier is fitted to labelled rows of docs; texts are scored in the scan, nothing is joined."""
+    """docs without the rows scored below threshold; columns as they were.
+
+    The classifier is fitted to labelled rows of docs; texts are scored in the scan, nothing is joined. Each row is judged by its text alone:
+    rows that repeat an id may fare differently, null and empty texts are scored on the constant, and an empty table gives no rows.
+    """
     weights = train(training_rows(docs, labels, "quality", 6000))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
