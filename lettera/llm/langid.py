@@ -25,6 +25,11 @@ CACHE, SMOOTHING = 300_000, 0.1
 LONG = 32
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of word characters that hold a letter, in lower case; signs such as ½ alone are no word."""
+    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
+
+
 def vocabulary(path: str) -> dict[str, int]:
     """Pieces of letters, with or without the mark of a word's start, by their ids; single characters outside share one id."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -116,7 +121,7 @@ def fit(rows: list[tuple[str, str]], pieces: dict[str, int], rounds: int = 2) ->
     longest = max(map(len, pieces), default=1)
     words = {lang: Counter() for lang in langs}
     for text, lang in rows:
-        words[lang].update(set(WORD.findall(text.lower())))
+        words[lang].update(set(words_of(text)))
     size = len(pieces) + 1
     probs = np.zeros((size, len(langs)))
     for a, lang in enumerate(langs):
@@ -154,14 +159,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 
     def run(batches):
         pieces, langs, probs = shared.value
-        row_of, rows = {}, np.zeros((0, len(langs)))
+        row_of, rows = {}, np.zeros((1024, len(langs)))
         for b in batches:
-            counts = [Counter(WORD.findall(t.lower())) if (t := x.as_py()) else Counter() for x in b["t"]]
+            counts = [Counter(words_of(x.as_py())) for x in b["t"]]
             if len(row_of) > CACHE:
-                row_of, rows = {}, rows[:0]
+                row_of = {}
             fresh = list(set().union(*counts).difference(row_of)) if counts and langs else []
+            if len(row_of) + len(fresh) > len(rows):  # grows by doubling
+                rows = np.vstack([rows[: len(row_of)], np.zeros((len(row_of) + 2 * len(fresh), len(langs)))])
+            if fresh:
+                rows[len(row_of) : len(row_of) + len(fresh)] = forward(fresh, pieces, longest, probs)
             row_of.update(zip(fresh, range(len(row_of), len(row_of) + len(fresh))))
-            rows = np.vstack([rows, forward(fresh, pieces, longest, probs)]) if fresh else rows
             pred, score = [], []
             for c in counts:
                 if not c or not langs:
