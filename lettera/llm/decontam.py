@@ -105,7 +105,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_windows: int = 250_000, short_items: bool = True) -> DataFrame:
-    """docs with three columns more: n_words, hit_spans (array of [start, end) word spans, merged), hit_items (sorted item ids).
+    """docs with columns more: n_words, hit_spans (array of [start, end) word spans, merged), hit_items (sorted item ids), hit_whole (those of them with a hit of `window` words).
 
     Windows of `window` consecutive words of an item occur in a document's words; an item of fewer,
     but not none, is one window, unless short_items is off. Null or wordless texts have no words and no
@@ -113,32 +113,36 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_wi
     once. Columns of docs with the names of the new ones are replaced. Nothing is
     shuffled: each block of benchmark windows is broadcast and takes one pass over the texts.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items")]
-    rows = docs.select(names).withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.expr("cast(array() as array<struct<start: long, end: long>>)"), "hit_items": F.expr("cast(array() as array<string>)")})
+    names = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items", "hit_whole")]
+    none = F.expr("cast(array() as array<string>)")
+    rows = docs.select(names).withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.expr("cast(array() as array<struct<start: long, end: long>>)"), "hit_items": none, "hit_whole": none})
     for k, block in enumerate([None, *pattern_blocks(benchmark, window, block_windows, short_items)][1:] or [[]]):
-        rows = one_pass(checkpointed(rows) if k else rows, block)
+        rows = one_pass(checkpointed(rows) if k else rows, block, window)
     return rows
 
 
-def one_pass(rows: DataFrame, block: list[WuManber]) -> DataFrame:
+def one_pass(rows: DataFrame, block: list[WuManber], window: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast([s.patterns for s in block])
 
     def run(batches):
         searchers = [WuManber(p) for p in shared.value]
         for b in batches:
-            counts, spans, items = [], [], []
-            for text, old_spans, old_items in zip(b["text"], b["hit_spans"], b["hit_items"]):
+            counts, spans, items, wholes = [], [], [], []
+            for text, old_spans, old_items, old_whole in zip(b["text"], b["hit_spans"], b["hit_items"], b["hit_whole"]):
                 words = words_of(text.as_py())
                 hashes = word_hashes(words)
-                hit, named = [(x["start"], x["end"]) for x in old_spans.as_py()], set(old_items.as_py())
+                hit, named, whole = [(x["start"], x["end"]) for x in old_spans.as_py()], set(old_items.as_py()), set(old_whole.as_py())
                 for s in searchers:
                     for at, p in s.search(words, hashes):
                         hit.append((at, at + s.m))
                         named |= s.patterns[p]
+                        if s.m >= window:
+                            whole |= s.patterns[p]
                 counts.append(len(words))
                 spans.append([{"start": x, "end": y} for x, y in merged(hit)])
                 items.append(sorted(named))
-            new = {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, b.schema.field("hit_spans").type), "hit_items": pa.array(items, b.schema.field("hit_items").type)}
+                wholes.append(sorted(whole))
+            new = {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, b.schema.field("hit_spans").type), "hit_items": pa.array(items, b.schema.field("hit_items").type), "hit_whole": pa.array(wholes, b.schema.field("hit_whole").type)}
             yield pa.RecordBatch.from_arrays([new.get(c, b[c]) for c in b.schema.names], b.schema.names)
 
     return rows.mapInArrow(run, rows.schema)
@@ -150,10 +154,10 @@ LEAST_ITEMS = 2
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:
     """docs without the rows in which whole windows of least_items or more items occur, or LEAST_ITEMS items of any length; columns as they were.
 
-    One item of a few words may stand in a clean document by chance, a passage of eight does not.
+    One item of a few words may stand in a clean document by chance, a passage of eight does not. Each row is judged by its text alone, so rows
+    that repeat an id may fare differently; null and empty texts stay, and an empty table gives no rows.
     """
-    rest = occurrences(docs, benchmark).where(F.size("hit_items") < max(least_items, LEAST_ITEMS))
-    return occurrences(rest, benchmark, short_items=False).where(F.size("hit_items") < least_items).select(docs.columns)
+    return occurrences(docs, benchmark).where((F.size("hit_items") < max(least_items, LEAST_ITEMS)) & (F.size("hit_whole") < least_items)).select(docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

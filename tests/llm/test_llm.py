@@ -463,3 +463,50 @@ def test_html_densities_by_the_formula():
         assert math.isclose(n.density, own / t * math.log(max(own / k * t / a, 1.0) + 1) / max(base and math.log(base), 1.0) if own else 0.0)
     sums = {id(n): sum(c.density for c in n.children if isinstance(c, Node)) for n in nodes}
     assert all(math.isclose(n.total, sums[id(n)]) for n in nodes) and max(nodes, key=lambda n: n.total).tag in ("div", "body")
+
+
+def test_signs_are_no_language(spark):
+    from lettera.llm.langid import identify
+
+    rows = [(i, "some words of a text", "en") for i in range(20)] + [(100, "½ ² ①", None), (101, "12 34 -", None), (102, "½ words", None)]
+    got = {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == got[101] == "und" and got[102] == "en"
+
+
+def test_ftrl_against_an_independent_one(spark):
+    """Training and scoring by the textbook's per-coordinate loop; false positives are counted too."""
+    import math
+
+    from lettera.llm.quality import Hashes, features, train
+
+    rows = [("good words in a row here and there", 1), ("BUY now!!! 1111", 0), ("another good line of words", 1), ("x x x x x x", 0), (None, 0)] * 3
+    z, n = defaultdict(float), defaultdict(float)
+    alpha, beta, l1, l2, hashes = 0.3, 1.0, 0.02, 0.1, Hashes()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for t, y in rows:
+            index, value = features(t, hashes)
+            total = defaultdict(float)
+            for i, v in zip(index.tolist(), value.tolist()):
+                total[i] += v
+            assert len(total) == len(index)
+            w = {i: weight(i) for i in total}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in total.items())))
+            for i, v in total.items():
+                g = (p - y) * v
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    got = train(rows)
+    assert all(math.isclose(got[i], weight(i), rel_tol=1e-4, abs_tol=1e-6) for i in list(z))
+
+
+def test_empty_token_files(spark, tmp_path):
+    from lettera.llm.token_files import read_tokens, write_tokens
+
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    write_tokens(empty, f"{tmp_path}/none")
+    assert read_tokens(spark, f"{tmp_path}/none").count() == 0
