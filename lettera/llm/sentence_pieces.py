@@ -31,9 +31,9 @@ from .common import checkpointed, read_table
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Characters of a unit that one fold takes: a cut between any two of them is a bit of a long. Longer units are folded in windows, each STEP characters on.
 WINDOW, STEP = 62, 32
-GROUP_CHARS = 48_000_000
+GROUP_CHARS = 32_000_000
 #: Frequent units kept, and characters of the sample in which they are counted. Ids don't depend on them: any other unit is encoded with its group.
-FREQUENT, SAMPLE_CHARS = 400_000, 100_000_000
+FREQUENT, SAMPLE_CHARS = 300_000, 100_000_000
 
 
 def model_of(path: str) -> sentencepiece.SentencePieceProcessor:
@@ -130,8 +130,8 @@ def frequent_units(rows: DataFrame, pattern: str, path: str, chars: int) -> dict
     def count(batches):
         units, n = re.compile(pattern), Counter()
         for b in batches:
-            for t in b["text"].to_pylist():
-                n.update(cut(units, t))
+            for t in b["text"]:
+                n.update(cut(units, t.as_py()))
             if len(n) > FREQUENT:
                 yield from out(n)
                 n = Counter()
@@ -185,16 +185,17 @@ class Encoder:
 
     def all(self, table: pa.Table) -> dict[str, bytes]:
         """Ids of the units of a table (unit, tokens)."""
-        tokens = table["tokens"].combine_chunks()
-        values, ends = tokens.values.to_pylist(), tokens.offsets.to_pylist()
-        return {u: self.ids(u, values[a:z]) for u, a, z in zip(table["unit"].to_pylist(), ends[:-1], ends[1:])}
+        out = {}
+        for b in table.select(["unit", "tokens"]).to_batches(max_chunksize=50_000):
+            out.update((u, self.ids(u, t)) for u, t in zip(b["unit"].to_pylist(), b["tokens"].to_pylist()))
+        return out
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id_col, text, ids array<int>): one row per row of docs, with the ids the library gives its whole text.
 
     Null and empty texts have no ids. Documents are dealt by a hash of id and text to groups of
-    some 48 million characters; units that are not frequent are encoded once a group, and no table of all units is ever broadcast.
+    some 32 million characters; units that are not frequent are encoded once a group, and no table of all units is ever broadcast.
     Repeated rows get equal ids; an empty table gives no rows; further columns are ignored.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
@@ -209,7 +210,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     @F.arrow_udf("array<string>")
     def rare_units(texts: pa.Array) -> pa.Array:
         units, known = re.compile(pattern), shared.value
-        return pa.array([[u for u in set(cut(units, t)) if u not in known] for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.array([[u for u in set(cut(units, t)) if u not in known] for t in (x.as_py() for x in texts)], pa.list_(pa.string()))
 
     rare = dealt.select("g", F.explode(rare_units(F.col("d")[1])).alias("unit")).distinct().repartition(int(groups), "g")
     pairs = rare.select("g", F.explode(windows_of()).alias("unit")).distinct()
@@ -225,12 +226,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 got = rare[u] = encoder.ids(u, []) if len(u) <= WINDOW else own.ids(u, [ids_of(w) for w in own.windows(u)])
             return got
 
-        docs = texts["d"].combine_chunks().values
-        names, bodies = docs.take(pa.array(range(0, len(docs), 2))), docs.take(pa.array(range(1, len(docs), 2)))
-        found = [np.frombuffer(b"".join(map(ids_of, cut(pieces, t))), np.int32) for t in bodies.to_pylist()]
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
-        return pa.table({"id": names, "text": bodies, "ids": ids})
+        parts = []
+        for chunk in texts["d"].chunks or [pa.array([], texts["d"].type)]:
+            both, found, ends = chunk.flatten(), bytearray(), [0]
+            for at in range(1, len(both), 2):
+                found += b"".join(map(ids_of, cut(pieces, both[at].as_py())))
+                ends.append(len(found) // 4)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(found, np.int32)))
+            parts.append(pa.table({"id": both.take(pa.array(range(0, len(both), 2))), "text": both.take(pa.array(range(1, len(both), 2))), "ids": ids}))
+        return pa.concat_tables(parts)
 
     out = dealt.groupBy("g").cogroup(back.groupBy("of")).applyInArrow(assemble, "id string, text string, ids array<int>")
     return out.select(F.col("id").cast(kind).alias(id_col), "text", "ids")
