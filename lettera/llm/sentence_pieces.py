@@ -31,9 +31,9 @@ from .common import checkpointed, read_table
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Characters of a unit that one fold takes: a cut between any two of them is a bit of a long. Longer units are folded in windows, each STEP characters on.
 WINDOW, STEP = 62, 32
-GROUP_CHARS = 32_000_000
+GROUP_CHARS = 20_000_000
 #: Frequent units kept, and characters of the sample in which they are counted. Ids don't depend on them: any other unit is encoded with its group.
-FREQUENT, SAMPLE_CHARS = 300_000, 100_000_000
+FREQUENT, SAMPLE_CHARS = 250_000, 100_000_000
 
 
 def model_of(path: str) -> sentencepiece.SentencePieceProcessor:
@@ -195,7 +195,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """(id_col, text, ids array<int>): one row per row of docs, with the ids the library gives its whole text.
 
     Null and empty texts have no ids. Documents are dealt by a hash of id and text to groups of
-    some 32 million characters; units that are not frequent are encoded once a group, and no table of all units is ever broadcast.
+    some 20 million characters; units that are not frequent are encoded once a group, and no table of all units is ever broadcast.
     Repeated rows get equal ids; an empty table gives no rows; further columns are ignored.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
@@ -288,17 +288,27 @@ class LongUnits:
         return np.array([i for t in out for i in t[2]], np.int32).tobytes()
 
 
+class Decoder:
+    """Texts of ids: byte pieces joined to characters and the mark at the start taken off; null for null."""
+
+    def __init__(self, path: str):
+        model = model_of(path)
+        self.raw = [bytes([i - 3]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.vocab_size())]
+
+    def texts(self, ids: pa.ListArray) -> list[str | None]:
+        one = lambda x: b"".join(map(self.raw.__getitem__, x.values.to_pylist())).decode(errors="replace").removeprefix(" ")
+        return [one(x) if x.is_valid else None for x in ids]
+
+
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
-    """rows with text_col: the text of ids_col, byte pieces joined to characters and the mark at the start taken off. Null ids give a null text."""
+    """rows with text_col: the text of ids_col. Null ids give a null text, no ids the empty one; a column named text_col before is replaced."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches):
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        raw = [bytes([i - 3]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.vocab_size())]
+        decoder = Decoder(path)
         for b in batches:
-            ends, flat = b[ids_col].offsets.to_pylist(), b[ids_col].values.to_pylist()
-            texts = [b"".join(map(raw.__getitem__, flat[x:y])).decode(errors="replace").removeprefix(" ") if ok else None for x, y, ok in zip(ends[:-1], ends[1:], b[ids_col].is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != text_col), pa.array(texts, pa.string())], [*(c for c in b.schema.names if c != text_col), text_col])
+            names = [c for c in b.schema.names if c != text_col]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(decoder.texts(b[ids_col]), pa.string())], [*names, text_col])
 
     kept = [f for f in rows.schema.fields if f.name != text_col]
     return rows.mapInArrow(run, type(rows.schema)(kept).add(text_col, "string"))
@@ -306,14 +316,16 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", pat
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip: whether decoding gives the text again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
 
     def digest(batches):
+        decoder = Decoder(path)  # here rather than by decode(), so that a task has one Python worker fewer
         for b in batches:
-            flat, ends = b["ids"].values.to_numpy(zero_copy_only=False).astype("<u4"), b["ids"].offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            same = [x == y for x, y in zip(b["text"].to_pylist(), b["decoded"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
+            sizes = [len(x) for x in b["ids"]]
+            crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4")) for x in b["ids"]]
+            same = [x.as_py() == y for x, y in zip(b["text"], decoder.texts(b["ids"]))]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
-    found = decode(encode(read_table(spark, sf_dir, "documents")))
+    found = encode(read_table(spark, sf_dir, "documents"), path=path)
     kind = found.schema["doc_id"].dataType.simpleString()
     return found.mapInArrow(digest, f"doc_id {kind}, n_ids long, ids_crc32 long, round_trip boolean")
