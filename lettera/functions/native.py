@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .constants import CHARACTER_FIXES, CORE, GERMANISMS, MODERN_MARK, OLD_MARKS, PALATALS, STOPWORDS, SUFFIXES
 
-ACCENTED, PLAIN = "āčēģīķļņšūžàâäáãåçèêëéìîïíñòôöóõùûüúýÿ", "acegiklnsuzaaaaaaceeeeiiiinooooouuuuyy"
+def plain_letters() -> tuple[str, str]:
+    """All lower-case letters that Unicode decomposes into one letter and marks, with that letter; then the marks, which go. Hangul, which decomposes into letters, is left."""
+    pairs, gone = [], []
+    for c in map(chr, range(0x80, 0x10000)):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if not base:
+            gone.append(c)
+        elif len(base) == 1 and base != c and not 0xD800 <= ord(c) <= 0xDFFF:
+            pairs.append((c, base))
+    return "".join(c for c, _ in pairs) + "".join(gone), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = plain_letters()
 SUFFIX = "|".join(sorted(set(SUFFIXES), key=lambda s: (-len(s), s)))
 
 
 def deaccent(c: Column) -> Column:
-    """Lower case without the marks of Latvian and Western European letters; other scripts are the Python function's."""
+    """Lower case without the marks of letters, of any script but Hangul."""
     return F.translate(F.lower(c), ACCENTED, PLAIN)
 
 
@@ -48,6 +61,16 @@ def old_weight(word: Column) -> Column:
     return F.greatest(*(F.when(word.rlike(p), w).otherwise(0.0) for p, w in OLD_MARKS))
 
 
+def old_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, old_score, not rounded): one row per row of docs. Words are exploded and weighed inside code generation; the eight marks are tried only in words that have one of them."""
+    rows = docs.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id"), words(F.lower(F.col(text_col))).alias("w"))
+    each = rows.select("r", "id", F.explode_outer("w").alias("w"))
+    some = F.col("w").rlike("|".join(f"(?:{p})" for p, _ in OLD_MARKS))
+    weighed = each.select("r", "id", F.when(some, old_weight(F.col("w"))).otherwise(0.0).alias("o"), (~some & F.col("w").rlike(MODERN_MARK)).cast("int").alias("m"))
+    sums = weighed.groupBy("r", "id").agg(F.sum("o").alias("o"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"))
+    return sums.select(F.col("id").alias(id_col), F.when(F.col("o") == 0, 0.0).otherwise(F.col("o") / (F.col("o") + F.col("m"))).alias("old_score"))
+
+
 def old_score(c: Column) -> Column:
     w = F.transform(words(F.lower(c)), lambda x: F.struct(old_weight(x).alias("o"), x.rlike(MODERN_MARK).alias("m")))
     sums = F.aggregate(w, F.struct(F.lit(0.0).alias("o"), F.lit(0).alias("m")), lambda a, x: F.struct((a["o"] + x["o"]).alias("o"), (a["m"] + F.when((x["o"] == 0) & x["m"], 1).otherwise(0)).alias("m")))
@@ -55,15 +78,17 @@ def old_score(c: Column) -> Column:
 
 
 def detect_language(c: Column) -> Column:
-    """Struct(language, score) by stop-word shares of texts in Latin script; ties go lv, de, et."""
+    """Struct(language, score) by stop-word shares; ties go lv, de, et. Where over a fifth of the letters are Cyrillic, ru with that share. Texts are in NFC, as clean_ocr leaves them."""
     w = words(F.lower(c))
+    cyrillic = F.regexp_count(c, F.lit("[Ѐ-ӿ]")) / F.nullif(F.regexp_count(c, F.lit(r"\p{L}")), F.lit(0))
     n = F.size(w)
     within = lambda stops: lambda x: x.isin(stops)
     share = {k: F.size(F.filter(w, within(v))) / n for k, v in STOPWORDS.items()}
     share["lv"] = share["lv"] + F.least(F.lit(0.25), F.size(F.filter(w, lambda x: x.rlike(MODERN_MARK))) / n)
     best = F.greatest(*share.values())
     name = F.when(n == 0, "unknown").when(best < 0.03, "unknown").when(share["lv"] == best, "lv").when(share["de"] == best, "de").otherwise("et")
-    return F.struct(name.alias("language"), F.when(n == 0, 0.0).otherwise(F.round(best, 6)).alias("score"))
+    ru = F.coalesce(cyrillic > 0.2, F.lit(False))
+    return F.struct(F.when(ru, "ru").otherwise(name).alias("language"), F.when(ru, F.round(cyrillic, 6)).when(n == 0, 0.0).otherwise(F.round(best, 6)).alias("score"))
 
 
 def julian_to_gregorian(d: Column) -> Column:
@@ -75,7 +100,7 @@ def guess_date(c: Column) -> Column:
     """The first year, month and day, zero-padded and unchecked; else the first year; else empty."""
     full = r"(1[5-9]\d{2}|20\d{2})[-./](\d{1,2})[-./](\d{1,2})"
     part = lambda k: F.lpad(F.regexp_extract(c, full, k), 2, "0")
-    return F.when(F.regexp_extract(c, full, 1) != "", F.concat_ws("-", F.regexp_extract(c, full, 1), part(2), part(3))).otherwise(F.regexp_extract(c, r"(1[5-9]\d{2}|20\d{2})", 1))
+    return F.when(F.regexp_extract(c, full, 1) != "", F.concat_ws("-", F.regexp_extract(c, full, 1), part(2), part(3))).otherwise(F.regexp_extract(c, r"\b(1[5-9]\d{2}|20[0-2]\d)\b", 1))
 
 
 def snippet(text: Column, query: str, width: int = 160) -> Column:

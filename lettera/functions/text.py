@@ -6,7 +6,7 @@ import datetime
 import re
 import unicodedata
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 
 from .constants import ABBREVIATIONS, CHARACTER_FIXES, CONFUSED, CORE, DOUBLED, ENDINGS, FOLK_MONTHS, GERMANISMS, MIXED_FROM, MODERN_MARK, MONTHS, OLD_FROM, OLD_MARKS, OLD_SPELLINGS, PALATALS, PARADIGMS, PLACES, PREFIXES, STOPWORDS, SUFFIXES
 
@@ -43,6 +43,11 @@ def clean_ocr(text: str | None, join_hyphens: bool = True, collapse_spacing: boo
     return t.strip()
 
 
+#: Words that a worker remembers the results of; a word is worked out once, not once an occurrence.
+remembered = lru_cache(200_000)
+
+
+@remembered
 def undouble(word: str) -> str:
     """Doubled consonants as one, from the left; one that begins where a prefix ends is passed over, and a second such ends the work."""
     shielded = [m.start() for m in DOUBLE.finditer(word)]
@@ -55,6 +60,7 @@ def undouble(word: str) -> str:
     return word
 
 
+@remembered
 def modern_word(word: str, rules: SpellingRules = SpellingRules()) -> str:
     t = word.lower()
     for on, group in ((rules.core, CORE), (rules.germanisms, GERMANISMS), (rules.palatals, PALATALS)):
@@ -83,12 +89,18 @@ def decapitalized(text: str) -> str:
     return "".join(out)
 
 
+@remembered
+def marks(word: str) -> tuple[float, bool]:
+    """The weight of a lower-case word's marks of old spelling, and whether it has marks of the modern one alone."""
+    weight = max((x for p, x in OLD_MARKS if re.search(p, word)), default=0.0)
+    return weight, not weight and bool(re.search(MODERN_MARK, word))
+
+
 def looks_old(text: str) -> float:
     old = modern = 0.0
-    for w in WORD.findall(text.lower()):
-        weight = max((x for p, x in OLD_MARKS if re.search(p, w)), default=0.0)
+    for weight, new in map(marks, WORD.findall(text.lower())):
         old += weight
-        modern += not weight and bool(re.search(MODERN_MARK, w))
+        modern += new
     return round(old / (old + modern), 3) if old else 0.0
 
 
@@ -96,6 +108,7 @@ def fold(text: str | None) -> str:
     return WORD.sub(lambda m: undouble(m[0]), deaccent(old_to_modern(text)))
 
 
+@remembered
 def stem(word: str) -> str:
     base = deaccent(word)
     return m[1] if len(base) > 3 and (m := STEM.fullmatch(base)) else base

@@ -1,12 +1,10 @@
 """Arrow-batched functions over the Python text functions, and their names in SQL.
 
-A worker remembers the words it has met, so a word is worked out once a worker, not once an occurrence.
+The text functions remember words (see text.remembered) for as long as a worker lives, so a word is worked out once a worker, not once an occurrence.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +21,7 @@ def strings(fn, kind: str = "string"):
 
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
-        return s.fillna("").map(lru_cache(50_000)(fn))
+        return s.fillna("").map(fn)
 
     return run
 
@@ -37,7 +35,7 @@ def structs(fn, kind: str):
 
 
 def plain(fn):
-    """A function of this package as one that is shipped by value."""
+    """A function of this package as one that is shipped by name, with the memory that its module has in the worker."""
     return lambda t: fn(t)
 
 

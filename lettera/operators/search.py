@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettera.functions import native as N
@@ -44,7 +44,7 @@ def postings(index: DataFrame) -> DataFrame:
 def occurrences(tokens: str, phrase: list[str]) -> Column:
     """How often the phrase stands in the fields, its tokens next to each other in one field."""
     if len(phrase) == 1:
-        return F.aggregate(tokens, F.lit(0), lambda n, t: n + F.size(F.filter(t, lambda x: x == phrase[0])))
+        return F.aggregate(tokens, F.lit(0), lambda n, t: n + F.size(t) - F.size(F.array_remove(t, phrase[0])))
     want, k = F.array(*map(F.lit, phrase)), len(phrase)
     at = lambda t: F.when(F.size(t) >= k, F.size(F.filter(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.slice(t, i, k) == want))).otherwise(0)
     return F.aggregate(tokens, F.lit(0), lambda n, t: n + at(t))
@@ -122,5 +122,6 @@ def site_search(variants: Sequence[str], fetch: Callable[[str], list[dict]], lim
 
 
 def first_wins(hits: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key by order."""
-    return hits.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each key by order: an aggregate that combines before the shuffle, so a hot key costs a row a task."""
+    best = hits.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_row"))
+    return best.select("_row.*").select(hits.columns)

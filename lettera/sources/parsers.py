@@ -50,24 +50,22 @@ def real(text: str | None) -> float | None:
         return None
 
 
+# Formats by what stands in the first bytes of markup, in order of trial, and how many bytes are looked at.
+FORMATS = [
+    ("alto", ["<alto"], 2048), ("page", ["<pcgts", "pagecontent"], 2048), ("mets", ["<mets", "mets/"], 2048), ("tei", ["<tei"], 2048), ("sitemap", ["urlset", "sitemapindex"], 2048),
+    ("oai", ["oai-pmh"], 2048), ("hocr", ["ocr_page", "ocr_line"], 4096), ("html", ["<html", "<!doctype html"], 2048),
+]
+
+
 def sniff(data: bytes, content_type: str = "") -> str:
-    """The format, by the first bytes and the content type; the order of the tests matters."""
-    head = data[:2048].decode("utf-8", "replace").lower()
-    kind = content_type.lower()
-    if head.lstrip().startswith("<"):
-        for found, marks in (("alto", ["<alto", "alto/ns", "standards/alto"]), ("page", ["<pcgts", "pagecontent"]), ("mets", ["<mets", "mets:mets"]), ("tei", ["<tei", "tei-c.org"]), ("sitemap", ["<urlset", "<sitemapindex"]), ("oai", ["<oai-pmh"]), ("hocr", ["ocr_page", "ocr-system"])):
-            if any(m in head for m in marks):
-                return found
-        if "<html" in head or "<!doctype html" in head or "html" in kind:
-            return "html"
-        return "xml"
-    if "json" in kind or head.lstrip()[:1] in ("{", "["):
+    """The format, by the first bytes and the content type. Without a content type all that is no markup or JSON is text."""
+    kind, start = content_type.lower(), data[:2048].lstrip()[:1]
+    if start == b"<":
+        head = data[:4096].lower().decode("latin-1")
+        return next((f for f, marks, n in FORMATS if any(m in head[:n] for m in marks)), "html" if kind.startswith("text/html") else "xml")
+    if start in (b"{", b"["):
         return "json"
-    if "html" in kind:
-        return "html"
-    if kind.startswith("text/") or (data and not kind and b"\0" not in data[:2048]):
-        return "text"
-    return "binary"
+    return "html" if kind.startswith("text/html") else "text" if kind.startswith("text/") or not kind else "binary"
 
 
 def line_of(strings: list[dict]) -> dict:
@@ -94,7 +92,7 @@ def parse_alto(data: bytes, join_over_lines: bool = False) -> dict:
     """A page. A hyphenated word is whole in its first half; the second half is passed over if it is in the same line, or in the next too with join_over_lines."""
     root = xml(data)
     page = next((e for e in root.iter() if name(e) == "Page"), root)
-    language = next((attr(e, k) for e in root.iter() for k in ("language", "LANG") if attr(e, k)), "")
+    language = next((e.text.strip() for e in root.iter() if name(e) == "Language" and e.text), "")
     blocks: list[dict] = []
     half = False
 
@@ -102,20 +100,22 @@ def parse_alto(data: bytes, join_over_lines: bool = False) -> dict:
         nonlocal half
         half = half and join_over_lines
         for s in (e for e in line if name(e) == "String"):
-            part = attr(s, "SUBS_TYPE")
-            if part == "HypPart2" and half:
+            part = attr(s, "SUBS_TYPE").lower()
+            if part == "hyppart2" and half:
                 half = False
                 continue
-            whole = attr(s, "SUBS_CONTENT") if part == "HypPart1" else ""
-            half = bool(whole)
-            h, v, w, t = box(s)
-            yield {"content": whole or attr(s, "CONTENT"), "hpos": h, "vpos": v, "width": w, "height": t, "confidence": real(attr(s, "WC") or None), "style": attr(s, "STYLE")}
+            content = attr(s, "CONTENT")
+            if part == "hyppart1":
+                content, half = attr(s, "SUBS_CONTENT", content), True
+            if content:
+                h, v, w, t = box(s)
+                yield {"content": content, "hpos": h, "vpos": v, "width": w, "height": t, "confidence": real(attr(s, "WC") or None), "style": attr(s, "STYLEREFS")}
 
     def walk(e, parent):
         if name(e) == "TextBlock":
             lines = [x for x in (line_of(list(strings(n))) for n in e.iter() if name(n) == "TextLine") if x["text"]]
             if lines:
-                blocks.append(block_of(attr(e, "ID"), lines, box(e), parent, attr(e, "TYPE")))
+                blocks.append(block_of(attr(e, "ID"), lines, box(e), parent, attr(e, "TYPE") or attr(e, "STYLEREFS")))
             return
         for c in e:
             walk(c, parent or (attr(c, "ID") if name(c) == "ComposedBlock" else ""))

@@ -29,18 +29,15 @@ def parse_rows(resources: DataFrame, parse, schema: str) -> DataFrame:
 
 
 def with_format(resources: DataFrame) -> DataFrame:
-    """resources (url, body, content_type) with the sniffed format, natively."""
-    head = F.lower(F.decode(F.substring("body", 1, 2048), "UTF-8"))
-    kind = F.lower(F.coalesce("content_type", F.lit("")))
-    has = lambda *marks: F.greatest(*[F.contains(head, F.lit(m)) for m in marks], F.lit(False))
-    start = F.substring(F.ltrim(head), 1, 1)
-    markup = start == "<"
-    return resources.withColumn(
-        "format",
-        F.when(markup & has("<alto", "alto/ns", "standards/alto"), "alto").when(markup & has("<pcgts", "pagecontent"), "page").when(markup & has("<mets", "mets:mets"), "mets").when(markup & has("<tei", "tei-c.org"), "tei")
-        .when(markup & has("<urlset", "<sitemapindex"), "sitemap").when(markup & has("<oai-pmh"), "oai").when(markup & has("ocr_page", "ocr-system"), "hocr").when(markup & (has("<html", "<!doctype html") | F.contains(kind, F.lit("html"))), "html")
-        .when(markup, "xml").when(F.contains(kind, F.lit("json")) | start.isin("{", "["), "json").when(F.contains(kind, F.lit("html")), "html").when(F.startswith(kind, F.lit("text/")), "text").otherwise("binary"),
-    )
+    """resources (url, body, content_type) with the format that parsers.sniff gives, natively. A null body is empty."""
+    head = F.lower(F.decode(F.coalesce(F.substring("body", 1, 4096), F.lit(b"")), "ISO-8859-1"))  # all marks are ASCII
+    kind, start = F.lower(F.coalesce("content_type", F.lit(""))), F.regexp_extract(F.substring(head, 1, 2048), "^[ \t-\r]*([^ \t-\r])", 1)
+    html = F.startswith(kind, F.lit("text/html"))
+    found = F.when(html, "html").otherwise("xml")
+    for name, marks, n in reversed(P.FORMATS):
+        found = F.when(F.greatest(*(F.contains(F.substring(head, 1, n), F.lit(m)) for m in marks), F.lit(False)), name).otherwise(found)
+    text = F.when(html, "html").when(F.startswith(kind, F.lit("text/")) | (kind == ""), "text").otherwise("binary")
+    return resources.withColumn("format", F.when(start == "<", found).when(start.isin("{", "["), "json").otherwise(text))
 
 
 def page_blocks(resources: DataFrame, fmt: str = "alto") -> DataFrame:
