@@ -204,15 +204,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, total // GROUP_CHARS, min(12, total >> 18))
     shared = rows.sparkSession.sparkContext.broadcast(frequent_units(rows, pattern, path, total))  # FREQUENT units at most
-    # id and text as one array: all readers of the shuffled texts need the same column, so they are shuffled once
-    dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int").alias("g"), F.array(F.col("id").cast("string"), "text").alias("d")).repartition(int(groups), "g")
+    # a group is a partition, so that no task has several; id and text as one array: all readers of the shuffled texts need the same column, so they are shuffled once
+    dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int").alias("g"), F.array(F.col("id").cast("string"), "text").alias("d")).repartitionById(int(groups), "g")
 
     @F.arrow_udf("array<string>")
     def rare_units(texts: pa.Array) -> pa.Array:
         units, known = re.compile(pattern), shared.value
         return pa.array([[u for u in set(cut(units, t)) if u not in known] for t in (x.as_py() for x in texts)], pa.list_(pa.string()))
 
-    rare = dealt.select("g", F.explode(rare_units(F.col("d")[1])).alias("unit")).distinct().repartition(int(groups), "g")
+    rare = dealt.select("g", F.explode(rare_units(F.col("d")[1])).alias("unit")).distinct().repartitionById(int(groups), "g")
     pairs = rare.select("g", F.explode(windows_of()).alias("unit")).distinct()
     back = encode_units(pairs, path, ("g",)).select(F.col("g").alias("of"), "unit", "tokens")
     kind = rows.schema["id"].dataType.simpleString()
