@@ -17,6 +17,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -191,12 +192,13 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, then: Callable[[pa.Table], pa.Table] | None = None, gives: str = "text string, ids array<int>") -> DataFrame:
     """(id_col, text, ids array<int>): one row per row of docs, with the ids the library gives its whole text.
 
     Null and empty texts have no ids. Documents are dealt by a hash of id and text to groups of
     some 20 million characters; units that are not frequent are encoded once a group, and no table of all units is ever broadcast.
-    Repeated rows get equal ids; an empty table gives no rows; further columns are ignored.
+    Repeated rows get equal ids; an empty table gives no rows; further columns are ignored. A function `then` makes of tables
+    (id, text, ids) tables of id and what `gives` names, in the worker that encodes.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     pattern = unit_pattern(vocabulary(model_of(path)))
@@ -212,7 +214,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         units, known = re.compile(pattern), shared.value
         return pa.array([[u for u in set(cut(units, t)) if u not in known] for t in (x.as_py() for x in texts)], pa.list_(pa.string()))
 
-    rare = dealt.select("g", F.explode(rare_units(F.col("d")[1])).alias("unit")).distinct().repartitionById(int(groups), "g")
+    rare = dealt.select("g", F.explode(rare_units(F.col("d")[1])).alias("unit")).repartitionById(int(groups), "g")
     pairs = rare.select("g", F.explode(windows_of()).alias("unit")).distinct()
     back = encode_units(pairs, path, ("g",)).select(F.col("g").alias("of"), "unit", "tokens")
     kind = rows.schema["id"].dataType.simpleString()
@@ -233,11 +235,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 found += b"".join(map(ids_of, cut(pieces, both[at].as_py())))
                 ends.append(len(found) // 4)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(found, np.int32)))
-            parts.append(pa.table({"id": both.take(pa.array(range(0, len(both), 2))), "text": both.take(pa.array(range(1, len(both), 2))), "ids": ids}))
+            part = pa.table({"id": both.take(pa.array(range(0, len(both), 2))), "text": both.take(pa.array(range(1, len(both), 2))), "ids": ids})
+            parts.append(then(part) if then else part)
         return pa.concat_tables(parts)
 
-    out = dealt.groupBy("g").cogroup(back.groupBy("of")).applyInArrow(assemble, "id string, text string, ids array<int>")
-    return out.select(F.col("id").cast(kind).alias(id_col), "text", "ids")
+    out = dealt.groupBy("g").cogroup(back.groupBy("of")).applyInArrow(assemble, f"id string, {gives}")
+    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 class LongUnits:
@@ -295,9 +298,9 @@ class Decoder:
         model = model_of(path)
         self.raw = [bytes([i - 3]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.vocab_size())]
 
-    def texts(self, ids: pa.ListArray) -> list[str | None]:
+    def texts(self, ids: pa.ListArray) -> Iterator[str | None]:
         one = lambda x: b"".join(map(self.raw.__getitem__, x.values.to_pylist())).decode(errors="replace").removeprefix(" ")
-        return [one(x) if x.is_valid else None for x in ids]
+        return (one(x) if x.is_valid else None for x in ids)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -308,7 +311,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", pat
         decoder = Decoder(path)
         for b in batches:
             names = [c for c in b.schema.names if c != text_col]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(decoder.texts(b[ids_col]), pa.string())], [*names, text_col])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(list(decoder.texts(b[ids_col])), pa.string())], [*names, text_col])
 
     kept = [f for f in rows.schema.fields if f.name != text_col]
     return rows.mapInArrow(run, type(rows.schema)(kept).add(text_col, "string"))
@@ -318,14 +321,10 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip: whether decoding gives the text again."""
     path = public_tokenizers.path("piece_bpe_32k.model")
 
-    def digest(batches):
-        decoder = Decoder(path)  # here rather than by decode(), so that a task has one Python worker fewer
-        for b in batches:
-            sizes = [len(x) for x in b["ids"]]
-            crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4")) for x in b["ids"]]
-            same = [x.as_py() == y for x, y in zip(b["text"], decoder.texts(b["ids"]))]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
-
-    found = encode(read_table(spark, sf_dir, "documents"), path=path)
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(digest, f"doc_id {kind}, n_ids long, ids_crc32 long, round_trip boolean")
+    def digest(t: pa.Table) -> pa.Table:
+        decoder, ids = Decoder(path), t["ids"].combine_chunks()
+        crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4")) for x in ids]
+        same = [x.as_py() == y for x, y in zip(t["text"], decoder.texts(ids))]
+        return pa.table({"id": t["id"], "n_ids": pa.array([len(x) for x in ids], pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same, pa.bool_())})
+
+    return encode(read_table(spark, sf_dir, "documents"), path=path, then=digest, gives="n_ids long, ids_crc32 long, round_trip boolean")
