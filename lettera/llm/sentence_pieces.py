@@ -188,7 +188,8 @@ class Encoder:
         """Ids of the units of a table (unit, tokens)."""
         out = {}
         for b in table.select(["unit", "tokens"]).to_batches(max_chunksize=50_000):
-            out.update((u, self.ids(u, t)) for u, t in zip(b["unit"].to_pylist(), b["tokens"].to_pylist()))
+            values, ends = b["tokens"].values.to_numpy(zero_copy_only=False).tolist(), b["tokens"].offsets.to_numpy().tolist()
+            out.update((u, self.ids(u, values[a:z])) for u, a, z in zip(b["unit"].to_pylist(), ends[:-1], ends[1:]))
         return out
 
 
@@ -299,7 +300,7 @@ class Decoder:
         self.raw = [bytes([i - 3]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.vocab_size())]
 
     def texts(self, ids: pa.ListArray) -> Iterator[str | None]:
-        one = lambda x: b"".join(map(self.raw.__getitem__, x.values.to_pylist())).decode(errors="replace").removeprefix(" ")
+        one = lambda x: b"".join(map(self.raw.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())).decode(errors="replace").removeprefix(" ")
         return (one(x) if x.is_valid else None for x in ids)
 
 
