@@ -7,15 +7,15 @@ The public model is a byte-pair one, whose encoder merges by rank, so the fold a
 edge of best rank, the leftmost of equals, that spans exactly two neighbours, until there is none. (A Viterbi
 fold over the same scores gives other ids than the library; see the README.)
 
-Texts are shuffled once, by groups. A group's units, their lattice and the texts then meet in one
-task. Units that a sample shows to be frequent are encoded once, and are no work for the groups.
+Texts are shuffled once, compressed and with their units, by groups. The units of all groups are folded
+once each, wherever they occur, and go back to the groups as the bits where their tokens end; there
+they meet the texts. Units that a sample shows to be frequent are encoded beforehand.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import pairwise
@@ -24,6 +24,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,15 +71,11 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(p, pieces[p], k, late(p)) for p, k in at.items()], "piece string, piece_id int, place int, late boolean")
 
 
-#: A token of a unit as a long: where it starts, its characters and its id.
-START, CHARS = 1 << 40, 1 << 32
-
-
-def encode_units(units: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct (*by, unit) of 1 to WINDOW characters, with tokens array<long>: the library's tokens of two characters or more. All other characters are tokens of their own. Units without an edge have no row."""
+def encode_units(units: DataFrame, path: str) -> DataFrame:
+    """Distinct units of 1 to WINDOW characters, with cuts long: bit p is set where one of the library's tokens starts or ends before character p. Units without an edge have no row: each character is a token."""
     pieces, one = piece_table(units.sparkSession, path), F.lit(1).cast("long")
     # a number for each unit makes the groups cheap to sort; it doesn't leave the task
-    keys = ["_n", *by, "unit"]
+    keys = ["_n", "unit"]
     rows = units.where(F.length("unit") > 1).withColumn("_n", F.monotonically_increasing_id())
     longest = max(map(len, vocabulary(model_of(path))), default=1)
     starts = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.length("unit") - 2)).alias("s"))
@@ -87,8 +84,8 @@ def encode_units(units: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataF
     # cuts as bits: those at an edge's ends, and those inside it
     inside = F.call_function("shiftleft", F.call_function("shiftleft", one, F.col("n") - 1) - one, F.col("s") + 1)
     ends = F.call_function("shiftleft", one, F.col("s")).bitwiseOR(F.call_function("shiftleft", one, F.col("s") + F.col("n")))
-    turn, token = (F.col("place").cast("long") * 64 + F.col("s")).alias("turn"), (F.col("s") * F.lit(START) + F.col("n") * F.lit(CHARS) + F.col("piece_id")).alias("token")
-    lattice = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(turn, ends.alias("ends"), inside.alias("inside"), token, "late"))).alias("edges"))
+    turn = (F.col("place").cast("long") * 64 + F.col("s")).alias("turn")
+    lattice = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(turn, ends.alias("ends"), inside.alias("inside"), "late"))).alias("edges"))
     able = lambda x, cuts: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inside"])) == 1)
     none = F.lit(-(1 << 63)).cast("long")
 
@@ -107,15 +104,7 @@ def encode_units(units: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataF
     turns = F.sequence(F.lit(1), F.greatest(F.length("unit") - 1, F.lit(1)))  # a unit of n characters has at most n - 1 merges
     again = F.aggregate(turns, every, lambda cuts, _: best(cuts, F.col("edges"))).bitwiseAND(F.lit((1 << 63) - 1))
     cuts = F.transform(first, lambda c: F.when(c < 0, again).otherwise(c))
-    tokens = F.transform(cuts, lambda c: F.transform(F.filter("edges", lambda x: (c.bitwiseAND(x["ends"]) == x["ends"]) & (c.bitwiseAND(x["inside"]) == 0)), lambda x: x["token"]))
-    return lattice.select(*by, "unit", F.sort_array(F.get(tokens, F.lit(0))).alias("tokens"))
-
-
-def windows_of(unit: str = "unit") -> Column:
-    """A unit in parts that one fold can take."""
-    n = F.length(unit)
-    many = F.transform(F.sequence(F.lit(0), F.ceil((n - WINDOW) / STEP).cast("int")), lambda k: F.substr(F.col(unit), k * STEP + 1, F.lit(WINDOW)))
-    return F.when(n > WINDOW, many).otherwise(F.array(unit))
+    return lattice.select("unit", F.get(cuts, F.lit(0)).alias("cuts"))
 
 
 def cut(pattern: re.Pattern, text: str) -> list[str]:
@@ -155,49 +144,53 @@ def frequent_units(rows: DataFrame, pattern: str, path: str, chars: int) -> dict
     chosen = counts.where(F.col("n") >= least).select("unit")
     found = encode_units(chosen.repartition(-(-have // 20_000), "unit"), path).toArrow()
     encoder = Encoder(path)
-    return {u: encoder.ids(u, []) for u in chosen.toArrow()["unit"].to_pylist()} | encoder.all(found)
+    return {u: encoder.ids(u) for u in chosen.toArrow()["unit"].to_pylist()} | encoder.all(found)
+
+
+class Codes(dict):
+    """Ids, as bytes of 32-bit integers, of pieces; of a character that is none those of its bytes."""
+
+    def __missing__(self, c: str) -> bytes:
+        self[c] = np.array([b + 3 for b in c.encode()], np.int32).tobytes()
+        return self[c]
 
 
 class Encoder:
-    """Ids of units, as bytes of 32-bit integers, from the tokens that the lattice gives."""
+    """Ids of units, as bytes of 32-bit integers, from the cuts that the lattice gives."""
 
     def __init__(self, path: str):
-        self.model = model_of(path)
-        self.pieces = vocabulary(self.model)
-        self.singles: dict[str, list[int]] = {}
+        self.codes = Codes((p, np.int32(i).tobytes()) for p, i in vocabulary(model_of(path)).items())
 
-    def single(self, c: str) -> list[int]:
-        if (got := self.singles.get(c)) is None:
-            got = self.singles[c] = [self.pieces[c]] if c in self.pieces else [b + 3 for b in c.encode()]
-        return got
-
-    def ids(self, unit: str, tokens: list[int]) -> bytes:
-        out, p = array("i"), 0
-        for x in tokens:
-            s = x // START
-            while p < s:
-                out.extend(self.single(unit[p]))
-                p += 1
-            out.append(x % CHARS)
-            p += x % START // CHARS
-        for c in unit[p:]:
-            out.extend(self.single(c))
-        return out.tobytes()
+    def ids(self, unit: str, cuts: int = -1) -> bytes:
+        ends = [0, *(p for p in range(1, len(unit)) if cuts >> p & 1), len(unit)]
+        return b"".join([self.codes[unit[a:z]] for a, z in pairwise(ends)])
 
     def all(self, table: pa.Table) -> dict[str, bytes]:
-        """Ids of the units of a table (unit, tokens)."""
+        """Ids of the units of a table (unit, cuts)."""
         out = {}
-        for b in table.select(["unit", "tokens"]).to_batches(max_chunksize=50_000):
-            values, ends = b["tokens"].values.to_numpy(zero_copy_only=False).tolist(), b["tokens"].offsets.to_numpy().tolist()
-            out.update((u, self.ids(u, values[a:z])) for u, a, z in zip(b["unit"].to_pylist(), ends[:-1], ends[1:]))
+        for b in table.select(["unit", "cuts"]).to_batches(max_chunksize=50_000):
+            out.update((u, self.ids(u, c)) for u, c in zip(b["unit"].to_pylist(), b["cuts"].to_pylist()))
         return out
 
 
+class UnitIds(dict):
+    """Ids of a group's units: those known and folded, and what has no edge or is put together from windows when it is first met."""
+
+    def __init__(self, known: dict[str, bytes], folded: pa.Table, path: str):
+        super().__init__(known)
+        self.encoder, self.long = Encoder(path), LongUnits(path)
+        self.update(self.encoder.all(folded))
+
+    def __missing__(self, u: str) -> bytes:
+        self[u] = got = self.encoder.ids(u) if len(u) <= WINDOW else self.long.ids(u, [self[w] for w in self.long.windows(u)])
+        return got
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, then: Callable[[pa.Table], pa.Table] | None = None, gives: str = "text string, ids array<int>") -> DataFrame:
     """(id_col, text, ids array<int>): one row per row of docs, with the ids the library gives its whole text.
 
     Null and empty texts have no ids. Documents are dealt by a hash of id and text to groups of
-    some 20 million characters; units that are not frequent are encoded once a group, and no table of all units is ever broadcast.
+    some 20 million characters; units that are not frequent are folded once in all, and no table of all units is ever broadcast.
     Repeated rows get equal ids; an empty table gives no rows; further columns are ignored. A function `then` makes of tables
     (id, text, ids) tables of id and what `gives` names, in the worker that encodes.
     """
@@ -207,36 +200,41 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, total // GROUP_CHARS, min(12, total >> 18))
     shared = rows.sparkSession.sparkContext.broadcast(frequent_units(rows, pattern, path, total))  # FREQUENT units at most
-    # a group is a partition, so that no task has several; id and text as one array: all readers of the shuffled texts need the same column, so they are shuffled once
-    dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int").alias("g"), F.array(F.col("id").cast("string"), "text").alias("d")).repartitionById(int(groups), "g")
-
-    @F.arrow_udf("array<string>")
-    def rare_units(texts: pa.Array) -> pa.Array:
-        units, known = re.compile(pattern), shared.value
-        return pa.array([[u for u in set(cut(units, t)) if u not in known] for t in (x.as_py() for x in texts)], pa.list_(pa.string()))
-
-    rare = dealt.select("g", F.explode(rare_units(F.col("d")[1])).alias("unit")).repartitionById(int(groups), "g")
-    pairs = rare.select("g", F.explode(windows_of()).alias("unit")).distinct()
-    back = encode_units(pairs, path, ("g",)).select(F.col("g").alias("of"), "unit", "tokens")
     kind = rows.schema["id"].dataType.simpleString()
 
-    def assemble(texts: pa.Table, units: pa.Table) -> pa.Table:
-        pieces, known, encoder = re.compile(pattern), shared.value, Encoder(path)
-        rare, own = encoder.all(units), LongUnits(path)
-
-        def ids_of(u: str) -> bytes:
-            if (got := known.get(u) or rare.get(u)) is None:
-                got = rare[u] = encoder.ids(u, []) if len(u) <= WINDOW else own.ids(u, [ids_of(w) for w in own.windows(u)])
-            return got
+    def pack(batches):
+        units, known, squeeze = re.compile(pattern), shared.value, zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            values, ends = [], [0]
+            for i, t in zip(b["id"].to_pylist(), b["text"]):
+                text = t.as_py()
+                rare = {w for u in set(cut(units, text)) if u not in known for w in ([u] if len(u) <= WINDOW else LongUnits.windows(u))}
+                values += [None if i is None else i.encode(), squeeze(text.encode()), *(u.encode() for u in rare)]
+                ends.append(len(values))
+            yield pa.RecordBatch.from_arrays([b["g"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.binary()))], ["g", "d"])
+
+    # A group is a partition, so that no task has several. Id, text and units are one array: all readers of what is shuffled need the same column, so it is shuffled once.
+    g = F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int").alias("g")
+    dealt = rows.select(g, F.col("id").cast("string"), "text").mapInArrow(pack, "g int, d array<binary>").repartitionById(int(groups), "g")
+    mine = dealt.select("g", F.explode(F.slice("d", 3, F.size("d")).cast("array<string>")).alias("unit")).where(F.length("unit") > 1).distinct()
+    # likewise one array of group and unit, for the fold and for the way back
+    pairs = mine.select(F.array(F.col("g").cast("string"), "unit").alias("p")).repartition(int(groups), F.col("p")[1])
+    folded = encode_units(pairs.select(F.col("p")[1].alias("unit")).distinct(), path)
+    homes = pairs.select(F.col("p")[0].cast("int").alias("of"), F.col("p")[1].alias("unit"))
+    back = homes.join(folded.hint("shuffle_hash"), "unit").select("of", "unit", "cuts").repartitionById(int(groups), "of")
 
+    def assemble(texts: pa.Table, units: pa.Table) -> pa.Table:
+        pieces, ids_of, unpack = re.compile(pattern), UnitIds(shared.value, units, path).__getitem__, zstandard.ZstdDecompressor().decompress
         parts = []
         for chunk in texts["d"].chunks or [pa.array([], texts["d"].type)]:
-            both, found, ends = chunk.flatten(), bytearray(), [0]
-            for at in range(1, len(both), 2):
-                found += b"".join(map(ids_of, cut(pieces, both[at].as_py())))
+            at, whole, found, ends = chunk.offsets.to_pylist()[: len(chunk)], [], bytearray(), [0]
+            for k in at:
+                text = unpack(chunk.values[k + 1].as_py()).decode()
+                whole.append(text)
+                found += b"".join(map(ids_of, cut(pieces, text)))
                 ends.append(len(found) // 4)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(found, np.int32)))
-            part = pa.table({"id": both.take(pa.array(range(0, len(both), 2))), "text": both.take(pa.array(range(1, len(both), 2))), "ids": ids})
+            part = pa.table({"id": chunk.values.take(pa.array(at, pa.int32())).cast(pa.string()), "text": pa.array(whole, pa.string()), "ids": ids})
             parts.append(then(part) if then else part)
         return pa.concat_tables(parts)
 

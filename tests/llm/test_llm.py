@@ -208,8 +208,8 @@ def test_runs_of_blanks_as_the_library(spark):
     units = {"▁" * n + end for n in range(1, 47) for end in ("", "return", "漢")} | {"".join(rng.choice(letters, int(n))) for n in rng.integers(1, 63, 1500)} | {w[:62] for w in words}
     encoder, folded = Encoder(path), {}
     for r in encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), path).collect():
-        folded[r.unit] = np.frombuffer(encoder.ids(r.unit, list(r.tokens)), np.int32).tolist()
-    assert len(folded) > 1000 and [u for u in units if folded.get(u, np.frombuffer(encoder.ids(u, []), np.int32).tolist()) != model.encode("\n" + u)[2:]] == []
+        folded[r.unit] = np.frombuffer(encoder.ids(r.unit, r.cuts), np.int32).tolist()
+    assert len(folded) > 1000 and [u for u in units if folded.get(u, np.frombuffer(encoder.ids(u), np.int32).tolist()) != model.encode("\n" + u)[2:]] == []
 
 
 def test_long_units_as_the_library(spark):
