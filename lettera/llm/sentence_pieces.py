@@ -37,6 +37,11 @@ GROUP_CHARS = 20_000_000
 #: Frequent units kept, and characters of the sample in which they are counted. Ids don't depend on them: any other unit is encoded with its group.
 FREQUENT, SAMPLE_CHARS = 250_000, 100_000_000
 
+#: Level of the compression of shuffled texts.
+LEVEL = 6
+#: Between units in one string. A line break stands in no unit but those of line breaks alone, so the first place where both characters meet ends a unit.
+BETWEEN = "\n\x01"
+
 
 def model_of(path: str) -> sentencepiece.SentencePieceProcessor:
     return sentencepiece.SentencePieceProcessor(model_file=path)
@@ -203,20 +208,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     kind = rows.schema["id"].dataType.simpleString()
 
     def pack(batches):
-        units, known, squeeze = re.compile(pattern), shared.value, zstandard.ZstdCompressor(level=1).compress
+        units, known, squeeze = re.compile(pattern), shared.value, zstandard.ZstdCompressor(level=LEVEL).compress
         for b in batches:
-            values, ends = [], [0]
+            values = []
             for i, t in zip(b["id"].to_pylist(), b["text"]):
                 text = t.as_py()
                 rare = {w for u in set(cut(units, text)) if u not in known for w in ([u] if len(u) <= WINDOW else LongUnits.windows(u))}
-                values += [None if i is None else i.encode(), squeeze(text.encode()), *(u.encode() for u in rare)]
-                ends.append(len(values))
-            yield pa.RecordBatch.from_arrays([b["g"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.binary()))], ["g", "d"])
+                values += [None if i is None else i.encode(), squeeze(text.encode()), BETWEEN.join(rare).encode()]
+            yield pa.RecordBatch.from_arrays([b["g"], pa.ListArray.from_arrays(pa.array(range(0, len(values) + 1, 3), pa.int32()), pa.array(values, pa.binary()))], ["g", "d"])
 
     # A group is a partition, so that no task has several. Id, text and units are one array: all readers of what is shuffled need the same column, so it is shuffled once.
     g = F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int").alias("g")
     dealt = rows.select(g, F.col("id").cast("string"), "text").mapInArrow(pack, "g int, d array<binary>").repartitionById(int(groups), "g")
-    mine = dealt.select("g", F.explode(F.slice("d", 3, F.size("d")).cast("array<string>")).alias("unit")).where(F.length("unit") > 1).distinct()
+    mine = dealt.select("g", F.explode(F.split(F.col("d")[2].cast("string"), BETWEEN)).alias("unit")).where(F.length("unit") > 1).distinct()
     # likewise one array of group and unit, for the fold and for the way back
     pairs = mine.select(F.array(F.col("g").cast("string"), "unit").alias("p")).repartition(int(groups), F.col("p")[1])
     folded = encode_units(pairs.select(F.col("p")[1].alias("unit")).distinct(), path)
