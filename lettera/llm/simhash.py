@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, checkpointed, read_table
+from .common import ascii_words, checkpointed, read_table, shuffled
 from .components import connected_components
 
 SEED, BLOCK = 42, 1 << 15
@@ -108,7 +108,7 @@ def links(fps: DataFrame) -> DataFrame:
     differ = F.col("u").bitwiseXOR(F.col("v"))
     low = F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF)))
     once = F.when(F.col("anchor") < F.lit(1 << 32), low <= 1).otherwise(low == 2)  # the lower half finds the pair if it can
-    return home.join(near, "anchor").where((F.col("u") < F.col("v")) & (F.bit_count(differ) <= 2) & once).select("u", "v")
+    return shuffled(home).join(near, "anchor").where((F.col("u") < F.col("v")) & (F.bit_count(differ) <= 2) & once).select("u", "v")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
@@ -125,11 +125,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = checkpointed(links(groups))
     degree = pairs.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     member = connected_components(pairs).select(F.col("node").alias("fp"), "root")
-    linked = groups.join(member, "fp")
+    linked = groups.join(shuffled(member), "fp")
     first = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = linked.join(first, "root").join(degree, "fp").select("fp", "component_id", "n_links")
-    label = checkpointed(groups.join(label, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    return own.join(label, "fp").select(F.col("id").alias(id_col), "fp", "n_links", "component_id")
+    label = linked.join(shuffled(first), "root").join(shuffled(degree), "fp").select("fp", "component_id", "n_links")
+    label = checkpointed(groups.join(shuffled(label), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    return own.join(shuffled(label), "fp").select(F.col("id").alias(id_col), "fp", "n_links", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

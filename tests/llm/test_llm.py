@@ -67,6 +67,26 @@ def test_components(spark):
     assert got == {n: r for n, r in want.items()}
 
 
+def test_simhash_broadcasts_nothing(spark, monkeypatch):
+    from lettera.llm import components as steps
+    from lettera.llm import simhash
+
+    plans, own = [], simhash.checkpointed
+
+    def noted(df):
+        out = own(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    for module in (simhash, steps):
+        monkeypatch.setattr(module, "checkpointed", noted)
+    rows = [(i, f"some words of text {i // 3}") for i in range(60)]
+    found = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.count() == 60
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("Join" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
+
+
 def test_quality_and_language(spark):
     from lettera.llm.langid import op7_langid
     from lettera.llm.quality import op2_quality
