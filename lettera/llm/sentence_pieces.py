@@ -7,9 +7,10 @@ The public model is a byte-pair one, whose encoder merges by rank, so the fold a
 edge of best rank, the leftmost of equals, that spans exactly two neighbours, until there is none. (A Viterbi
 fold over the same scores gives other ids than the library; see the README.)
 
-Texts are shuffled once, compressed and with their units, by groups. The units of all groups are folded
+Units that a sample shows to be frequent are encoded beforehand. A text is cut once, and its ids, with holes
+for the other units, are shuffled once, compressed and with those units, by groups. The units of all groups are folded
 once each, wherever they occur, and go back to the groups as the bits where their tokens end; there
-they meet the texts. Units that a sample shows to be frequent are encoded beforehand.
+they fill the holes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +39,13 @@ GROUP_CHARS = 20_000_000
 #: Frequent units kept, and characters of the sample in which they are counted. Ids don't depend on them: any other unit is encoded with its group.
 FREQUENT, SAMPLE_CHARS = 250_000, 100_000_000
 
-#: Level of the compression of shuffled texts.
+#: Level of the compression of what is shuffled.
 LEVEL = 6
-#: Between units in one string. A line break stands in no unit but those of line breaks alone, so the first place where both characters meet ends a unit.
+#: Stands for the ids of a unit that is not known yet; the greatest number of two bytes as of four.
+HOLE = -1
+#: Ids that are put together before they are passed on.
+PART_IDS = 1 << 20
+#: Between units in one string, which has blanks for their marks. A line break stands in no unit but those of line breaks alone, so the first place where both characters meet ends a unit.
 BETWEEN = "\n\x01"
 
 
@@ -167,8 +173,12 @@ class Encoder:
         self.codes = Codes((p, np.int32(i).tobytes()) for p, i in vocabulary(model_of(path)).items())
 
     def ids(self, unit: str, cuts: int = -1) -> bytes:
-        ends = [0, *(p for p in range(1, len(unit)) if cuts >> p & 1), len(unit)]
-        return b"".join([self.codes[unit[a:z]] for a, z in pairwise(ends)])
+        left, a, parts = cuts & (1 << len(unit)) - 2, 0, []
+        while left:
+            z = (left & -left).bit_length() - 1
+            parts.append(self.codes[unit[a:z]])
+            left, a = left & left - 1, z
+        return b"".join([*parts, self.codes[unit[a:]]])
 
     def all(self, table: pa.Table) -> dict[str, bytes]:
         """Ids of the units of a table (unit, cuts)."""
@@ -179,25 +189,69 @@ class Encoder:
 
 
 class UnitIds(dict):
-    """Ids of a group's units: those known and folded, and what has no edge or is put together from windows when it is first met."""
+    """Ids of a group's units: those folded, and what has no edge or is put together from windows when it is first met."""
 
-    def __init__(self, known: dict[str, bytes], folded: pa.Table, path: str):
-        super().__init__(known)
+    def __init__(self, folded: pa.Table, path: str):
         self.encoder, self.long = Encoder(path), LongUnits(path)
-        self.update(self.encoder.all(folded))
+        super().__init__(self.encoder.all(folded))
 
     def __missing__(self, u: str) -> bytes:
         self[u] = got = self.encoder.ids(u) if len(u) <= WINDOW else self.long.ids(u, [self[w] for w in self.long.windows(u)])
         return got
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, then: Callable[[pa.Table], pa.Table] | None = None, gives: str = "text string, ids array<int>") -> DataFrame:
+class Holed:
+    """A text's ids with holes, as bytes: the number of ids, the ids, and for each hole 0 where its unit is the next one, or the number of its unit, from 1, if it was met before; trailing zeros are left out."""
+
+    def __init__(self, path: str):
+        self.kind = np.dtype("<u2" if model_of(path).vocab_size() < 0xFFFF else "<u4")
+        self.hole = np.array(HOLE).astype(self.kind)
+
+    def pack(self, ids: bytes, units: list[int]) -> bytes:
+        k = np.array(units, "<u4")
+        met = np.zeros(len(k), bool)
+        met[1:] = k[1:] <= np.maximum.accumulate(k)[:-1]  # units are numbered as they are met
+        numbers = np.where(met, k + np.uint32(1), np.uint32(0))[: np.flatnonzero(met)[-1] + 1 if met.any() else 0]
+        return b"".join([(len(ids) // 4).to_bytes(4, "little"), np.frombuffer(ids, "<i4").astype(self.kind).tobytes(), numbers.astype("<u4").tobytes()])
+
+    def fill(self, raw: bytes, units: list[str], ids_of: Callable[[str], bytes]) -> bytes:
+        n = int.from_bytes(raw[:4], "little")
+        ids = np.frombuffer(raw, self.kind, n, 4)
+        whole, holes = ids.astype("<i4").tobytes(), np.flatnonzero(ids == self.hole)
+        if not len(holes):
+            return whole
+        numbers = np.zeros(len(holes), np.int64)
+        numbers[: (len(raw) - 4 - n * self.kind.itemsize) // 4] = np.frombuffer(raw[4 + n * self.kind.itemsize :], "<u4")
+        numbers = np.where(numbers > 0, numbers, np.cumsum(numbers == 0)) - 1
+        parts, a = [], 0
+        for z, k in zip((holes * 4).tolist(), numbers.tolist()):
+            parts += [whole[a:z], ids_of(units[k])]
+            a = z + 4
+        return b"".join([*parts, whole[a:]])
+
+
+class Known(dict):
+    """Ids of known units; of any other a hole, noted in met."""
+
+    hole = np.int32(HOLE).tobytes()
+
+    def __init__(self, known: dict[str, bytes]):
+        super().__init__(known)
+        self.met: list[str] = []
+
+    def __missing__(self, u: str) -> bytes:
+        self.met.append(u)
+        return self.hole
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, then: Callable[[pa.Table], pa.Table] | None = None, gives: str = "text string, ids array<int>", carry: Callable[[bytes], bytes] | None = None) -> DataFrame:
     """(id_col, text, ids array<int>): one row per row of docs, with the ids the library gives its whole text.
 
     Null and empty texts have no ids. Documents are dealt by a hash of id and text to groups of
     some 20 million characters; units that are not frequent are folded once in all, and no table of all units is ever broadcast.
     Repeated rows get equal ids; an empty table gives no rows; further columns are ignored. A function `then` makes of tables
-    (id, text, ids) tables of id and what `gives` names, in the worker that encodes.
+    (id, text, ids) tables of id and what `gives` names, in the worker that encodes. With `carry` the text there is binary: what that function makes of
+    a text's bytes, such as a digest; whole texts then don't move.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     pattern = unit_pattern(vocabulary(model_of(path)))
@@ -208,19 +262,22 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     kind = rows.schema["id"].dataType.simpleString()
 
     def pack(batches):
-        units, known, squeeze = re.compile(pattern), shared.value, zstandard.ZstdCompressor(level=LEVEL).compress
+        units, known, holed, squeeze = re.compile(pattern), Known(shared.value), Holed(path), zstandard.ZstdCompressor(level=LEVEL).compress
         for b in batches:
             values = []
             for i, t in zip(b["id"].to_pylist(), b["text"]):
-                text = t.as_py()
-                rare = {w for u in set(cut(units, text)) if u not in known for w in ([u] if len(u) <= WINDOW else LongUnits.windows(u))}
-                values += [None if i is None else i.encode(), squeeze(text.encode()), BETWEEN.join(rare).encode()]
-            yield pa.RecordBatch.from_arrays([b["g"], pa.ListArray.from_arrays(pa.array(range(0, len(values) + 1, 3), pa.int32()), pa.array(values, pa.binary()))], ["g", "d"])
-
-    # A group is a partition, so that no task has several. Id, text and units are one array: all readers of what is shuffled need the same column, so it is shuffled once.
+                text, known.met = t.as_py(), []
+                ids = b"".join(map(known.__getitem__, cut(units, text)))
+                number = {u: k for k, u in enumerate(dict.fromkeys(known.met))}
+                windows = [w for u in number if len(u) > WINDOW for w in LongUnits.windows(u)]
+                raw = text.encode()
+                values += [None if i is None else i.encode(), carry(raw) if carry else squeeze(raw), squeeze(holed.pack(ids, [number[u] for u in known.met])), BETWEEN.join([*number, *windows]).replace("▁", " ").encode()]
+            yield pa.RecordBatch.from_arrays([b["g"], pa.ListArray.from_arrays(pa.array(range(0, len(values) + 1, 4), pa.int32()), pa.array(values, pa.binary()))], ["g", "d"])
+
+    # A group is a partition, so that no task has several. Id, text, ids and units are one array: all readers of what is shuffled need the same column, so it is shuffled once.
     g = F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int").alias("g")
     dealt = rows.select(g, F.col("id").cast("string"), "text").mapInArrow(pack, "g int, d array<binary>").repartitionById(int(groups), "g")
-    mine = dealt.select("g", F.explode(F.split(F.col("d")[2].cast("string"), BETWEEN)).alias("unit")).where(F.length("unit") > 1).distinct()
+    mine = dealt.select("g", F.explode(F.split(F.translate(F.col("d")[3].cast("string"), " ", "▁"), BETWEEN)).alias("unit")).where((F.length("unit") > 1) & (F.length("unit") <= WINDOW)).distinct()
     # likewise one array of group and unit, for the fold and for the way back
     pairs = mine.select(F.array(F.col("g").cast("string"), "unit").alias("p")).repartition(int(groups), F.col("p")[1])
     folded = encode_units(pairs.select(F.col("p")[1].alias("unit")).distinct(), path)
@@ -228,19 +285,25 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     back = homes.join(folded.hint("shuffle_hash"), "unit").select("of", "unit", "cuts").repartitionById(int(groups), "of")
 
     def assemble(texts: pa.Table, units: pa.Table) -> pa.Table:
-        pieces, ids_of, unpack = re.compile(pattern), UnitIds(shared.value, units, path).__getitem__, zstandard.ZstdDecompressor().decompress
-        parts = []
-        for chunk in texts["d"].chunks or [pa.array([], texts["d"].type)]:
-            at, whole, found, ends = chunk.offsets.to_pylist()[: len(chunk)], [], bytearray(), [0]
+        ids_of, holed, unpack = UnitIds(units, path).__getitem__, Holed(path), zstandard.ZstdDecompressor().decompress
+        parts, own, found, ends = [], [], [], [0]
+
+        def part() -> pa.Table:
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            table = pa.table({"id": pa.array([i for i, _ in own], pa.string()), "text": pa.array([x for _, x in own], pa.binary() if carry else pa.string()), "ids": ids})
+            return then(table) if then else table
+
+        for chunk in texts["d"].chunks:
+            at, values = chunk.offsets.to_pylist()[: len(chunk)], chunk.values
             for k in at:
-                text = unpack(chunk.values[k + 1].as_py()).decode()
-                whole.append(text)
-                found += b"".join(map(ids_of, cut(pieces, text)))
-                ends.append(len(found) // 4)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(found, np.int32)))
-            part = pa.table({"id": chunk.values.take(pa.array(at, pa.int32())).cast(pa.string()), "text": pa.array(whole, pa.string()), "ids": ids})
-            parts.append(then(part) if then else part)
-        return pa.concat_tables(parts)
+                i, text, raw, rare = (values[k + n].as_py() for n in range(4))
+                own.append((None if i is None else i.decode(), text if carry else unpack(text).decode()))
+                found.append(holed.fill(unpack(raw), rare.decode().replace(" ", "▁").split(BETWEEN), ids_of))
+                ends.append(ends[-1] + len(found[-1]) // 4)
+                if ends[-1] >= PART_IDS:
+                    parts.append(part())
+                    own, found, ends = [], [], [0]
+        return pa.concat_tables([*parts, part()])
 
     out = dealt.groupBy("g").cogroup(back.groupBy("of")).applyInArrow(assemble, f"id string, {gives}")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
@@ -321,13 +384,13 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", pat
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip: whether decoding gives the text again."""
+    """doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip: whether decoding gives the text again, by 128-bit hashes of both."""
     path = public_tokenizers.path("piece_bpe_32k.model")
 
     def digest(t: pa.Table) -> pa.Table:
         decoder, ids = Decoder(path), t["ids"].combine_chunks()
         crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4")) for x in ids]
-        same = [x.as_py() == y for x, y in zip(t["text"], decoder.texts(ids))]
+        same = [x == xxhash.xxh3_128_digest(y.encode()) for x, y in zip(t["text"].to_pylist(), decoder.texts(ids))]
         return pa.table({"id": t["id"], "n_ids": pa.array([len(x) for x in ids], pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same, pa.bool_())})
 
-    return encode(read_table(spark, sf_dir, "documents"), path=path, then=digest, gives="n_ids long, ids_crc32 long, round_trip boolean")
+    return encode(read_table(spark, sf_dir, "documents"), path=path, then=digest, gives="n_ids long, ids_crc32 long, round_trip boolean", carry=xxhash.xxh3_128_digest)

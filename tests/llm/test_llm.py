@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -253,6 +254,43 @@ def test_long_units_as_the_library(spark):
     assert joined == 16
 
 
+def test_ids_with_holes():
+    """A text is cut once, where its known units get their ids; the others fill its holes later, any number of times and of any length."""
+    import public_tokenizers
+    import pyarrow as pa
+    import sentencepiece
+
+    from lettera.llm.sentence_pieces import Holed, Known, UnitIds, cut, unit_pattern, vocabulary
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = re.compile(unit_pattern(vocabulary(model)))
+    text = "known 7 known 7 q " + "x" * 200 + " 7\n\n\x01 \uffff" + " 7" * 500
+    known, holed = Known({"▁known": np.array(model.encode("known"), np.int32).tobytes()}), Holed(path)
+    ids = b"".join(map(known.__getitem__, cut(pieces, text)))
+    names = list(dict.fromkeys(known.met))
+    raw = holed.pack(ids, [names.index(u) for u in known.met])
+    folded = pa.table({"unit": pa.array([], pa.string()), "cuts": pa.array([], pa.int64())})
+    units = UnitIds(folded, path)
+    units.update((u, np.array(model.encode("\n" + u)[2:], np.int32).tobytes()) for u in {*names, *(w for u in names for w in units.long.windows(u))} if len(u) <= 62)
+    assert len(known.met) > 500 > len(names) and np.frombuffer(holed.fill(raw, names, units.__getitem__), np.int32).tolist() == model.encode(text)
+    once = holed.pack(Known.hole + Known.hole, [0, 1])
+    assert holed.fill(once, ["▁known", "7"], lambda u: known[u] if u == "▁known" else b"\x09\0\0\0") == known["▁known"] + b"\x09\0\0\0" and len(once) == 8
+    none = holed.pack(b"", [])
+    assert holed.fill(none, [""], units.__getitem__) == b""
+
+
+def test_texts_stay_where_a_digest_is_carried(spark):
+    from lettera.llm.sentence_pieces import encode
+
+    rows = [(1, "some words 123 here"), (2, None), (None, "others é there"), (1, "some words 123 here"), (3, "y" * 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = encode(frame).collect()
+    got = encode(frame, carry=lambda raw: zlib.crc32(raw).to_bytes(4, "little"), gives="text binary, ids array<int>").collect()
+    key = lambda i, t, ids: (i or 0, t, tuple(ids))
+    assert sorted(key(r.doc_id, zlib.crc32(r.text.encode()).to_bytes(4, "little"), r.ids) for r in whole) == sorted(key(r.doc_id, bytes(r.text), r.ids) for r in got)
+
+
 def test_token_files(spark, odd, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
