@@ -1,6 +1,7 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, on candidates from MinHash bands.
+"""Near copies by exact Jaccard similarity of five-word shingles, on candidates from SimHash fingerprints and MinHash bands.
 
-A text's anchors are BANDS hashes of ROWS minima each over its distinct shingles; two texts
+The SimHash fingerprint of a text's distinct shingles meets others at the anchors of the covering code (see simhash), and
+those at 2 or fewer differing bits are candidates. At a similarity of 0.8 more bits differ, so texts meet at MinHash anchors too: a text's anchors are BANDS hashes of ROWS minima each over its distinct shingles; two texts
 of Jaccard similarity s meet at one with probability 1 - (1 - s^ROWS)^BANDS: 0.99993 at 0.8,
 the probability rising with s. Texts that meet are linked if, and only if, the similarity of their whole shingle sets,
 as 64-bit hashes, is the asked one or more.
@@ -14,12 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, checkpointed, without_copies
+from .common import ascii_words, checkpointed, shuffled, without_copies
 from .components import connected_components
-from .simhash import SEED
+from .simhash import SEED, links as fingerprint_links, majority
 
 ROWS, BANDS = 5, 24
-CACHE, BLOCK = 300_000, 1 << 12
+CACHE, BLOCK, SLICE = 300_000, 1 << 12, 1 << 15
 #: At an anchor of up to so many texts all pairs are candidates; the texts of a fuller one are compared where they meet.
 PAIRED = 32
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, ROWS * BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,8 +118,15 @@ def digest_of(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
 
+def fingerprint_rows(groups: DataFrame) -> DataFrame:
+    """(key, who): each group at the key of its fingerprint fp, and at that of every lesser fingerprint within 2 bits, by the anchors of the covering code."""
+    pairs = checkpointed(fingerprint_links(groups.select("fp").distinct()))
+    ball = groups.select("who", "fp", F.col("fp").alias("at")).union(groups.join(shuffled(pairs), groups["fp"] == pairs["v"]).select("who", "fp", F.col("u").alias("at")))
+    return ball.select(F.xxhash64(F.lit("fingerprint"), "at").alias("key"), "who")
+
+
 def links(docs: DataFrame, groups: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(u, v): links among groups (who, least: the id of a text, h1, h2: the digest of its set, anchors) that meet at anchors; where over PAIRED meet, a spanning forest of theirs. docs are texts (id, t).
+    """(u, v): links among groups (who, least: the id of a text, h1, h2: the digest of its set, fp, anchors) that meet at fingerprints or anchors; where over PAIRED meet, a spanning forest of theirs. docs are texts (id, t).
 
     Candidate pairs are distinct before texts are fetched; a text's set goes once to each partner and to each full anchor.
     """
@@ -143,9 +151,10 @@ def links(docs: DataFrame, groups: DataFrame, shingle_words: int = 5, similarity
                 for at in range(0, rows.num_rows, 65536):
                     yield rows.slice(at, 65536)
 
-    routes = groups.select(F.explode("anchors").alias("key"), "who").repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, who long, full boolean").distinct()
+    meeting = groups.select(F.explode("anchors").alias("key"), "who").union(fingerprint_rows(groups.where(F.size("anchors") > 0)))
+    routes = meeting.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, who long, full boolean").distinct()
     leads = routes.where("not full").select("key", F.col("key").alias("who"), "full").distinct()
-    goes = checkpointed(routes.union(leads).groupBy("who").agg(F.collect_list(F.struct("key", "full")).alias("to")).join(groups.select("who", "least", "h1", "h2"), "who"))
+    goes = checkpointed(routes.union(leads).groupBy("who").agg(F.collect_list(F.struct("key", "full")).alias("to")).join(shuffled(groups.select("who", "least", "h1", "h2")), "who"))
 
     def send(batches):
         cache: dict = {}
@@ -203,15 +212,16 @@ def components(docs: DataFrame, id_col: str, text_col: str, shingle_words: int,
             sets = [shingle_set(t.as_py(), shingle_words, cache) for t in b["t"]]
             h1, h2 = zip(*map(digest_of, sets)) if sets else ((), ())
             keys = [anchors(s).view(np.int64) for s in sets]
+            fp = pa.array(np.array([majority(s[at : at + SLICE] for at in range(0, len(s), SLICE)) for s in sets], np.uint64).view(np.int64))
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b["id"], b["mark"], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))], ["id", "mark", "h1", "h2", "anchors"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["mark"], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), fp, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))], ["id", "mark", "h1", "h2", "fp", "anchors"])
 
-    own = checkpointed(rows.select("id", "t", mark_of("t").alias("mark")).mapInArrow(sketches, "id long, mark binary, h1 long, h2 long, anchors array<long>"))
-    some = own.where("id is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "mark")).alias("one"), F.first("anchors").alias("anchors"))
+    own = checkpointed(rows.select("id", "t", mark_of("t").alias("mark")).mapInArrow(sketches, "id long, mark binary, h1 long, h2 long, fp long, anchors array<long>"))
+    some = own.where("id is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "mark")).alias("one"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors"))
     # groups, not ids, are linked: an id may repeat with other texts
-    groups = checkpointed(some.select("h1", "h2", "one", F.col("one.id").alias("least"), "anchors", F.monotonically_increasing_id().alias("who")))
+    groups = checkpointed(some.select("h1", "h2", "one", F.col("one.id").alias("least"), "fp", "anchors", F.monotonically_increasing_id().alias("who")))
     member = connected_components(links(rows, groups, shingle_words, similarity))
-    linked = groups.select("h1", "h2", "one", "who").join(member, groups["who"] == member["node"], "left").select("h1", "h2", "one", F.coalesce("root", "who").alias("root"))
+    linked = groups.select("h1", "h2", "one", "who").join(shuffled(member), groups["who"] == member["node"], "left").select("h1", "h2", "one", F.coalesce("root", "who").alias("root"))
     least = linked.groupBy("root").agg(F.min("one").alias("one"))
     label = linked.select("h1", "h2", "root").join(least, "root").select("h1", "h2", F.col("one.id").alias("component_id"), F.col("one.mark").alias("first"))
     named = own.where("id is not null").select("id", "mark", "h1", "h2").join(label, ["h1", "h2"]).select("id", "mark", "component_id", "first")
@@ -225,7 +235,7 @@ def mark_of(text: str):
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of docs: id_col, component_id: the least id that links lead to, its own included.
 
-    Texts are linked if their sets of distinct shingles have the Jaccard similarity or more, and meet at an
+    Texts are linked if their sets of distinct shingles have the Jaccard similarity or more, and meet at a fingerprint or an
     anchor; texts with equal sets always are. Null and wordless texts are alike. Ids are integers;
     a null id is its own component. Rows that repeat an id with another text are rows of their own. An empty table gives no rows.
     """

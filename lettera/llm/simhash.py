@@ -11,6 +11,8 @@ The 32nd bit of a half takes no part in the anchor, only in the comparison.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,11 +36,16 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     k = min(shingle_words, len(words))
     n = len(words) - k + 1
     starts, ends = starts[:n].tolist(), ends[k - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, BLOCK):
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], np.uint64)
+    return majority(np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], np.uint64) for at in range(0, n, BLOCK))
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that over half of the 64-bit hashes have, given in arrays; 0 of none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -405,6 +406,29 @@ def test_near_copies_against_brute_force(spark, docs):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_copies_meet_at_fingerprints(spark, monkeypatch):
+    """Without MinHash anchors, those of the covering code alone link texts whose SimHash fingerprints differ in 2 bits or fewer."""
+    from lettera.llm import near_copies as own
+    from lettera.llm.simhash import majority
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(12):
+        words = list(rng.choice([f"w{i}" for i in range(3000)], 1500))
+        rows.append((10 * k, " ".join(words)))
+        for c in range(1, 5):
+            at = int(rng.integers(0, 1500))
+            rows.append((10 * k + c, " ".join([*words[:at], f"new{c}", *words[at + 1 :]])))
+    rows += [(500 + i, " ".join(f"r{i}" for _ in range(9))) for i in range(9)] + [(600, ""), (601, None)]
+    sets = {i: own.shingle_set(t, 5, {}) for i, t in rows}
+    fp = {i: majority([s]) for i, s in sets.items()}
+    near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2 and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    want = components(sorted(fp), near)
+    monkeypatch.setattr(own, "anchors", lambda s: np.array([xxhash.xxh64_intdigest(s.tobytes())] * min(1, len(s)), np.uint64))
+    got = {r.doc_id: r.component_id for r in own.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 20 and got == want
+
+
 def test_copies_are_dropped_by_row(spark):
     from lettera.llm.exact_dedup import drop_exact_copies
     from lettera.llm.near_copies import drop_near_copies
