@@ -36,7 +36,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the number of SentencePiece ids of its text, and the ids."""
-    return encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
+    # of the texts nothing goes along
+    found = encode(docs, then=lambda t: t.select(["id", "ids"]), gives="ids array<int>", carry=lambda raw: b"")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", decontaminate), ("sentence_pieces", tokenize)]
