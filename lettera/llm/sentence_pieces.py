@@ -40,13 +40,13 @@ GROUP_CHARS = 20_000_000
 FREQUENT, SAMPLE_CHARS = 250_000, 100_000_000
 
 #: Level of the compression of what is shuffled.
-LEVEL = 6
+LEVEL = 13
 #: Stands for the ids of a unit that is not known yet; the greatest number of two bytes as of four.
 HOLE = -1
 #: Ids that are put together before they are passed on.
 PART_IDS = 1 << 20
-#: Between units in one string, which has blanks for their marks. A line break stands in no unit but those of line breaks alone, so the first place where both characters meet ends a unit.
-BETWEEN = "\n\x01"
+#: Between units in one string, where blanks stand for marks and marks for line breaks. No unit has blanks, and only units of line breaks alone have those.
+BETWEEN = "\n"
 
 
 def model_of(path: str) -> sentencepiece.SentencePieceProcessor:
@@ -123,6 +123,14 @@ def cut(pattern: re.Pattern, text: str) -> list[str]:
     return pattern.findall("▁" + text.replace(" ", "▁")) if text else []
 
 
+def together(units: list[str]) -> str:
+    return BETWEEN.join([u.replace("▁", " ") if u[0] != "\n" else "▁" * len(u) for u in units])
+
+
+def apart(units: str) -> list[str]:
+    return [u.translate({32: "▁", 0x2581: "\n"}) for u in units.split(BETWEEN)]
+
+
 def frequent_units(rows: DataFrame, pattern: str, path: str, chars: int) -> dict[str, bytes]:
     """Ids of the most frequent units, FREQUENT at most, of a sample, by hash, of some SAMPLE_CHARS of the chars characters of rows."""
     share = min(1.0, SAMPLE_CHARS / max(chars, 1))
@@ -271,13 +279,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 number = {u: k for k, u in enumerate(dict.fromkeys(known.met))}
                 windows = [w for u in number if len(u) > WINDOW for w in LongUnits.windows(u)]
                 raw = text.encode()
-                values += [None if i is None else i.encode(), carry(raw) if carry else squeeze(raw), squeeze(holed.pack(ids, [number[u] for u in known.met])), BETWEEN.join([*number, *windows]).replace("▁", " ").encode()]
+                values += [None if i is None else i.encode(), carry(raw) if carry else squeeze(raw), squeeze(holed.pack(ids, [number[u] for u in known.met])), together([*number, *windows]).encode()]
             yield pa.RecordBatch.from_arrays([b["g"], pa.ListArray.from_arrays(pa.array(range(0, len(values) + 1, 4), pa.int32()), pa.array(values, pa.binary()))], ["g", "d"])
 
     # A group is a partition, so that no task has several. Id, text, ids and units are one array: all readers of what is shuffled need the same column, so it is shuffled once.
     g = F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int").alias("g")
     dealt = rows.select(g, F.col("id").cast("string"), "text").mapInArrow(pack, "g int, d array<binary>").repartitionById(int(groups), "g")
-    mine = dealt.select("g", F.explode(F.split(F.translate(F.col("d")[3].cast("string"), " ", "▁"), BETWEEN)).alias("unit")).where((F.length("unit") > 1) & (F.length("unit") <= WINDOW)).distinct()
+    mine = dealt.select("g", F.explode(F.split(F.col("d")[3].cast("string"), BETWEEN)).alias("unit")).select("g", F.translate("unit", " ▁", "▁\n").alias("unit")).where((F.length("unit") > 1) & (F.length("unit") <= WINDOW)).distinct()
     # likewise one array of group and unit, for the fold and for the way back
     pairs = mine.select(F.array(F.col("g").cast("string"), "unit").alias("p")).repartition(int(groups), F.col("p")[1])
     folded = encode_units(pairs.select(F.col("p")[1].alias("unit")).distinct(), path)
@@ -298,7 +306,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             for k in at:
                 i, text, raw, rare = (values[k + n].as_py() for n in range(4))
                 own.append((None if i is None else i.decode(), text if carry else unpack(text).decode()))
-                found.append(holed.fill(unpack(raw), rare.decode().replace(" ", "▁").split(BETWEEN), ids_of))
+                found.append(holed.fill(unpack(raw), apart(rare.decode()), ids_of))
                 ends.append(ends[-1] + len(found[-1]) // 4)
                 if ends[-1] >= PART_IDS:
                     parts.append(part())

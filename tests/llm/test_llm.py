@@ -261,7 +261,7 @@ def test_ids_with_holes():
     import pyarrow as pa
     import sentencepiece
 
-    from lettera.llm.sentence_pieces import Holed, Known, UnitIds, cut, unit_pattern, vocabulary
+    from lettera.llm.sentence_pieces import Holed, Known, UnitIds, apart, cut, together, unit_pattern, vocabulary
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -277,6 +277,8 @@ def test_ids_with_holes():
     assert len(known.met) > 500 > len(names) and np.frombuffer(holed.fill(raw, names, units.__getitem__), np.int32).tolist() == model.encode(text)
     once = holed.pack(Known.hole + Known.hole, [0, 1])
     assert holed.fill(once, ["▁known", "7"], lambda u: known[u] if u == "▁known" else b"\x09\0\0\0") == known["▁known"] + b"\x09\0\0\0" and len(once) == 8
+    odd_units = ["▁a", "\n\n\n", "▁▁", "\n", "\x01", "▁▁b"]
+    assert apart(together(odd_units)) == odd_units and apart(together(names)) == names
     none = holed.pack(b"", [])
     assert holed.fill(none, [""], units.__getitem__) == b""
 
