@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettera.llm.common import read_table, shared_path
+from lettera.llm.common import in_small_batches, read_table, shared_path
 from lettera.llm.decontam import drop_contaminated
 from lettera.llm.exact_dedup import drop_exact_copies
 from lettera.llm.quality import keep_good
@@ -19,6 +19,7 @@ from lettera.llm.sentence_pieces import encode
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
@@ -27,15 +28,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the number of SentencePiece ids of its text, and the ids."""
+    in_small_batches(spark)
     # of the texts nothing goes along
     found = encode(docs, then=lambda t: t.select(["id", "ids"]), gives="ids array<int>", carry=lambda raw: b"")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")

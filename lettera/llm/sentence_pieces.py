@@ -79,7 +79,9 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
         halves = (h for k in range(1, len(p)) for h in ((p[:k], p[k:]), (p[k:], p[:k])))
         return any(a in at and (len(b) == 1 or b in at) and at[a] >= at[p] for a, b in halves)
 
-    return spark.createDataFrame([(p, pieces[p], k, late(p)) for p, k in at.items()], "piece string, piece_id int, place int, late boolean")
+    # as an Arrow table it needs no Python workers, of which executors would hold several for it beside their own
+    columns = [list(at), [pieces[p] for p in at], list(at.values()), [late(p) for p in at]]
+    return spark.createDataFrame(pa.table(columns, pa.schema([("piece", pa.string()), ("piece_id", pa.int32()), ("place", pa.int32()), ("late", pa.bool_())])))
 
 
 def encode_units(units: DataFrame, path: str) -> DataFrame:

@@ -483,6 +483,45 @@ def test_pipeline(spark):
     assert out.columns == ["doc_id", "n_ids", "ids"] and 0 < out.count() <= kept.count()
 
 
+def test_pieces_need_no_python_workers(spark):
+    import public_tokenizers
+    from lettera.llm.sentence_pieces import model_of, piece_table, vocabulary
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = piece_table(spark, path)
+    assert "RDD" not in pieces._jdf.queryExecution().toString()
+    assert dict(pieces.dtypes) == {"piece": "string", "piece_id": "int", "place": "int", "late": "boolean"}
+    assert {r.piece: r.piece_id for r in pieces.collect()} == {p: i for p, i in vocabulary(model_of(path)).items() if len(p) > 1}
+
+
+def test_workers_get_small_batches(spark):
+    import corpus_pipeline as P
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    # 20 MB in 1000 rows, after any of the stages with Arrow functions
+    for name, stage in P.STAGES:
+        own = spark.newSession()
+        stage(own, own.read.parquet(f"{SF}/documents.parquet").limit(20), SF)
+        rows = own.range(1).select(F.explode(F.array_repeat(F.lit("x" * 20_000), 1000)).alias("t"))
+        assert name == "exact_dedup" or max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) < 4 << 20
+
+
+def test_batches_change_no_rows(spark):
+    import corpus_pipeline as P
+
+    found = []
+    for size in ("8k", "64m"):
+        own = spark.newSession()
+        own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+        found.append(sorted((r.doc_id, r.n_ids, r.ids) for r in P.run(own, SF).collect()))
+        assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == size
+    assert found[0] == found[1] and found[0]
+
+
 def test_word_encoder_equals_the_library():
     import numpy as np
     import public_tokenizers
