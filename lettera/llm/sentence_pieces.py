@@ -7,10 +7,10 @@ The public model is a byte-pair one, whose encoder merges by rank, so the fold a
 edge of best rank, the leftmost of equals, that spans exactly two neighbours, until there is none. (A Viterbi
 fold over the same scores gives other ids than the library; see the README.)
 
-Units that a sample shows to be frequent are encoded beforehand. A text is cut once, and its ids, with holes
-for the other units, are shuffled once, compressed and with those units, by groups. The units of all groups are folded
+Units that a sample shows to be frequent are encoded beforehand and numbered, the most frequent first. A text is cut once, and the
+numbers of its units, with holes for the other units, are shuffled once, compressed and with those units, by groups. The units of all groups are folded
 once each, wherever they occur, and go back to the groups as the bits where their tokens end; there
-they fill the holes.
+numbers become ids, and they fill the holes.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table
+from .common import read_table, written
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Characters of a unit that one fold takes: a cut between any two of them is a bit of a long. Longer units are folded in windows, each STEP characters on.
@@ -39,10 +39,12 @@ GROUP_CHARS = 20_000_000
 #: Frequent units kept, and characters of the sample in which they are counted. Ids don't depend on them: any other unit is encoded with its group.
 FREQUENT, SAMPLE_CHARS = 250_000, 100_000_000
 
-#: Level of the compression of what is shuffled.
-LEVEL = 13
+#: Levels of the compression of texts and of numbers that are shuffled. Numbers have few repeats that a higher one would find.
+LEVEL, NUMBERS_LEVEL = 13, 1
 #: Stands for the ids of a unit that is not known yet; the greatest number of two bytes as of four.
 HOLE = -1
+#: Numbers of units from which one takes two bytes and three, and the first that has no room.
+TWO, THREE, TOO_MANY = 160, 160 + (80 << 8), 160 + (80 << 8) + (16 << 16)
 #: Ids that are put together before they are passed on.
 PART_IDS = 1 << 20
 #: Between units in one string, where blanks stand for marks and marks for line breaks. No unit has blanks, and only units of line breaks alone have those.
@@ -134,7 +136,7 @@ def apart(units: str) -> list[str]:
 
 
 def frequent_units(rows: DataFrame, pattern: str, path: str, chars: int) -> dict[str, bytes]:
-    """Ids of the most frequent units, FREQUENT at most, of a sample, by hash, of some SAMPLE_CHARS of the chars characters of rows."""
+    """Ids of the most frequent units, FREQUENT at most and the most frequent first, of a sample, by hash, of some SAMPLE_CHARS of the chars characters of rows."""
     share = min(1.0, SAMPLE_CHARS / max(chars, 1))
     sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
 
@@ -154,7 +156,7 @@ def frequent_units(rows: DataFrame, pattern: str, path: str, chars: int) -> dict
             some = names[at : at + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([n[u] for u in some], pa.int64())], ["unit", "n"])
 
-    counts = checkpointed(sample.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1"))
+    counts = written(sample.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1"), "unit-counts")
     least, have = 0, 0
     for r in counts.groupBy("n").agg(F.count("*").alias("units")).orderBy(F.desc("n")).collect():  # a row for each number of occurrences
         if have + r.units > FREQUENT:
@@ -162,10 +164,10 @@ def frequent_units(rows: DataFrame, pattern: str, path: str, chars: int) -> dict
         least, have = r.n, have + r.units
     if not have:
         return {}
-    chosen = counts.where(F.col("n") >= least).select("unit")
-    found = encode_units(chosen.repartition(-(-have // 20_000), "unit"), path).toArrow()
+    chosen = counts.where(F.col("n") >= least)
+    found = encode_units(chosen.select("unit").repartition(-(-have // 20_000), "unit"), path).toArrow()
     encoder = Encoder(path)
-    return {u: encoder.ids(u) for u in chosen.toArrow()["unit"].to_pylist()} | encoder.all(found)
+    return {u: encoder.ids(u) for u in chosen.toArrow().sort_by([("n", "descending"), ("unit", "ascending")])["unit"].to_pylist()} | encoder.all(found)
 
 
 class Codes(dict):
@@ -222,16 +224,25 @@ class Holed:
         met = np.zeros(len(k), bool)
         met[1:] = k[1:] <= np.maximum.accumulate(k)[:-1]  # units are numbered as they are met
         numbers = np.where(met, k + np.uint32(1), np.uint32(0))[: np.flatnonzero(met)[-1] + 1 if met.any() else 0]
-        return b"".join([(len(ids) // 4).to_bytes(4, "little"), np.frombuffer(ids, "<i4").astype(self.kind).tobytes(), numbers.astype("<u4").tobytes()])
+        return b"".join([(len(ids) // 4).to_bytes(4, "little"), self.shut(np.frombuffer(ids, "<i4")), numbers.astype("<u4").tobytes()])
 
-    def fill(self, raw: bytes, units: list[str], ids_of: Callable[[str], bytes]) -> bytes:
-        n = int.from_bytes(raw[:4], "little")
+    def shut(self, ids: np.ndarray) -> bytes:
+        return ids.astype(self.kind).tobytes()
+
+    def opened(self, raw: bytes, n: int) -> tuple[np.ndarray, int]:
+        """The ids, HOLE for a hole, of what was shut, and where that ends."""
         ids = np.frombuffer(raw, self.kind, n, 4)
-        whole, holes = ids.astype("<i4").tobytes(), np.flatnonzero(ids == self.hole)
+        out = ids.astype("<i4")
+        out[ids == self.hole] = HOLE
+        return out, 4 + n * self.kind.itemsize
+
+    def fill(self, raw: bytes, units: list[str], ids_of: Callable[[str], bytes]) -> bytes:
+        ids, end = self.opened(raw, int.from_bytes(raw[:4], "little"))
+        whole, holes = ids.tobytes(), np.flatnonzero(ids == HOLE)
         if not len(holes):
             return whole
         numbers = np.zeros(len(holes), np.int64)
-        numbers[: (len(raw) - 4 - n * self.kind.itemsize) // 4] = np.frombuffer(raw[4 + n * self.kind.itemsize :], "<u4")
+        numbers[: (len(raw) - end) // 4] = np.frombuffer(raw[end:], "<u4")
         numbers = np.where(numbers > 0, numbers, np.cumsum(numbers == 0)) - 1
         parts, a = [], 0
         for z, k in zip((holes * 4).tolist(), numbers.tolist()):
@@ -240,8 +251,44 @@ class Holed:
         return b"".join([*parts, whole[a:]])
 
 
+class Numbered(Holed):
+    """The same with the numbers of known units, which are fewer and smaller than their ids, instead of these: first bytes of all, second bytes of those that have two, then the other two of those that have three. A hole is 0."""
+
+    def __init__(self, table: tuple[np.ndarray, np.ndarray] | None = None):
+        """A table, which only filling needs, has the ids of a hole and of all known units by number, and how many each has."""
+        if table:
+            self.ids, self.many = table
+            self.start = np.cumsum(self.many) - self.many
+
+    @staticmethod
+    def table(known: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(known) >= TOO_MANY:
+            raise ValueError(f"{len(known)} known units; numbers end before {TOO_MANY}")
+        return np.frombuffer(b"".join([Known.hole, *known]), "<i4"), np.array([1, *(len(x) // 4 for x in known)], np.int64)
+
+    def shut(self, ids: np.ndarray) -> bytes:
+        k = ids + 1
+        three = k >= THREE
+        two = (k >= TWO) & ~three
+        long, longer = k[two] - TWO, k[three] - THREE
+        first = k.astype(np.uint8)
+        first[two], first[three] = TWO + (long >> 8), TWO + 80 + (longer >> 16)
+        return b"".join([first.tobytes(), (long & 0xFF).astype(np.uint8).tobytes(), (longer & 0xFFFF).astype("<u2").tobytes()])
+
+    def opened(self, raw: bytes, n: int) -> tuple[np.ndarray, int]:
+        k = np.frombuffer(raw, np.uint8, n, 4).astype(np.int64)
+        three = np.flatnonzero(k >= TWO + 80)
+        two = np.flatnonzero((k >= TWO) & (k < TWO + 80))
+        at, end = 4 + n + len(two), 4 + n + len(two) + 2 * len(three)
+        k[two] = TWO + (k[two] - TWO << 8) + np.frombuffer(raw, np.uint8, len(two), 4 + n)
+        k[three] = THREE + (k[three] - TWO - 80 << 16) + np.frombuffer(raw, "<u2", len(three), at)
+        many = self.many[k]
+        last = np.cumsum(many)
+        return self.ids[np.arange(many.sum()) + np.repeat(self.start[k] - last + many, many)], end
+
+
 class Known(dict):
-    """Ids of known units; of any other a hole, noted in met."""
+    """Ids, or numbers, of known units; of any other a hole, noted in met."""
 
     hole = np.int32(HOLE).tobytes()
 
@@ -268,23 +315,26 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, total // GROUP_CHARS, min(12, total >> 18))
-    shared = rows.sparkSession.sparkContext.broadcast(frequent_units(rows, pattern, path, total))  # FREQUENT units at most
+    known = frequent_units(rows, pattern, path, total)  # FREQUENT units at most
+    context = rows.sparkSession.sparkContext
+    numbered = context.broadcast({u: np.int32(k).tobytes() for k, u in enumerate(known)})
+    table = context.broadcast(Numbered.table(list(known.values())))
     kind = rows.schema["id"].dataType.simpleString()
 
     def pack(batches):
-        units, known, holed, squeeze = re.compile(pattern), Known(shared.value), Holed(path), zstandard.ZstdCompressor(level=LEVEL).compress
+        units, known, holed, squeeze, press = re.compile(pattern), Known(numbered.value), Numbered(), zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdCompressor(level=NUMBERS_LEVEL).compress
         for b in batches:
             values = []
             for i, t in zip(b["id"].to_pylist(), b["text"]):
                 text, known.met = t.as_py(), []
-                ids = b"".join(map(known.__getitem__, cut(units, text)))
+                found = b"".join(map(known.__getitem__, cut(units, text)))
                 number = {u: k for k, u in enumerate(dict.fromkeys(known.met))}
                 windows = [w for u in number if len(u) > WINDOW for w in LongUnits.windows(u)]
                 raw = text.encode()
-                values += [None if i is None else i.encode(), carry(raw) if carry else squeeze(raw), squeeze(holed.pack(ids, [number[u] for u in known.met])), together([*number, *windows]).encode()]
+                values += [None if i is None else i.encode(), carry(raw) if carry else squeeze(raw), press(holed.pack(found, [number[u] for u in known.met])), together([*number, *windows]).encode()]
             yield pa.RecordBatch.from_arrays([b["g"], pa.ListArray.from_arrays(pa.array(range(0, len(values) + 1, 4), pa.int32()), pa.array(values, pa.binary()))], ["g", "d"])
 
-    # A group is a partition, so that no task has several. Id, text, ids and units are one array: all readers of what is shuffled need the same column, so it is shuffled once.
+    # A group is a partition, so that no task has several. Id, text, numbers and units are one array: all readers of what is shuffled need the same column, so it is shuffled once.
     g = F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int").alias("g")
     dealt = rows.select(g, F.col("id").cast("string"), "text").mapInArrow(pack, "g int, d array<binary>").repartitionById(int(groups), "g")
     mine = dealt.select("g", F.explode(F.split(F.col("d")[3].cast("string"), BETWEEN)).alias("unit")).select("g", F.translate("unit", " ▁", "▁\n").alias("unit")).where((F.length("unit") > 1) & (F.length("unit") <= WINDOW)).distinct()
@@ -295,7 +345,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     back = homes.join(folded.hint("shuffle_hash"), "unit").select("of", "unit", "cuts").repartitionById(int(groups), "of")
 
     def assemble(texts: pa.Table, units: pa.Table) -> pa.Table:
-        ids_of, holed, unpack = UnitIds(units, path).__getitem__, Holed(path), zstandard.ZstdDecompressor().decompress
+        ids_of, holed, unpack = UnitIds(units, path).__getitem__, Numbered(table.value), zstandard.ZstdDecompressor().decompress
         parts, own, found, ends = [], [], [], [0]
 
         def part() -> pa.Table:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_path
+from .common import read_table, written
 
 GRAM = 16
 #: Bytes of text worked on at once; entries held before they are sent; bytes of contexts in a shard.
@@ -390,21 +390,6 @@ def compared(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "doc long, start long, end long")
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder. Its shuffle files, which nothing reads again, are removed with the end of the write."""
-    spark, at = df.sparkSession, shared_path(df.sparkSession, what)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(at)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.parquet(at)
-
-
 def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = SHARD, piece: int = PIECE, most: int = HELD) -> DataFrame:
     """(id, t, spans): each row's id and text, and its merged spans [start, end) of bytes inside `length`-byte strings that start in documents of smaller id too.
 

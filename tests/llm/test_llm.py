@@ -1,4 +1,6 @@
+import glob
 import hashlib
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -283,6 +285,37 @@ def test_ids_with_holes():
     assert holed.fill(none, [""], units.__getitem__) == b""
 
 
+def test_numbers_of_known_units():
+    """Numbers of one, two and three bytes and holes come back as the units' ids."""
+    from lettera.llm.sentence_pieces import THREE, TOO_MANY, TWO, Known, Numbered
+
+    known = [np.arange(k, k + 1 + k % 3, dtype=np.int32).tobytes() for k in range(THREE + 70_000)]
+    table = Numbered.table(known)
+    numbers = [0, TWO - 2, TWO - 1, TWO, -1, THREE - 2, THREE - 1, THREE, -1, len(known) - 1, 0, THREE + 65_535, THREE + 65_534, *range(TWO - 3, THREE + 70_000, 97), -1]
+    raw = Numbered().pack(np.array(numbers, np.int32).tobytes(), [0, 1, 0])
+    rare = {"q": b"\x07\0\0\0", "xq": b"\x09\0\0\0\x08\0\0\0"}
+    holes = iter(["q", "xq", "q"])
+    want = b"".join(known[k] if k >= 0 else rare[next(holes)] for k in numbers)
+    assert Numbered(table).fill(raw, ["q", "xq"], rare.__getitem__) == want
+    assert Numbered(table).fill(Numbered().pack(b"", []), [""], rare.__getitem__) == b""
+    assert len(Numbered().pack(Known.hole * 5 + np.int32(TWO - 2).tobytes() * 5, [0, 1, 2, 3, 4])) == 4 + 10
+    with pytest.raises(ValueError):
+        Numbered.table([b""] * TOO_MANY)
+
+
+def test_little_is_shuffled_for_pieces(spark):
+    """Bytes of shuffle files a character; 1.26 when ids of two bytes were shuffled instead of units' numbers."""
+    from lettera.llm.sentence_pieces import op6_sentence_pieces
+
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    sf = SF.replace("sf0.001", "sf0.01")
+    chars = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+    got = op6_sentence_pieces(spark, sf)
+    before = files()
+    assert got.count() == 1000 and 0 < sum(map(os.path.getsize, files() - before)) < 1.15 * chars
+
+
 def test_texts_stay_where_a_digest_is_carried(spark):
     from lettera.llm.sentence_pieces import encode
 
