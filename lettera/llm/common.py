@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -47,6 +48,23 @@ def in_small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
+    """Within it, actions send batches of some `size` bytes to Python workers; after it the session's own setting holds again."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before) if before is not None else spark.conf.unset(BATCH_SETTING)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one that an operator wrote and nothing reads again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared folder; a lost executor costs no recomputation."""
     spark = df.sparkSession
