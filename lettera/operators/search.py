@@ -1,4 +1,4 @@
-"""Ranked full-text search: index, AND-groups of phrases, BM25 over all fields, fallback, snippets, post-filters."""
+"""Full-text search: queries as AND-groups of phrases, BM25 over all fields without an index, fallback, post-filters. With an index: see index."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lettera.functions import native as N
 from lettera.functions import text as T
+from lettera.operators.index import Index
+from lettera.operators.index import search as ranked_search
 
 
 def phrases(query: str) -> list[list[str]]:
@@ -31,16 +33,10 @@ def query_groups(query: str, fold: bool = True) -> list[list[list[str]]]:
 
 
 def indexed(docs: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
-    """(id, tokens: array of one token array a field): what search reads; write it once and search it often."""
+    """(id, tokens: array of one token array a field): what a search without an index reads."""
     return docs.select(F.col(id_col).alias("id"), F.array(*(N.tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields)).alias("tokens"))
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """(term, id, field, tf, positions): the inverted index; write it bucketed by term so that a query reads its terms alone."""
-    fields = index.select("id", F.posexplode("tokens").alias("field", "t"))
-    return fields.select("id", "field", F.posexplode("t").alias("pos", "term")).groupBy("term", "id", "field").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
 def occurrences(tokens: str, phrase: list[str]) -> Column:
     """How often the phrase stands in the fields, its tokens next to each other in one field."""
     if len(phrase) == 1:
@@ -51,7 +47,7 @@ def occurrences(tokens: str, phrase: list[str]) -> Column:
 
 
 def search(index: DataFrame, groups: list[list[list[str]]], limit: int | None = 20) -> DataFrame:
-    """(id, score): rows that match all phrases of a group, best (lowest) score first, ties by id.
+    """(id, score) as index.search gives, without an index: for a table that is searched once.
 
     One pass counts the phrases of each row; one aggregate of a single row has what
     BM25 needs of all rows. A row's score sums over the phrases of the groups that it matches.
@@ -91,11 +87,17 @@ def like_fallback(docs: DataFrame, query: str, id_col: str, title: str, raw: str
     return docs.where(like(modern, q) | like(raw, T.fold(query)) | like(title, q)).orderBy(id_col).limit(limit)
 
 
-def local_search(docs: DataFrame, query: str, limit: int = 20, language: str = "", filter_first: bool = False, fields=("title", "text_raw", "text_modern", "text_fold", "text_stem"), id_col: str = "id") -> DataFrame:
-    """Ranked hits joined to their documents. The language filter comes after the limit, unless filter_first."""
-    docs_in = docs.where(F.col("language") == language) if language and filter_first else docs
-    hits = search(indexed(docs_in, id_col, fields), query_groups(query), limit)
-    found = docs_in.join(F.broadcast(hits.withColumnRenamed("id", id_col)), id_col)  # at most `limit` rows
+def local_search(docs: DataFrame, index: Index, query: str, limit: int = 20, language: str = "", id_col: str = "id", fallback: tuple[str, str, str] | None = None) -> DataFrame:
+    """Ranked hits of the index, joined to their documents. The language filter comes after the limit.
+
+    With fallback, the columns of title, raw and modern text, a query that the index answers with nothing is looked for as a substring; such rows have no score.
+    """
+    hits = ranked_search(index, query_groups(query), limit)
+    if fallback and hits.isEmpty():
+        title, raw, modern = fallback
+        found = like_fallback(docs, query, id_col, title, raw, modern, limit).withColumn("score", F.lit(None).cast("double")) if query.strip() else docs.limit(0).withColumn("score", F.lit(0.0))
+    else:
+        found = docs.join(F.broadcast(hits.withColumnRenamed("id", id_col)), id_col)  # at most `limit` rows
     found = found.where(F.col("language") == language) if language else found
     return found.orderBy("score", id_col)
 

@@ -14,8 +14,10 @@ from lettera.functions.text import PLACE_OF
 from lettera.operators import articles as A
 from lettera.operators import documents as D
 from lettera.operators import frontier as R
+from lettera.operators import index as I
 from lettera.operators import search as S
 from lettera.operators import store as K
+from lettera.operators import stored
 from lettera.operators import urls as U
 from lettera.sources import tables as X
 
@@ -37,55 +39,108 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-TOKENS = r"regexp_extract_all(replace(strip_accents(lower(text)), 'ſ', 's'), '[\p{L}\p{N}]+')"
+def tokens_sql(c: str) -> str:
+    return rf"regexp_extract_all(replace(strip_accents(lower({c})), 'ſ', 's'), '[\p{{L}}\p{{N}}]+')"
 
 
-def bm25_sql(groups: list[list[str]], limit: int | None = 20) -> str:
-    terms = list(dict.fromkeys(t for g in groups for t in g))
-    counts = ", ".join(f"len(list_filter(t, lambda x: x = '{t}')) AS f{i}" for i, t in enumerate(terms))
-    stats = ", ".join(f"sum(CASE WHEN f{i} > 0 THEN 1 ELSE 0 END) AS n{i}" for i in range(len(terms)))
+TOKENS = tokens_sql("text")
+
+
+def bm25_sql(groups: list[list[list[str]]], limit: int | None = 20, fields: tuple[str, ...] = ("text",), source: str = "documents") -> str:
+    """Groups of phrases of tokens; each document's fields are lists of tokens, counted apart and together."""
+    phrases = list(dict.fromkeys(tuple(p) for g in groups for p in g))
+    at = {p: i for i, p in enumerate(phrases)}
+
+    def times(p):
+        if len(p) == 1:
+            return f"len(list_filter(flatten(t), lambda x: x = '{p[0]}'))"
+        same = " AND ".join(f"f[i + {k}] = '{x}'" for k, x in enumerate(p))
+        return f"list_sum(list_transform(t, lambda f: len(list_filter(range(1, len(f) + 1), lambda i: {same}))))"
+
+    counts = ", ".join(f"{times(p)} AS f{i}" for i, p in enumerate(phrases))
+    stats = ", ".join(f"sum(CASE WHEN f{i} > 0 THEN 1 ELSE 0 END) AS n{i}" for i in range(len(phrases)))
     weight = lambda i: f"(-greatest(ln((n - n{i} + 0.5::DOUBLE) / (n{i} + 0.5::DOUBLE)), 1e-6::DOUBLE) * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / mean)))"
-    match = lambda g: "(" + " AND ".join(f"f{terms.index(t)} > 0" for t in g) + ")"
-    score = " + ".join(f"(CASE WHEN {match(g)} THEN {' + '.join(weight(terms.index(t)) for t in g)} ELSE 0 END)" for g in groups)
-    return f"""WITH w AS (SELECT doc_id, {TOKENS} AS t FROM documents), c AS (SELECT doc_id, len(t) AS d, {counts} FROM w), s AS (SELECT count(*) AS n, avg(d) AS mean, {stats} FROM c),
+    match = lambda g: "(" + " AND ".join(f"f{at[tuple(p)]} > 0" for p in g) + ")"
+    score = " + ".join(f"(CASE WHEN {match(g)} THEN {' + '.join(weight(at[tuple(p)]) for p in g)} ELSE 0 END)" for g in groups)
+    return f"""WITH w AS (SELECT doc_id, [{", ".join(map(tokens_sql, fields))}] AS t FROM {source}), c AS (SELECT doc_id, len(flatten(t)) AS d, {counts} FROM w), s AS (SELECT count(*) AS n, avg(d) AS mean, {stats} FROM c),
 r AS (SELECT doc_id, CAST({score} AS DOUBLE) AS score FROM c, s WHERE {" OR ".join(map(match, groups))})
-SELECT doc_id, round(score, 6) AS score FROM r ORDER BY r.score, doc_id {f"LIMIT {limit}" if limit else ""}"""
+SELECT doc_id, round(score, 6) + 0 AS score FROM r ORDER BY r.score, doc_id {f"LIMIT {limit}" if limit else ""}"""
+
 
+def text_index(spark, sf) -> I.Index:
+    """The index of the texts, written by the first query that needs it."""
+    return stored.once(spark, "index-text", sf, lambda at: I.write_index(table(spark, sf, "documents"), at, "doc_id", ["text"]))
 
-def ranked(spark, sf, groups, limit: int | None = 20):
-    index = S.indexed(table(spark, sf, "documents"), "doc_id", ["text"])
-    return S.search(index, [[[t] for t in g] for g in groups], limit).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
+def ranked(index: I.Index, groups, limit: int | None = 20):
+    return I.search(index, groups, limit).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
-@query(bm25_sql([["the", "nation"]]).replace("nation", "tion"))
+
+def words_of(*groups: str) -> list[list[list[str]]]:
+    """A group of one-token phrases for each argument."""
+    return [[[t] for t in g.split()] for g in groups]
+
+
+@query(bm25_sql(words_of("the tion")))
 def search_bm25_and(spark, sf):
-    return ranked(spark, sf, [["the", "tion"]])
+    return ranked(text_index(spark, sf), words_of("the tion"))
 
 
-@query(bm25_sql([["the", "with"], ["des", "une"], ["the"]], None))
+@query(bm25_sql(words_of("the with", "des une", "the"), None))
 def search_or_groups(spark, sf):
-    return ranked(spark, sf, [["the", "with"], ["des", "une"], ["the"]], None)
+    return ranked(text_index(spark, sf), words_of("the with", "des une", "the"), None)
 
 
-@query(bm25_sql([["und", "der"]], 7))
+@query(bm25_sql(words_of("und der"), 7))
 def search_topk_stable(spark, sf):
-    return ranked(spark, sf, [["und", "der"]], 7)
+    return ranked(text_index(spark, sf), words_of("und der"), 7)
 
 
 WORDS = "The tion"
 
 
-@query(bm25_sql([[t for p in g for t in p] for g in S.query_groups(WORDS)], None))
+@query(bm25_sql(S.query_groups(WORDS), None))
 def search_query_words(spark, sf):
     """A query in words: as they are, folded and stemmed."""
-    index = S.indexed(table(spark, sf, "documents"), "doc_id", ["text"])
-    return S.search(index, S.query_groups(WORDS), None).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return ranked(text_index(spark, sf), S.query_groups(WORDS), None)
+
+
+PHRASES = [[["of", "the"], ["and"]], [["de", "la"]]]
+
+
+@query(bm25_sql(PHRASES, 30))
+def search_phrases(spark, sf):
+    """Words of several tokens are phrases, which the index answers from its places."""
+    return ranked(text_index(spark, sf), PHRASES, 30)
+
+
+FIELDS = ("title", "text_raw", "text_modern", "text_fold", "text_stem")
+FIELDS_SQL = rf"""(SELECT doc_id, title, text AS text_raw, lower(text) AS text_modern, strip_accents(lower(text)) AS text_fold,
+array_to_string(list_transform(regexp_extract_all(text, '\p{{L}}+'), lambda w: regexp_replace(strip_accents(lower(w)), '^(.{{3,}}?)({N.SUFFIX})$', '\1')), ' ') AS text_stem FROM (SELECT doc_id, text, substr(text, 1, 60) AS title FROM documents))"""
+
+
+def with_fields(spark, sf) -> DataFrame:
+    """Documents with five fields: of spelling, the test texts have nothing to modernise."""
+    stems = F.array_join(F.transform(N.words(F.col("text")), N.stem), " ")
+    return table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("text_raw"), F.lower("text").alias("text_modern"), N.deaccent(F.col("text")).alias("text_fold"), stems.alias("text_stem"))
+
+
+def fields_index(spark, sf) -> I.Index:
+    return stored.once(spark, "index-fields", sf, lambda at: I.write_index(with_fields(spark, sf), at, "doc_id", list(FIELDS)))
+
+
+@query(bm25_sql([[["for"], ["th", "the"]], [["pour"]]], 25, FIELDS, FIELDS_SQL))
+def search_five_fields(spark, sf):
+    """Counts and lengths are of all five fields together; a phrase stands within one."""
+    return ranked(fields_index(spark, sf), [[["for"], ["th", "the"]], [["pour"]]], 25)
 
 
 @query(f"""WITH w AS (SELECT doc_id, {TOKENS} AS t FROM documents), p AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM w)
 SELECT term, doc_id, count(*) AS tf, CAST(min(pos) AS BIGINT) AS first_pos FROM p GROUP BY ALL""")
 def index_postings(spark, sf):
-    return S.postings(S.indexed(table(spark, sf, "documents"), "doc_id", ["text"])).select("term", F.col("id").alias("doc_id"), "tf", F.element_at("positions", 1).cast("long").alias("first_pos"))
+    """The postings of a new index, as written."""
+    index = I.write_index(table(spark, sf, "documents"), stored.fresh(spark, "index-again"), "doc_id", ["text"])
+    return index.postings.select("term", F.col("id").alias("doc_id"), F.col("f").cast("long").alias("tf"), F.element_at("positions", 1).alias("first_pos"))
 
 
 @query("SELECT doc_id FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the th%' ORDER BY doc_id LIMIT 20")
@@ -94,10 +149,10 @@ def search_like_fallback(spark, sf):
     return S.like_fallback(d, "the th", "doc_id", "title", "raw", "text").select("doc_id")
 
 
-@query(f"SELECT r.doc_id, r.score FROM ({bm25_sql([['la']], 20)}) r JOIN documents d USING (doc_id) WHERE d.lang = 'fr'")
+@query(f"SELECT r.doc_id, r.score FROM ({bm25_sql(words_of('la'), 20)}) r JOIN documents d USING (doc_id) WHERE d.lang = 'fr'")
 def search_lang_postfilter(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), "text")
-    return S.local_search(d, "la", 20, language="fr", fields=("text",), id_col="doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return S.local_search(d, text_index(spark, sf), "la", 20, language="fr", id_col="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT doc_id, trim(CASE WHEN strpos(lower(text), 'the') > 0 THEN substr(text, greatest(strpos(lower(text), 'the') - 80, 1), 160) ELSE substr(text, 1, 160) END) AS snippet FROM documents""")
