@@ -44,10 +44,14 @@ def stem(c: Column) -> Column:
     return F.regexp_replace(deaccent(c), f"^(.{{3,}}?)({SUFFIX})$", "$1")
 
 
+#: A letter of a letter-spaced run and the blank after it: the run has four single letters or more, and a match goes on where the last one ended.
+SPACED = r"(?:(?<!\p{L})(?=(?:\p{L}\s){3,}\p{L}(?!\p{L}))|\G(?!^))(\p{L})\s(?=\p{L}(?!\p{L}))"
+
+
 def clean_ocr(c: Column) -> Column:
-    """As the Python function, for texts in NFC and without letter-spacing."""
+    """As the Python function, for texts in NFC."""
     c = reduce(lambda x, fix: F.replace(x, F.lit(fix[0]), F.lit(fix[1])), CHARACTER_FIXES, F.coalesce(c, F.lit("")))
-    for pattern, by in ((r"(\p{L})[-=¬]\s*\n\s*(\p{L})", "$1$2"), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+    for pattern, by in ((r"(\p{L})[-=¬]\s*\n\s*(\p{L})", "$1$2"), (SPACED, "$1"), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
         c = F.regexp_replace(c, pattern, by)
     return c
 
@@ -77,18 +81,26 @@ def old_score(c: Column) -> Column:
     return F.when(sums["o"] == 0, 0.0).otherwise(F.round(sums["o"] / (sums["o"] + sums["m"]), 3))
 
 
-def detect_language(c: Column) -> Column:
-    """Struct(language, score) by stop-word shares; ties go lv, de, et. Where over a fifth of the letters are Cyrillic, ru with that share. Texts are in NFC, as clean_ocr leaves them."""
-    w = words(F.lower(c))
-    cyrillic = F.regexp_count(c, F.lit("[Ѐ-ӿ]")) / F.nullif(F.regexp_count(c, F.lit(r"\p{L}")), F.lit(0))
-    n = F.size(w)
-    within = lambda stops: lambda x: x.isin(stops)
-    share = {k: F.size(F.filter(w, within(v))) / n for k, v in STOPWORDS.items()}
-    share["lv"] = share["lv"] + F.least(F.lit(0.25), F.size(F.filter(w, lambda x: x.rlike(MODERN_MARK))) / n)
-    best = F.greatest(*share.values())
-    name = F.when(n == 0, "unknown").when(best < 0.03, "unknown").when(share["lv"] == best, "lv").when(share["de"] == best, "de").otherwise("et")
-    ru = F.coalesce(cyrillic > 0.2, F.lit(False))
-    return F.struct(F.when(ru, "ru").otherwise(name).alias("language"), F.when(ru, F.round(cyrillic, 6)).when(n == 0, 0.0).otherwise(F.round(best, 6)).alias("score"))
+def languages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, language, confidence), a row for each row of docs, by the stop-word shares of cleaned texts (in NFC); ties go lv, de, et.
+
+    Words are exploded and looked up in one broadcast list, and a row's sums are made in the task that reads it: only these are shuffled. Letters are those of words.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id"), words(F.lower(clean_ocr(F.col(text_col)))).alias("w"))
+    each = rows.select("r", "id", F.explode_outer("w").alias("w")).withColumn("n", F.when(F.col("w").isNotNull(), 1).otherwise(0))
+    stops = docs.sparkSession.createDataFrame([(w, *(w in STOPWORDS[k] for k in ("lv", "de", "et"))) for w in sorted({w for v in STOPWORDS.values() for w in v})], "w string, lv boolean, de boolean, et boolean")
+    known = each.join(F.broadcast(stops), "w", "left")  # a fixed list of some 150 words
+    within = lambda k: F.coalesce(F.sum(F.when(F.col(k), F.col("n"))), F.lit(0))
+    more = F.octet_length("w") > F.length("w")  # only such words have marks or Cyrillic letters
+    count = lambda test, n: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+    cyrillic, letters = count(more & F.col("w").rlike("[Ѐ-ӿ]"), F.col("n") * F.length(F.regexp_replace("w", "[^Ѐ-ӿ]", ""))), F.sum(F.col("n") * F.length("w"))
+    sums = known.groupBy("r", "id").agg(F.sum("n").alias("n"), (cyrillic / letters).alias("c"), within("lv").alias("lv"), within("de").alias("de"), within("et").alias("et"), count(more & F.col("w").rlike(MODERN_MARK), F.col("n")).alias("marks"))
+    lv, de, et = F.col("lv") / F.col("n") + F.least(F.lit(0.25), F.col("marks") / F.col("n")), F.col("de") / F.col("n"), F.col("et") / F.col("n")
+    shares = sums.select("id", "n", "c", *(F.when(F.col("n") > 0, x).otherwise(0.0).alias(k) for k, x in (("lv", lv), ("de", de), ("et", et))))
+    best, ru, none = F.greatest("lv", "de", "et"), (F.col("c") > 0.2) & (F.col("n") > 0), F.col("n") == 0
+    name = F.when(none, "unknown").when(ru, "ru").when(best < 0.03, "unknown").when(F.col("lv") == best, "lv").when(F.col("de") == best, "de").otherwise("et")
+    score = F.when(none, 0.0).when(ru, F.least(F.lit(1.0), "c")).when(best < 0.03, best).otherwise(F.least(F.lit(1.0), 4 * best))
+    return shares.select(F.col("id").alias(id_col), name.alias("language"), F.round(score, 3).alias("confidence"))
 
 
 def julian_to_gregorian(d: Column) -> Column:

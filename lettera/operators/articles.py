@@ -9,13 +9,17 @@ from lettera.functions.native import document_id
 
 
 def column_order(blocks: DataFrame, page: str = "page_id") -> DataFrame:
-    """blocks with reading_pos: by column, then from top to bottom. A page has as many columns as its width has upper-median block widths, 1 to 12."""
-    sizes = blocks.groupBy(page).agg(F.array_sort(F.collect_list("width")).alias("w"), F.max("page_width").alias("pw"))
-    median = F.element_at("w", F.floor(F.size("w") / 2).cast("int") + 1)
-    columns = F.when((median > 0) & (F.col("pw") > 0), F.least(F.greatest(F.bround(F.col("pw") / median), F.lit(1)), F.lit(12))).otherwise(1)
-    width = F.greatest(F.floor(F.col("pw") / columns), F.lit(1))
-    placed = blocks.join(sizes.select(page, width.alias("_cw")), page)
-    by = Window.partitionBy(page).orderBy(F.floor(F.col("hpos") / F.col("_cw")), "vpos", "hpos", "pos")
+    """blocks with reading_pos: by column, then from top to bottom. A page has as many columns, 1 to 12, as its width has upper-median widths of the blocks that have one.
+
+    A page without a width is as wide as its blocks reach. Columns have fractional widths; a block's column is the whole quotient, by an exact remainder.
+    """
+    reach = F.max(F.col("hpos") + F.col("width"))
+    sizes = blocks.groupBy(page).agg(F.array_sort(F.collect_list(F.when(F.col("width") > 0, F.col("width")))).alias("w"), F.coalesce(F.nullif(F.max("page_width"), F.lit(0)), F.nullif(reach, F.lit(0)), F.lit(1)).alias("pw"))
+    median = F.get("w", F.floor(F.size("w") / 2).cast("int"))
+    columns = F.coalesce(F.least(F.greatest(F.bround(F.col("pw") / median), F.lit(1)), F.lit(12)), F.lit(1))
+    placed = blocks.join(sizes.select(page, (F.col("pw") / columns).alias("_cw")), page)
+    column = F.round((F.col("hpos") - F.pmod(F.col("hpos").cast("double"), F.col("_cw"))) / F.col("_cw"))
+    by = Window.partitionBy(page).orderBy(column, "vpos", "hpos", "pos")
     return placed.withColumn("reading_pos", F.row_number().over(by)).drop("_cw")
 
 

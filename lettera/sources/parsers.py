@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import xml.etree.ElementTree as ET
 from html.parser import HTMLParser
@@ -341,17 +342,38 @@ def parse_html(markup: str, base: str = "") -> dict:
     return {"title": tidy(p.title), "lang": p.lang, "meta": p.meta, "links": list(p.link_texts), "link_texts": p.link_texts, "text": tidy("".join(p.text)), "main_text": tidy("".join(p.main)), "json_ld": p.json_ld, "scripts": p.scripts}
 
 
-def json_hits(value, depth: int = 0) -> list[dict]:
-    """Dictionaries with something like an id and something like a title, at most six levels down."""
-    if depth > 6:
+# Keys that name a hit, and keys that describe one; of a hit's URL, title and snippet the first that says something counts.
+NAMES, DESCRIBES = {"url", "href", "id", "identifier"}, {"title", "label", "name", "snippet", "text", "heading"}
+HIT_KEYS = {"url": ("url", "href", "id"), "title": ("title", "label", "name"), "snippet": ("snippet", "text")}
+
+
+def json_rows(value, depth: int = 0) -> list[dict]:
+    """Objects with a key that names and one that describes, in any case of letters, at most six levels down; a parent before what it holds."""
+    if depth > 6 or not isinstance(value, (list, dict)):
         return []
-    if isinstance(value, list):
-        return [h for x in value for h in json_hits(x, depth + 1)]
-    if not isinstance(value, dict):
+    keys = {k.lower() for k in value} if isinstance(value, dict) else set()
+    own = [value] if keys & NAMES and keys & DESCRIBES else []
+    return own + [h for x in (value.values() if isinstance(value, dict) else value) for h in json_rows(x, depth + 1)]
+
+
+def json_hits(payload: str, base: str = "") -> list[dict]:
+    """Hits of a search answer in JSON: url (joined to base), title, snippet of at most 400 characters, and the text in which ids are looked for. What is no JSON has none."""
+    try:
+        rows = json_rows(json.loads(payload))
+    except ValueError:
         return []
-    keys = {k.lower(): k for k in value}
-    own = [value] if any(k in keys for k in ("id", "url", "identifier", "link", "href")) and any(k in keys for k in ("title", "name", "label", "virsraksts")) else []
-    return own + [h for x in value.values() for h in json_hits(x, depth + 1)]
+    out = []
+    for row in rows:
+        hit = {name: next((str(row[k]) for k in keys if row.get(k)), "") for name, keys in HIT_KEYS.items()}
+        hit["url"] = urljoin(base, hit["url"]) if hit["url"] else ""
+        out.append(hit | {"snippet": hit["snippet"][:400], "ids_in": hit["url"] or json.dumps(row, ensure_ascii=False)})
+    return out
+
+
+def html_hits(markup: str, base: str = "") -> list[dict]:
+    """Links of a search answer in HTML with their texts; those whose URL has no ids are for the caller to leave out."""
+    page = parse_html(markup, base)
+    return [{"url": u, "title": page["link_texts"].get(u, ""), "snippet": "", "ids_in": u} for u in page["links"]]
 
 
 def otsu(histogram: list[int]) -> int:

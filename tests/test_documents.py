@@ -70,9 +70,11 @@ def test_native_text_functions_agree_with_python(spark):
     from lettera.functions import native as N
     from lettera.functions import text as T
 
-    texts = ["Ąę Ő ű й Ёж ǆ ñ", "éā", "Это русский текст и ещё слова", "der und die das und", "un ir ar par no", "Rihgâ wezza sche", "", "123", "мама the"]
+    texts = ["v a l o d a ir un k a s ef", "a b c d ef g h i j", "Ąę Ő ű й Ёж ǆ ñ", "éā", "Это русский текст и ещё слова", "der und die das und", "un ir ar par no", "Rihgâ wezza sche", "", "123", "мама the"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
-    got = rows.select("t", N.deaccent(F.col("t")).alias("plain"), N.detect_language(F.col("t")).alias("d")).collect()
-    assert [(r.t, r.plain) for r in got if r.plain != T.deaccent(r.t)] == [] and [(r.t, r.d.language) for r in got if unicodedata.is_normalized("NFC", r.t) and r.d.language != T.detect_language(r.t)["language"]] == []
+    got = rows.select("t", N.deaccent(F.col("t")).alias("plain"), N.clean_ocr(F.col("t")).alias("clean")).collect()
+    assert [(r.t, r.plain) for r in got if r.plain != T.deaccent(r.t)] == [] and [(r.t, r.clean) for r in got if unicodedata.is_normalized("NFC", r.t) and r.clean != T.clean_ocr(r.t)] == []
+    found = {r.k: {"language": r.language, "confidence": r.confidence} for r in N.languages(rows, "k", "t").collect()}
+    assert [(t, found[k]) for k, t in enumerate(texts) if unicodedata.is_normalized("NFC", t) and found[k] != T.detect_language(t)] == []
     scores = {r.k: round(r.old_score, 3) for r in N.old_scores(rows, "k", "t").collect()}
     assert scores == {k: T.looks_old(t) for k, t in enumerate(texts)}

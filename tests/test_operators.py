@@ -101,3 +101,66 @@ def test_near_words_with_accents_against_brute_force(spark, tmp_path):
     want = {w: n for x in words for w in x.split() if (n := T.levenshtein(w, "therefore")) <= 4}
     got = {r.word: r.distance for r in Q.QUERIES["levenshtein_near_full"](spark, str(tmp_path)).collect()}
     assert got == want and {"thērefore", "thereforē", "treêtre", "treçre", "étreretre"} <= set(got)
+
+
+def test_urls_against_the_standard_library(spark):
+    from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+
+    from pyspark.sql import functions as F
+
+    from lettera.operators import urls as U
+
+    def want(u):
+        p = urlsplit(u.strip())
+        if p.scheme not in ("http", "https"):
+            return ""
+        host = p.netloc.lower()
+        host = host.removesuffix(":80") if p.scheme == "http" else host.removesuffix(":443")
+        query = urlencode([(k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if k.lower() not in U.TRACKING])
+        path = p.path
+        while "//" in path:
+            path = path.replace("//", "/")
+        return urlunsplit((p.scheme, host, path or "/", query, p.fragment))
+
+    urls = ["http://a?a&b=%20x", "HTTP://[::1]:80/x", "https://U:p@H.lv:443//a//b?x=1&&y=%zz&=q&UTM_Source=1#panel:p|issue:/1", "http://a/?", "http://a#", " http://a/ā?k=ē*~(1)+%2B\n", "https://a:80/", "ftp://a/b", "a/b", "", "http://a/%41?q=a%3Db;c", "http://a/?gclid=1", "javascript:x"]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.normalize_url(F.col("u")).alias("n")).collect()
+    assert {r.u: r.n for r in got} == {u: want(u) for u in urls}
+
+
+def test_templates(spark):
+    from pyspark.sql import functions as F
+
+    from lettera.operators import urls as U
+
+    cases = {"http://h:8000/bw1899n01/index": ("cits", "http://h:8000/bw1899n01/index"), "http://h/p_1/alto/00000003.xml?n=4": ("alto", "http://h/p_1/alto/{n:08d}.xml?n=4"), "http://h/0/x": ("cits", "http://h/{n:01d}/x"), "http://h/123456789/12.json": ("json", "http://h/123456789/{n}.json"), "http://127.0.0.1:80": ("cits", "http://127.0.0.1:80"), "http://h/i7/METS.xml": ("mets", "http://h/{issue}/METS.xml"), "http://h/1/2#3": ("cits", "http://h/1/{n}#3")}
+    rows = spark.createDataFrame([(u,) for u in cases], "url string").select("url", U.kind(F.col("url")).alias("k"), U.template(F.col("url"), F.lit("i7")).alias("t"))
+    assert {r.url: (r.k, r.t) for r in rows.collect()} == cases
+    assert [r.kind for r in U.templates(spark.createDataFrame([(u,) for u in cases], "url string")).orderBy("rank", "template").collect()][:3] == ["mets", "alto", "json"]
+
+
+def test_column_order_is_that_of_documents(spark):
+    import random
+
+    from lettera.operators import articles as A
+    from lettera.operators.documents import in_columns
+
+    r = random.Random(4)
+    pages = [{"id": str(p), "width": r.choice((0, 333, 1000, 1789)), "blocks": [{"id": k, "hpos": r.choice((0, 333, 334, 666, 1000, r.randint(0, 2000))), "vpos": r.randint(0, 3), "width": r.choice((0, 50, 333, 142))} for k in range(r.randint(1, 9))]} for p in range(60)]
+    pages.append({"id": "thirds", "width": 1000, "blocks": [{"id": k, "hpos": h, "vpos": 10 * k, "width": 333} for k, h in enumerate((0, 666, 340))]})
+    rows = [(p["id"], k, b["id"], b["hpos"], b["vpos"], b["width"], p["width"]) for p in pages for k, b in enumerate(p["blocks"])]
+    got = A.column_order(spark.createDataFrame(rows, "page_id string, pos int, block int, hpos int, vpos int, width int, page_width int")).collect()
+    order = lambda p: [x.block for x in sorted((x for x in got if x.page_id == p), key=lambda x: x.reading_pos)]
+    assert {p["id"]: order(p["id"]) for p in pages} == {p["id"]: [b["id"] for b in in_columns(p)] for p in pages}
+    assert order("thirds") == [0, 1, 2]
+
+
+def test_search_answers_in_json_and_html():
+    from lettera.sources import parsers as P
+
+    answer = '{"n": 1, "hits": [{"ID": 1, "Snippet": "s"}, {"href": "/a", "heading": "h", "text": "' + "t" * 500 + '"}, {"link": "/b", "title": "no"}, {"url": "", "id": "x/1", "label": "", "name": "n", "in": {"identifier": 7, "text": 3}}]}'
+    got = P.json_hits(answer, "http://s/q")
+    assert [(h["url"], h["title"], h["snippet"][:5]) for h in got] == [("", "", ""), ("http://s/a", "", "ttttt"), ("http://s/x/1", "n", ""), ("", "", "3")]
+    assert len(got[1]["snippet"]) == 400 and got[0]["ids_in"] == '{"ID": 1, "Snippet": "s"}' and P.json_hits("{") == []
+    deep = "[" * 6 + '{"id": 1, "title": "t"}' + "]" * 6
+    assert len(P.json_hits(deep)) == 1 and P.json_hits(f"[{deep}]") == []
+    assert [(h["url"], h["title"]) for h in P.html_hits("<a href='/i/1'>One <b>x</b></a>", "http://s/")] == [("http://s/i/1", "One x")]
