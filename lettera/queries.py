@@ -12,6 +12,7 @@ from lettera.functions import udfs
 from lettera.functions.constants import CHARACTER_FIXES, CORE, GERMANISMS, OLD_MARKS, PALATALS, STOPWORDS
 from lettera.functions.text import PLACE_OF
 from lettera.operators import articles as A
+from lettera.operators import correction as C
 from lettera.operators import documents as D
 from lettera.operators import frontier as R
 from lettera.operators import index as I
@@ -465,3 +466,20 @@ def parse_dates_full(spark, sf):
 @query()
 def sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(udfs.functions()["split_sentences"](F.col("text"))).alias("n"))
+
+
+def common_words(spark, sf, least: int = 20) -> DataFrame:
+    """The lexicon of the test texts, written once: words in lower case that occur often; the rest may be misread."""
+
+    def make(at):
+        w = table(spark, sf, "documents").select(F.explode(N.words(F.lower("text"))).alias("word"))
+        C.lexicon(w.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)).write.parquet(at)
+        return spark.read.parquet(at)
+
+    return stored.once(spark, f"lexicon-{least}", sf, make)
+
+
+@query()
+def corrections(spark, sf):
+    """Every word of the texts that the lexicon doesn't know, with its correction; tested against one word at a time."""
+    return C.corrections(C.vocabulary(table(spark, sf, "documents"), "text"), common_words(spark, sf)).select("word", "corrected", "alternatives")
