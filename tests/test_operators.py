@@ -72,17 +72,6 @@ def test_crawl(spark, tmp_path):
     assert R.requeue_active(R.claim(first, 1)).first().state == "pending"
 
 
-def test_stream(spark, tmp_path):
-    from lettera.streaming import frontier_stream as F
-
-    (tmp_path / "links").mkdir()
-    for n, url in enumerate(("a", "b", "a")):
-        (tmp_path / "links" / f"{n}.json").write_text(f'{{"url": "{url}", "depth": 0, "priority": 0, "discovered_from": "", "seq": {n}}}')
-        F.start(spark, f"{tmp_path}/links", f"{tmp_path}/frontier", f"{tmp_path}/check").awaitTermination()
-    got = spark.read.schema(R.SCHEMA).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/frontier")
-    assert sorted(r.url for r in got.collect()) == ["a", "b"]
-
-
 def test_dates_of_whole_texts(spark, tmp_path):
     from lettera.functions import text as T
 
