@@ -12,7 +12,9 @@ from lettera.functions import udfs
 from lettera.functions.constants import CHARACTER_FIXES, CORE, GERMANISMS, OLD_MARKS, PALATALS, STOPWORDS
 from lettera.functions.text import PLACE_OF
 from lettera.operators import articles as A
+from lettera.operators import cache as H
 from lettera.operators import correction as C
+from lettera.operators import discovery
 from lettera.operators import documents as D
 from lettera.operators import frontier as R
 from lettera.operators import index as I
@@ -483,3 +485,50 @@ def common_words(spark, sf, least: int = 20) -> DataFrame:
 def corrections(spark, sf):
     """Every word of the texts that the lexicon doesn't know, with its correction; tested against one word at a time."""
     return C.corrections(C.vocabulary(table(spark, sf, "documents"), "text"), common_words(spark, sf)).select("word", "corrected", "alternatives")
+
+
+@query("""WITH RECURSIVE n AS (SELECT page_id AS i, page_id % 5 = 4 AS leaf, url FROM pages),
+e AS (SELECT i, unnest([4 * i + 1, 4 * i + 2, 4 * i + 3, 4 * i + 4, i // 2]) AS j FROM n WHERE NOT leaf),
+r(root, i, depth) AS (SELECT i, i, 0 FROM n WHERE i % 50 = 0 UNION SELECT root, e.j, depth + 1 FROM r JOIN e USING (i) WHERE depth < 3),
+m AS (SELECT root, i, min(depth) AS depth FROM r GROUP BY ALL)
+SELECT 'http://s/' || root AS root, 'http://s/' || i AS sitemap, depth, unnest([0, 1]) AS pos, unnest([trim(url), 'http://x/' || i]) AS url FROM m JOIN n USING (i) WHERE leaf""")
+def sitemap_tree(spark, sf):
+    """Sitemaps made of the pages: each is an index of four others and of an earlier one, or, every fifth, a list of two URLs."""
+    at = F.lit("http://s/")
+    i = F.col("page_id")
+    index = F.concat(F.lit("<?xml version='1.0'?><sitemapindex xmlns='x'>"), *(F.concat(F.lit("<sitemap><loc> "), at, c.cast("string"), F.lit("</loc></sitemap>")) for c in (*(4 * i + k for k in (1, 2, 3, 4)), F.floor(i / 2))), F.lit("</sitemapindex>"))
+    safe = F.replace(F.trim("url"), F.lit("&"), F.lit("&amp;"))
+    pages = F.concat(F.lit("<urlset xmlns='x'><url><loc>"), safe, F.lit("</loc></url><url><lastmod/><loc>http://x/"), i.cast("string"), F.lit("</loc></url></urlset>"))
+    p = table(spark, sf, "pages").select("page_id", "url", F.concat(at, i.cast("string")).alias("at"))
+    resources = p.select(F.col("at").alias("url"), F.encode(F.when(i % 5 == 4, pages).otherwise(index), "UTF-8").alias("body"))
+    return discovery.sitemap_urls(resources, p.where(i % 50 == 0).select(F.col("at").alias("url")))
+
+
+@query("""WITH RECURSIVE d AS (SELECT event_id AS i, event_id % 7 AS e, event_id // 7 AS k FROM events), c(e, k) AS (SELECT e, k FROM d WHERE k = 0 UNION ALL SELECT c.e, d.k FROM c JOIN d ON d.e = c.e AND d.k = c.k + 1 WHERE c.k % 997 <> 996)
+SELECT 'http://o/' || e AS endpoint, CASE WHEN k = 0 THEN '' ELSE 't' || k END AS token, k AS rank FROM c""")
+def token_chains(spark, sf):
+    """Lists made of the events: seven endpoints, whose lists end at the 997th response, which names no token, and whose last responses go round."""
+    e, k = F.col("event_id") % 7, F.floor(F.col("event_id") / 7)
+    token = lambda c: F.when(c == 0, "").otherwise(F.concat(F.lit("t"), c.cast("string")))
+    links = table(spark, sf, "events").select(F.concat(F.lit("http://o/"), e.cast("string")).alias("endpoint"), token(k).alias("token"), F.when(k % 997 == 996, "").otherwise(token(k + 1)).alias("next_token"))
+    return discovery.chain_order(links)
+
+
+HISTORY = """SELECT 'http://x/' || CAST(user_id % 40 AS STRING) AS url, CAST({epoch} AS DOUBLE) AS fetched_at, CAST(CASE event_id % 6 WHEN 0 THEN 304 WHEN 1 THEN 404 WHEN 2 THEN 304 ELSE 200 END AS INT) AS status,
+CASE WHEN event_id % 4 > 1 THEN 'e' || CAST(event_id AS STRING) END AS etag, CASE WHEN event_id % 5 = 0 THEN 'm' || CAST(event_id AS STRING) END AS last_modified, 'h' || CAST(1000000 + event_id AS STRING) AS content_hash FROM {events} WHERE event_id % 11 < 3"""
+REQUESTS = "SELECT event_id AS id, 'http://x/' || CAST(user_id % 45 AS STRING) AS url, CAST({epoch} AS DOUBLE) AS at FROM {events} WHERE event_id % 11 >= 3"
+_DUCK = {"epoch": "epoch_us(ts) / 1000000", "events": "events"}
+
+
+@query(f"""WITH h AS ({HISTORY.format(**_DUCK)}), q AS ({REQUESTS.format(**_DUCK)}),
+w AS (SELECT url, fetched_at, etag, last_modified, content_hash FROM h WHERE status = 200 QUALIFY row_number() OVER (PARTITION BY url, fetched_at ORDER BY content_hash DESC) = 1),
+t AS (SELECT DISTINCT url, fetched_at AS touched FROM h WHERE status IN (200, 304)),
+a AS (SELECT q.id, q.url, q.at, w.etag, w.last_modified, w.content_hash FROM q ASOF LEFT JOIN w ON q.url = w.url AND q.at >= w.fetched_at),
+b AS (SELECT a.*, CASE WHEN content_hash IS NOT NULL THEN a.at - touched END AS age FROM a ASOF LEFT JOIN t ON a.url = t.url AND a.at >= t.touched)
+SELECT id, url, CASE WHEN content_hash IS NULL THEN 'miss' WHEN age < 20000 THEN 'hit' WHEN coalesce(etag, last_modified) IS NOT NULL THEN 'revalidate' ELSE 'refetch' END AS answer, etag, last_modified, content_hash, round(age, 3) AS age FROM b""")
+def cache_lookups(spark, sf):
+    """What requests made of the events are answered from a history made of the others."""
+    table(spark, sf, "events").createOrReplaceTempView("events_of_cache")
+    own = {"epoch": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) / 1000000", "events": "events_of_cache"}
+    found = H.lookups(spark.sql(HISTORY.format(**own)), spark.sql(REQUESTS.format(**own)), ttl=20_000, span=40_000)
+    return found.select("id", "url", "answer", "etag", "last_modified", "content_hash", F.round("age", 3).alias("age"))
