@@ -104,6 +104,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: Columns that occurrences adds.
+FOUND = ("n_words", "hit_spans", "hit_items", "hit_whole")
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_windows: int = 250_000, short_items: bool = True) -> DataFrame:
     """docs with columns more: n_words, hit_spans (array of [start, end) word spans, merged), hit_items (sorted item ids), hit_whole (those of them with a hit of `window` words).
 
@@ -113,7 +117,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_wi
     once. Columns of docs with the names of the new ones are replaced. Nothing is
     shuffled: each block of benchmark windows is broadcast and takes one pass over the texts.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items", "hit_whole")]
+    names = [c for c in docs.columns if c.lower() not in FOUND]
     none = F.expr("cast(array() as array<string>)")
     rows = docs.select(names).withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.expr("cast(array() as array<struct<start: long, end: long>>)"), "hit_items": none, "hit_whole": none})
     for k, block in enumerate([None, *pattern_blocks(benchmark, window, block_windows, short_items)][1:] or [[]]):
@@ -157,7 +161,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int =
     One item of a few words may stand in a clean document by chance, a passage of eight does not. Each row is judged by its text alone, so rows
     that repeat an id may fare differently; null and empty texts stay, and an empty table gives no rows.
     """
-    return occurrences(docs, benchmark).where((F.size("hit_items") < max(least_items, LEAST_ITEMS)) & (F.size("hit_whole") < least_items)).select(docs.columns)
+    used = {c.lower() for c in docs.columns}
+    kept_as = {c: "_" * (1 + max(map(len, used))) + c for c in docs.columns if c.lower() in FOUND}  # a name that no column has
+    found = occurrences(docs.withColumnsRenamed(kept_as), benchmark).where((F.size("hit_items") < max(least_items, LEAST_ITEMS)) & (F.size("hit_whole") < least_items))
+    return found.select(*(F.col(kept_as.get(c, c)).alias(c) for c in docs.columns))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import checkpointed, read_table, small_or_not
 
 WORD = re.compile(r"[^\W\d_]+")
 CACHE, SMOOTHING = 300_000, 0.1
@@ -138,9 +138,9 @@ def fit(rows: list[tuple[str, str]], pieces: dict[str, int], rounds: int = 2) ->
 
 def training_rows(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
     """About per_language texts of each language (all, if it has fewer), chosen by a hash of their id, from documents outside the held-out quarter."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    share = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    chosen = known.join(F.broadcast(share), "lang").where(F.crc32(F.concat(F.lit("train"), F.col("doc_id").cast("string"))) < F.col("share") * F.lit(float(1 << 32)))
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    share = checkpointed(known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share")))
+    chosen = known.join(small_or_not(share), "lang").where(F.crc32(F.concat(F.lit("train"), F.col("doc_id").cast("string"))) < F.col("share") * F.lit(float(1 << 32)))
     return sorted((r.text, r.lang) for r in chosen.select("text", "lang").collect())
 
 

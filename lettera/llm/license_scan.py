@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -60,7 +61,7 @@ NEEDED |= {"LGPL-2.0": ("library general public license", "version 2"), "Apache-
 NEEDED |= {n: (f"cc {n[3:-4].replace('-', ' ').lower()} 4 0",) for n, _ in TEMPLATES if n.startswith("CC-BY")}
 BARRED = {"GPL-3.0": ("remote network interaction",), "BSD-2-Clause": ("neither the name",)}
 GRAM, WINDOW = 3, 2
-#: Templates of more words are aligned only where this share of their fingerprints is found near a diagonal.
+#: Templates of more words are aligned at the diagonals of most hits first. A template is aligned only where as many of its fingerprints as this share of its words, each counted once, are found near a diagonal.
 LONG, LEAST_HITS = 400, 0.05
 WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 
@@ -146,6 +147,23 @@ def may_be(name: str, words: list[bytes]) -> bool:
     return all(map(has, NEEDED.get(name, ()))) and not any(map(has, BARRED.get(name, ())))
 
 
+def fingerprints_near(pairs: list[tuple[int, int]], band: int) -> list[tuple[int, int]]:
+    """For each diagonal in order, how many fingerprints of the template are found within the band, by one window over pairs of (diagonal, fingerprint)."""
+    pairs.sort()
+    held, low, high, out = Counter(), 0, 0, []
+    for d in dict.fromkeys(d for d, _ in pairs):
+        while high < len(pairs) and pairs[high][0] <= d + band:
+            held[pairs[high][1]] += 1
+            high += 1
+        while pairs[low][0] < d - band:
+            held[pairs[low][1]] -= 1
+            if not held[pairs[low][1]]:
+                del held[pairs[low][1]]
+            low += 1
+        out.append((d, len(held)))
+    return out
+
+
 def scan_text(text: str | None, ready: list, index: dict, keys: np.ndarray, least: float) -> list[dict]:
     """Matches in page order; where spans overlap, the one with most words matched less edits stays."""
     words = words_of(text)
@@ -156,28 +174,32 @@ def scan_text(text: str | None, ready: list, index: dict, keys: np.ndarray, leas
     hits = np.flatnonzero(keys[place] == g)
     if not len(hits):
         return []
-    starts: dict[int, Counter] = defaultdict(Counter)
+    starts: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for i in hits.tolist():
         for t, at in index[int(g[i])]:
-            starts[t][i - at] += 1
+            starts[t].append((i - at, at))
     found = []
-    for t, diagonals in starts.items():
+    for t, pairs in starts.items():
         name, kind, template = ready[t]
         if len(words) < least * len(template):
             continue
         band, done = max(3, len(template) // 8), []
         long = len(template) > LONG
-        for at in sorted(diagonals, key=lambda d: (-diagonals[d], d)) if long else sorted(diagonals):
-            if any(abs(at - d) <= band for d in (done if long else done[-1:])):  # within the band of one before
-                continue
-            if long and sum(n for d, n in diagonals.items() if abs(at - d) <= band) < LEAST_HITS * len(template):
+        near, diagonals = fingerprints_near(pairs, band), Counter(d for d, _ in pairs)
+        enough = [d for d, n in near if n >= LEAST_HITS * len(template)]
+        for at in sorted(enough, key=lambda d: (-diagonals[d], d)) if long else enough:
+            k = bisect_left(done, at - band)
+            if k < len(done) and done[k] <= at + band:  # within the band of one before
                 continue
-            done.append(at)
+            insort(done, at)
             if (a := align(template, words, at, band)) and a[0] / len(template) >= least and may_be(name, words[a[2] : a[3]]):
                 found.append((a[0] - a[1], a[0] / len(template), a[2], a[3], name, kind))
     taken: list[tuple] = []
+    spans: list[tuple[int, int]] = []  # in order, none over another
     for x in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[4], x[5])):
-        if all(x[3] <= y[2] or x[2] >= y[3] for y in taken):
+        k = bisect_left(spans, (x[2], x[3]))
+        if (k == 0 or spans[k - 1][1] <= x[2]) and (k == len(spans) or x[3] <= spans[k][0]):
+            spans.insert(k, (x[2], x[3]))
             taken.append(x)
     where = [m.span() for m in WORD.finditer(text)] if taken else []
     return [{"license": n, "kind": k, "coverage": c, "start": where[a][0], "end": where[b - 1][1]} for _, c, a, b, n, k in sorted(taken, key=lambda x: x[2])]
