@@ -19,6 +19,7 @@ from lettera.operators import documents as D
 from lettera.operators import frontier as R
 from lettera.operators import index as I
 from lettera.operators import search as S
+from lettera.operators import snippets as W
 from lettera.operators import store as K
 from lettera.operators import stored
 from lettera.operators import urls as U
@@ -117,6 +118,14 @@ def search_phrases(spark, sf):
     return ranked(text_index(spark, sf), PHRASES, 30)
 
 
+@query()
+def search_snippets(spark, sf):
+    """Hits with their snippets; tested against all windows of a text."""
+    hits = ranked(text_index(spark, sf), PHRASES, 30)
+    found = table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(hits), "doc_id")  # at most 30 rows
+    return W.with_snippets(found, [p for g in PHRASES for p in g], "text").select("doc_id", "score", "snippet")
+
+
 FIELDS = ("title", "text_raw", "text_modern", "text_fold", "text_stem")
 FIELDS_SQL = rf"""(SELECT doc_id, title, text AS text_raw, lower(text) AS text_modern, strip_accents(lower(text)) AS text_fold,
 array_to_string(list_transform(regexp_extract_all(text, '\p{{L}}+'), lambda w: regexp_replace(strip_accents(lower(w)), '^(.{{3,}}?)({N.SUFFIX})$', '\1')), ' ') AS text_stem FROM (SELECT doc_id, text, substr(text, 1, 60) AS title FROM documents))"""
