@@ -20,6 +20,7 @@ from lettera.operators import frontier as R
 from lettera.operators import index as I
 from lettera.operators import search as S
 from lettera.operators import snippets as W
+from lettera.operators import spellings as Y
 from lettera.operators import store as K
 from lettera.operators import stored
 from lettera.operators import urls as U
@@ -126,6 +127,37 @@ def search_snippets(spark, sf):
     return W.with_snippets(found, [p for g in PHRASES for p in g], "text").select("doc_id", "score", "snippet")
 
 
+#: Words with the old spellings that they may have, as the index has them.
+OLD_WORDS = {"šen": "(sch|sh)en|sen", "dē": "d(eh|e)", "hēr": "(h|ch)(eh|e)r", "die": "d(ee|ie)", "tā": "t(ah|a)", "hāt": "(h|ch)(ah|a)t"}
+OLD_ALL = ("šen", "die")
+
+
+def old_search_sql(words: tuple[str, ...]) -> str:
+    counts = ", ".join(f"len(list_filter(t, lambda x: regexp_full_match(x, '{OLD_WORDS[w]}'))) AS f{k}" for k, w in enumerate(words))
+    held = ", ".join(f"count(*) FILTER (f{k} > 0) AS n{k}" for k in range(len(words)))
+    score = " - ".join(f"greatest(ln((n - n{k} + 0.5::DOUBLE) / (n{k} + 0.5::DOUBLE)), 1e-6::DOUBLE) * f{k} * 2.2::DOUBLE / (f{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / mean))" for k in range(len(words)))
+    return f"""WITH w AS (SELECT doc_id, {TOKENS} AS t FROM documents), c AS (SELECT doc_id, len(t) AS d, {counts} FROM w), s AS (SELECT count(*) AS n, avg(d) AS mean, {held} FROM c)
+SELECT doc_id, round(CAST(-{score} AS DOUBLE), 6) + 0 AS score FROM c, s WHERE {" AND ".join(f"f{k} > 0" for k in range(len(words)))}"""
+
+
+def text_vocabulary(spark, sf) -> Y.Vocabulary:
+    return stored.once(spark, "vocabulary-text", sf, lambda at: Y.write_vocabulary(text_index(spark, sf), at))
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), t AS (SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS times FROM w GROUP BY term), p(word, pattern) AS (VALUES {", ".join(f"('{w}', '{p}')" for w, p in OLD_WORDS.items())})
+SELECT word, term, documents, times FROM t JOIN p ON regexp_full_match(term, pattern)""")
+def spellings_reached(spark, sf):
+    """The terms that words reach in all their old spellings."""
+    return Y.reached(text_vocabulary(spark, sf), list(OLD_WORDS), inflect=False, places=False)
+
+
+@query(old_search_sql(OLD_ALL))
+def search_old_spellings(spark, sf):
+    """Documents that hold every word in some old spelling."""
+    found = Y.search(text_vocabulary(spark, sf), OLD_ALL, None, inflect=False, places=False)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 FIELDS = ("title", "text_raw", "text_modern", "text_fold", "text_stem")
 FIELDS_SQL = rf"""(SELECT doc_id, title, text AS text_raw, lower(text) AS text_modern, strip_accents(lower(text)) AS text_fold,
 array_to_string(list_transform(regexp_extract_all(text, '\p{{L}}+'), lambda w: regexp_replace(strip_accents(lower(w)), '^(.{{3,}}?)({N.SUFFIX})$', '\1')), ' ') AS text_stem FROM (SELECT doc_id, text, substr(text, 1, 60) AS title FROM documents))"""
