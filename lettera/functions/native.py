@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .constants import CHARACTER_FIXES, CORE, GERMANISMS, MODERN_MARK, OLD_MARKS, PALATALS, STOPWORDS, SUFFIXES
+from .constants import ABBREVIATIONS, CHARACTER_FIXES, CORE, GERMANISMS, MODERN_MARK, OLD_MARKS, PALATALS, STOPWORDS, SUFFIXES
 
 def plain_letters() -> tuple[str, str]:
     """All lower-case letters that Unicode decomposes into one letter and marks, with that letter; then the marks, which go. Hangul, which decomposes into letters, is left."""
@@ -56,6 +56,35 @@ def clean_ocr(c: Column) -> Column:
     return c
 
 
+#: Blanks of any script, and the end of a sentence with them.
+BLANK = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+SENTENCE_END = f"(?<=[.!?]){BLANK}+"
+
+
+def bound(c: Column, use) -> Column:
+    """use(c), an array, with c worked out once however often use has it."""
+    return F.flatten(F.transform(F.array(c), use))
+
+
+def sentences(c: Column) -> Column:
+    """Sentences of a text (in NFC; null: none), cleaned. A part that ends in an abbreviation or in a number of up to four digits belongs to what is before it and to what is after it.
+
+    Whether two parts belong together is seen from their ends alone, so the parts are looked at once, and time and memory are in proportion to the text.
+    """
+    trimmed = F.transform(F.split(clean_ocr(c), SENTENCE_END), lambda p: F.regexp_replace(p, f"^{BLANK}+|(?<!{BLANK}){BLANK}+$", ""))
+
+    def binds(p: Column) -> Column:
+        last = F.lower(F.regexp_replace(p, f"(?s)^.*{BLANK}", ""))
+        return last.isin(*ABBREVIATIONS) | last.rlike(r"^\p{Nd}{1,4}\.\z")
+
+    def join(parts: Column, binding: Column) -> Column:
+        begins = F.filter(F.transform(binding, lambda b, i: F.when((i == 0) | ~(b | F.get(binding, i - 1)), i)), lambda i: i.isNotNull())
+        whole = lambda begin: F.transform(begin, lambda s, k: F.array_join(F.slice(parts, s + 1, F.coalesce(F.get(begin, k + 1), F.size(parts)) - s), " "))
+        return bound(begins, whole)
+
+    return bound(F.filter(trimmed, lambda p: p != ""), lambda parts: bound(F.transform(parts, binds), lambda binding: join(parts, binding)))
+
+
 def spelling_rules(c: Column) -> Column:
     """Core, germanism and palatal rules of a lower-case word."""
     return reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), [*CORE, *GERMANISMS, *PALATALS], c)
