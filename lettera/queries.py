@@ -11,6 +11,7 @@ from lettera.functions import native as N
 from lettera.functions import udfs
 from lettera.functions.constants import ABBREVIATIONS, CHARACTER_FIXES, CORE, GERMANISMS, OLD_MARKS, PALATALS, STOPWORDS
 from lettera.functions.text import PLACE_OF
+from lettera.operators import answers as V
 from lettera.operators import articles as A
 from lettera.operators import cache as H
 from lettera.operators import correction as C
@@ -403,6 +404,37 @@ def url_templates(spark, sf):
     return U.templates(urls, issue_id=F.col("issue"))
 
 
+#: Answers of sites' searches, made of the pages: JSON with hits at several levels, one of them too deep, and one that has no URL.
+ANSWERS = """SELECT page_id AS id, trim(url) AS url, '{"hits":[{"n":0},[{"data":{"Label":"L","href":"http://o/x' || CAST(page_id % 12 AS STRING) || '","more":{"heading":"","id":"/article/a' || CAST(page_id % 30 AS STRING) || '"},"snippet":"' || repeat('s', CAST(page_id % 500 AS INT)) || '"}}]],"other":{"deep":[[[[[{"id":1,"name":"too deep"}]]]]],"identifier":"/issue/i' || CAST(page_id % 40 AS STRING) || '?page=' || CAST(page_id % 7 AS STRING) || '","text":"' || trim(url) || '"},"z":{"title":true,"url":0}}' AS text FROM {pages}"""
+ANSWER_SITE = D.Site(issue=(r"/issue/(\w+)",), article=(r"/article/(\w+)",), page=(r"page=(\d+)",))
+ANSWERS_SQL = rf"""SELECT a.id, row_number() OVER (PARTITION BY a.id ORDER BY t.id) - 1 AS pos, a.url AS base, t.value AS v, coalesce(nullif(v->>'url', '0'), v->>'href', v->>'id', '') AS u,
+CASE WHEN u LIKE '/%' THEN regexp_extract(a.url, '^https?://[^/?#]*') || u ELSE u END AS url, coalesce(CASE v->>'title' WHEN 'true' THEN 'True' ELSE v->>'title' END, v->>'label', v->>'name', '') AS title, substr(coalesce(v->>'snippet', v->>'text', ''), 1, 400) AS snippet,
+CASE WHEN u = '' THEN CAST(v AS VARCHAR) ELSE CASE WHEN u LIKE '/%' THEN regexp_extract(a.url, '^https?://[^/?#]*') || u ELSE u END END AS i,
+regexp_extract(i, '/issue/(\w+)', 1) AS issue_id, regexp_extract(i, '/article/(\w+)', 1) AS article_id, TRY_CAST(nullif(regexp_extract(i, 'page=(\d+)', 1), '') AS INTEGER) AS page
+FROM ({ANSWERS.replace("{pages}", "pages").replace("STRING", "VARCHAR")}) a, json_tree(a.text) t WHERE t.type = 'OBJECT' AND len(regexp_replace(t.fullkey, '[^.\[]', '', 'g')) <= 6
+AND list_has_any(list_transform(json_keys(t.value), lambda k: lower(k)), ['url', 'href', 'id', 'identifier']) AND list_has_any(list_transform(json_keys(t.value), lambda k: lower(k)), ['title', 'label', 'name', 'snippet', 'text', 'heading'])"""
+
+
+def answered(spark, sf) -> DataFrame:
+    table(spark, sf, "pages").createOrReplaceTempView("pages_of_answers")
+    return V.hits(spark.sql(ANSWERS.replace("{pages}", "pages_of_answers")), ANSWER_SITE)
+
+
+@query(f"SELECT id, CAST(pos AS INTEGER) AS pos, url, title, snippet, issue_id, article_id, page FROM ({ANSWERS_SQL})")
+def answer_hits(spark, sf):
+    """Hits of JSON answers, from their trees."""
+    return answered(spark, sf)
+
+
+@query(f"""WITH h AS (SELECT id % 9 AS query, id // 9 AS turn, *, coalesce(nullif(url, ''), issue_id || article_id) AS k FROM ({ANSWERS_SQL})),
+f AS (SELECT * FROM h WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY query, k ORDER BY turn, pos) = 1)
+SELECT 'q' || query AS query, CAST(row_number() OVER (PARTITION BY query ORDER BY turn, pos) AS INTEGER) AS rank, 'm' || turn AS matched_query, url, title, snippet, issue_id, article_id, page FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY turn, pos) <= 25""")
+def answers_merged(spark, sf):
+    """The answers as those to the variants of nine queries: the first 25 hits of each query, first come first kept."""
+    asked = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("q"), F.col("page_id") % 9).alias("query"), F.floor(F.col("page_id") / 9).alias("turn"), F.concat(F.lit("m"), F.floor(F.col("page_id") / 9)).alias("matched_query"))
+    return V.merged(answered(spark, sf), asked)
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark, sf):
     e = K.with_metadata(table(spark, sf, "events").withColumnRenamed("props", "metadata"))
