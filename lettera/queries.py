@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lettera import made_pages as M
 from lettera.functions import native as N
 from lettera.functions import udfs
 from lettera.functions.constants import ABBREVIATIONS, CHARACTER_FIXES, CORE, GERMANISMS, OLD_MARKS, PALATALS, STOPWORDS
@@ -350,6 +351,42 @@ def documents_of_resources(spark, sf):
     return D.documents(resources, site).select("url", "id", "kind", "source_type", "issue_id", "page_number")
 
 
+def as_blocks(resources: DataFrame, fmt: str) -> DataFrame:
+    got = X.page_blocks(resources, fmt)
+    return got.select("source_url", "page_number", "page_width", "pos", "block_id", "type", "hpos", "vpos", "width", "height", "text", F.round("confidence", 6).alias("confidence"))
+
+
+@query(M.expected("NOT bare", "p || ' ' || s || chr(10) || 'whole &é'", "((c / 100.0::DOUBLE + 0.5) / 2 + 0.75) / 2"))
+def alto_blocks(spark, sf):
+    """Blocks of ALTO pages."""
+    return as_blocks(M.alto(spark, sf), "alto")
+
+
+@query(M.expected("region OR NOT bare", "CASE WHEN bare THEN 'region ' || s ELSE p || ' ' || s || chr(10) || 'whole &é' END", "CASE WHEN NOT bare THEN (c / 100.0::DOUBLE + 0.75) / 2 END"))
+def page_xml_blocks(spark, sf):
+    """Regions of PAGE files."""
+    return as_blocks(M.page_xml(spark, sf), "page")
+
+
+@query(
+    M.expected("NOT bare AND o % 10 <> 0", "p || ' ' || s || chr(10) || 'whole'", "((c / 100.0::DOUBLE + 0.5) / 2 + 0.75) / 2", type="''")
+    + " UNION ALL "
+    + M.expected("NOT bare AND o % 10 = 0", "text", "CAST(NULL AS DOUBLE)", number="0", page="0", id="'line' || i", type="''", x="0", y="0", w="0", h="0").replace(f"FROM ({M.SQL})", f"FROM (SELECT o, 2 * i - 1 + k AS i, bare, CASE k WHEN 0 THEN p || ' ' || s ELSE 'whole' END AS text FROM ({M.SQL}), (VALUES (0), (1)) v(k))")
+)
+def hocr_blocks(spark, sf):
+    """Lines of hOCR pages by their blocks; those of pages that are no XML are blocks of their own."""
+    return as_blocks(M.hocr(spark, sf), "hocr")
+
+
+@query(M.ISSUES_SQL)
+def issue_articles(spark, sf):
+    """Issues and their ALTO pages to documents: the articles of the issues."""
+    number = "CASE WHEN o % 2 = 0 THEN 0 ELSE o % 50 END"
+    resources = M.issues(spark, sf).unionByName(M.alto(spark, sf, number).drop("o"))
+    made = D.documents(resources).where("source_type = 'mets+alto'")
+    return made.select("url", "article_id", "title", "publication", "date", "kind", "source_type", F.sha2("text_raw", 256).alias("text_sha256"), "page_number", F.round("ocr_confidence", 6).alias("confidence"))
+
+
 @query()
 def page_parse(spark, sf):
     return X.html_rows(table(spark, sf, "pages"))
