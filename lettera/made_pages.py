@@ -50,6 +50,13 @@ def hocr(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf, block, printed("<html><body><div class='ocr_page' title='bbox 0 0 1000 900; ppageno %d'>", "o % 50"), "</div></body></html>")
 
 
+def tei(spark: SparkSession, sf: str) -> DataFrame:
+    """A volume of sections, of which only what holds no other is an article; bare blocks say nothing, and their articles are none."""
+    inner = F.when(F.col("bare"), "").otherwise(printed("<head> Head\n %d</head><p>%s  %s</p><note>no</note><list><item>whole &amp;<hi>é</hi></item></list>", "i", "p", "s"))
+    block = printed("<div type='section'><div xml:id='a%d' type='T%d'>%s</div></div>", "i", "i % 3", inner)
+    return pages(spark, sf, block, printed("<TEI xmlns='http://www.tei-c.org/ns/1.0'><teiHeader><title>Paper %d</title></teiHeader><text><body><div type='volume'>", "o"), "</div></body></text></TEI>")
+
+
 def expected(kept: str, text: str, confidence: str, **columns: str) -> str:
     """The blocks of all pages, as SQL over the orders."""
     c = {"number": "o % 50", "page": "1000", "id": "'b' || i", "type": "'T' || (i % 3)", "x": "x", "y": "y", "w": "w", "h": "9"} | columns

@@ -378,6 +378,13 @@ def hocr_blocks(spark, sf):
     return as_blocks(M.hocr(spark, sf), "hocr")
 
 
+@query(f"""SELECT 'http://p/' || o AS source_url, CAST(row_number() OVER (PARTITION BY o ORDER BY i) - 1 AS INTEGER) AS pos, 'a' || i AS article_id, 'T' || (i % 3) AS type, 'Head ' || i AS title, p || ' ' || s || chr(10) || chr(10) || 'whole &é' AS text FROM ({M.SQL}) WHERE NOT bare
+UNION ALL SELECT 'http://p/' || o, 0, 'tei1', '', '', '' FROM ({M.SQL}) GROUP BY o HAVING bool_and(bare)""")
+def tei_articles(spark, sf):
+    """Articles of TEI volumes; a volume without any is one, of the text of its body."""
+    return X.tei_articles(M.tei(spark, sf))
+
+
 @query(M.ISSUES_SQL)
 def issue_articles(spark, sf):
     """Issues and their ALTO pages to documents: the articles of the issues."""
