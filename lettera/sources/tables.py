@@ -3,29 +3,44 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from lettera.functions.batches import in_small_batches
 
 from . import parsers as P
 
 BLOCKS = "source_url string, page_id string, page_number int, page_width int, pos int, block_id string, parent_id string, type string, hpos int, vpos int, width int, height int, text string, confidence double"
+#: Parsed rows that a batch has.
+ROWS = 5000
+
+
+def in_columns(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(fields), fields)], schema=fields)
 
 
 def parse_rows(resources: DataFrame, parse, schema: str) -> DataFrame:
-    """parse(url, bytes) -> rows; a resource that cannot be parsed gives none."""
-    names = [f.strip().split()[0] for f in schema.split(", ")]
+    """parse(url, bytes) -> rows; a resource that cannot be parsed gives none. Rows go on some thousands at a time, however many a batch of resources gives."""
+    fields = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
             for url, body in zip(b["url"], b["body"]):
                 try:
-                    rows += parse(url, bytes(body or b""))
+                    rows += parse(url.as_py(), body.as_py() or b"")
                 except (ValueError, SyntaxError, KeyError):  # XML errors are SyntaxErrors
                     continue
-            yield pd.DataFrame(rows, columns=names)
+                if len(rows) >= ROWS:
+                    yield in_columns(rows, fields)
+                    rows = []
+            yield in_columns(rows, fields)
 
-    return resources.select("url", "body").mapInPandas(run, schema)
+    in_small_batches(resources.sparkSession)
+    return resources.select("url", "body").mapInArrow(run, schema)
 
 
 def with_format(resources: DataFrame) -> DataFrame:
@@ -42,7 +57,7 @@ def with_format(resources: DataFrame) -> DataFrame:
 
 def page_blocks(resources: DataFrame, fmt: str = "alto") -> DataFrame:
     def rows(url, body):
-        page = {"alto": P.parse_alto, "page": P.parse_page_xml, "hocr": P.parse_hocr}[fmt](body)
+        page = {"alto": P.parse_alto, "page": P.parse_page_xml, "hocr": P.parse_hocr}[fmt](body, strings=False)
         return [(url, page["id"], page["number"], page["width"], i, b["id"], b["parent"], b["type"], b["hpos"], b["vpos"], b["width"], b["height"], b["text"], b["confidence"]) for i, b in enumerate(page["blocks"])]
 
     return parse_rows(resources, rows, BLOCKS)
