@@ -10,16 +10,19 @@ import hashlib
 import json
 import re
 from dataclasses import dataclass
-from statistics import fmean
+from math import fsum
 from urllib.parse import unquote, urljoin
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from lettera.functions import text as T
+from lettera.functions.batches import in_small_batches
 from lettera.sources import parsers as P
-from lettera.sources.tables import parse_rows, with_format
+from lettera.sources.tables import in_columns as to_batch
+from lettera.sources.tables import with_format
 
 from .store import DOCUMENT
 
@@ -127,7 +130,7 @@ def assemble_issue(mets: dict, pages: dict[str, dict], types: tuple[str, ...] =
                 numbers |= {page["number"] or order.get(a["file_id"], 0)} - {0}
         if blocks:
             known = [b["confidence"] for b in blocks if b["confidence"] is not None]
-            out.append({"id": d["div_id"] or f"div{len(out) + 1}", "title": d["label"].strip(), "type": d["type"] or "ARTICLE", "text": "\n\n".join(b["text"] for b in blocks), "pages": sorted(numbers), "blocks": len(blocks), "confidence": fmean(known) if known else None})
+            out.append({"id": d["div_id"] or f"div{len(out) + 1}", "title": d["label"].strip(), "type": d["type"] or "ARTICLE", "text": "\n\n".join(b["text"] for b in blocks), "pages": sorted(numbers), "blocks": len(blocks), "confidence": fsum(known) / len(known) if known else None})
     if out:
         return out
     texts = {f: "\n\n".join(b["text"] for b in in_columns(p) if b["text"].strip()) for f, p in pages.items()}
@@ -139,7 +142,7 @@ def from_response(url: str, body: bytes, content_type: str = "", site: Site = Si
     kind, ids = P.sniff(body, content_type), site.ids(url)
     issue, no = ids["issue_id"], int(ids["page"]) if ids["page"].isdigit() else None
     if kind in PAGES:
-        page = PAGES[kind](body)
+        page = PAGES[kind](body, strings=False)
         text = "\n\n".join(b["text"] for b in in_columns(page) if b["text"].strip())
         meta = {"alto_page_id": page["id"], "blocks": len(page["blocks"])}
         return [build(url, "page", kind, text, site, issue, page=page["number"] or no, language=page["language"], confidence=page["confidence"], metadata=meta)] if text.strip() else [], []
@@ -169,7 +172,7 @@ def from_mets(url: str, mets: dict, site: Site, issue: str, linked: dict[str, by
     for f in files:
         if f["file_id"] in linked:
             try:
-                pages[f["file_id"]] = P.parse_alto(linked[f["file_id"]])
+                pages[f["file_id"]] = P.parse_alto(linked[f["file_id"]], strings=False)
             except (ValueError, SyntaxError):
                 continue  # a broken page leaves the others
     issue, date = issue or meta.get("identifier", ""), guess_date(meta.get("date", ""), url)
@@ -183,32 +186,72 @@ def from_mets(url: str, mets: dict, site: Site, issue: str, linked: dict[str, by
     return out, [urljoin(url, f["href"]) for f in files]
 
 
-def documents(resources: DataFrame, site: Site = Site()) -> DataFrame:
-    """Documents (DOCUMENT) of resources (url, body, content_type). An ALTO page that an issue names is read with the issue, and as a page too.
+#: Documents that a batch has.
+ROWS = 500
 
-    A resource that cannot be parsed gives none, nor does one with a null url; a null body is empty. An issue's address must be its own.
-    """
-    kinds = with_format(resources.where("url is not null"))
 
-    def some(rows) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=COLUMNS).astype({"page_number": "Int32"})
+def read(url: str, body: bytes | None, kind: str | None, site: Site, linked: dict[str, bytes] | None = None) -> list[dict]:
+    """The documents of a resource; of one that cannot be parsed, none."""
+    try:
+        return from_response(url, body or b"", kind or "", site, linked)[0]
+    except (ValueError, SyntaxError):
+        return []
+
+
+def made(resources: DataFrame, site: Site) -> DataFrame:
+    """Documents (DOCUMENT) of resources (url, body, content_type, and of METS issues linked, an array of (file_id, page)), some hundreds at a time."""
+    fields = to_arrow_schema(_parse_datatype_string(DOCUMENT))
+
+    def run(batches):
+        for b in batches:
+            found: list[tuple] = []
+            linked = b["linked"] if "linked" in b.schema.names else [None] * b.num_rows
+            for url, body, kind, pages in zip(b["url"], b["body"], b["content_type"], linked):
+                of = pages and {p["file_id"]: p["page"] for p in pages.as_py() or ()}
+                found += [tuple(map(d.__getitem__, COLUMNS)) for d in read(url.as_py(), body.as_py(), kind.as_py(), site, of)]
+                if len(found) >= ROWS:
+                    yield to_batch(found, fields)
+                    found = []
+            yield to_batch(found, fields)
+
+    in_small_batches(resources.sparkSession)
+    return resources.mapInArrow(run, DOCUMENT)
+
 
-    def read(url, body, kind, linked=None):
-        try:
-            return from_response(url, bytes(body or b""), kind or "", site, linked)[0]
-        except (ValueError, SyntaxError):
-            return []
+def issue_documents(resources: DataFrame, site: Site = Site()) -> DataFrame:
+    """Documents of the METS issues among the resources, with the ALTO pages that they name.
 
-    def single(batches):
+    An issue is read once for the files it names: a row for each, of which the first has the issue itself, meets the file's
+    resource by its address, and the rows of an issue come together again.
+    """
+    issues = with_format(resources.where("url is not null")).where("format = 'mets'").select("url", "body", "content_type")
+    fields = to_arrow_schema(_parse_datatype_string("url string, own binary, body binary, content_type string, file_id string, href string"))
+
+    def named(batches):
         for b in batches:
-            yield some([d for u, x, k in zip(b["url"], b["body"], b["content_type"]) for d in read(u, x, k)])
+            rows = []
+            for url, body, kind in zip(b["url"].to_pylist(), b["body"].to_pylist(), b["content_type"].to_pylist()):
+                try:
+                    files = [(f["file_id"], urljoin(url, f["href"])) for f in alto_files(P.parse_mets(body or b""))]
+                except (ValueError, SyntaxError):
+                    continue  # read would give nothing of it
+                own = hashlib.sha1((body or b"") + (kind or "").encode()).digest()  # issues of one address stay apart
+                rows += [(url, own, None if k else body or b"", None if k else kind, f, h) for k, (f, h) in enumerate(files or [(None, None)])]
+            yield to_batch(rows, fields)
+
+    in_small_batches(resources.sparkSession)
+    files = issues.mapInArrow(named, "url string, own binary, body binary, content_type string, file_id string, href string")
+    bodies = resources.where("url is not null").select(F.col("url").alias("at"), F.coalesce("body", F.lit(b"")).alias("page"))
+    met = files.join(bodies, F.col("href") == F.col("at"), "left")
+    page = F.when(F.col("page").isNotNull(), F.struct("file_id", "page"))
+    whole = met.groupBy("url", "own").agg(F.max("body").alias("body"), F.max("content_type").alias("content_type"), F.collect_list(page).alias("linked"))
+    return made(whole.select("url", "body", "content_type", "linked"), site)
 
-    def issue(mets: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
-        linked = dict(zip(pages["file_id"], map(bytes, pages["page"])))
-        return some([d for u, x, k in zip(mets["url"], mets["body"], mets["content_type"]) for d in read(u, x, k, linked)])
 
-    issues = kinds.where("format = 'mets'").select("url", "body", "content_type")
-    names = parse_rows(issues, lambda u, x: [(u, f["file_id"], urljoin(u, f["href"])) for f in alto_files(P.parse_mets(x))], "mets_url string, file_id string, href string")
-    pages = names.join(resources.select(F.col("url").alias("href"), F.coalesce("body", F.lit(b"")).alias("page")), "href").select("mets_url", "file_id", "page")
-    rest = kinds.where("format <> 'mets'").select("url", "body", "content_type").mapInPandas(single, DOCUMENT)
-    return rest.unionByName(issues.groupBy("url").cogroup(pages.groupBy("mets_url")).applyInPandas(issue, DOCUMENT))
+def documents(resources: DataFrame, site: Site = Site()) -> DataFrame:
+    """Documents (DOCUMENT) of resources (url, body, content_type). An ALTO page that an issue names is read with the issue, and as a page too.
+
+    A resource that cannot be parsed gives none, nor does one with a null url; a null body is empty. An issue's address must be its own.
+    """
+    single = with_format(resources.where("url is not null")).where("format <> 'mets'").select("url", "body", "content_type")
+    return made(single, site).unionByName(issue_documents(resources, site))
