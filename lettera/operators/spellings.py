@@ -37,11 +37,8 @@ class Vocabulary:
 
 
 def write_vocabulary(index: Index, to: str) -> Vocabulary:
-    """The terms of an index in order, in files of disjoint ranges. A term of very many postings is counted before anything is shuffled."""
-    terms = index.postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum("f").alias("times"))
-    counted = f"{to}/counted"
-    terms.write.parquet(counted)
-    kept = index.spark.read.schema("term string, documents long, times long").parquet(counted)
+    """The terms of an index in order, in files of disjoint ranges. The index has counted them."""
+    kept = index.terms.select("term", "documents", "times")
     files = 1 + kept.count() // FILE_TERMS
     kept.repartitionByRange(files, "term").sortWithinPartitions("term").write.parquet(f"{to}/terms")
     return Vocabulary(index, f"{to}/terms")
@@ -139,7 +136,7 @@ def search(vocabulary: Vocabulary, words: Sequence[str], limit: int | None = 20,
     if not words or {k for ks in classes.values() for k in ks} != set(range(len(words))):
         return none
     terms = index.spark.createDataFrame([(t, k) for t, ks in sorted(classes.items()) for k in ks], "term string, k int")
-    hits = index.of_terms(index.postings, list(classes)).select("term", "id", "f", "d").join(terms, "term")
+    hits = index.of_terms(index.postings, list(classes)).select("term", "id", "f", "d").join(F.broadcast(terms), "term")
     counts = hits.groupBy("id").agg(F.max("d").alias("d"), *(F.coalesce(F.sum(F.when(F.col("k") == k, F.col("f"))), F.lit(0)).alias(f"f{k}") for k in range(len(words))))
     n = counts.agg(*(F.count_if(F.col(f"f{k}") > 0) for k in range(len(words)))).first()
     mean = index.tokens / max(index.documents, 1)
