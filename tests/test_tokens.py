@@ -41,3 +41,17 @@ def test_postings_are_dealt_by_size_and_terms_are_counted_once(spark, tmp_path,
     assert terms.count() == 301 and index.tokens == 900
     plan = index.terms._jdf.queryExecution().executedPlan().toString()
     assert "positions" not in plan and "Exchange" not in plan
+
+
+def test_stems_of_a_text_are_those_of_its_words(spark):
+    r = random.Random(6)
+    words = ["Rīgas", "iem", "skolas", "tautas", "ĶĒNIŅIEM", "as", "abas", "abcusies", "ΑΣ", "İas", "x", "tas", "grāmatas", "éas", "á"]
+    texts = [*ODD, None, *("".join(r.choice(words) + r.choice((" ", ", ", "\n", "-", "1", "'")) for _ in range(r.randint(1, 30))) for _ in range(300))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(N.stems(F.col("t")).alias("got"), F.array_join(F.transform(N.words(F.col("t")), N.stem), " ").alias("want"))
+    assert all(x.got == x.want for x in rows.collect()) and rows.where("got <> ''").count() > 300
+    # the index of fields asks for their sizes without making them
+    from lettera import queries as Q
+
+    fields = Q.with_fields(spark, "/root/testdata/sf0.001")
+    plan = fields.agg(F.sum(F.expr(Q.FIELDS_SIZE)))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "translate" not in plan
