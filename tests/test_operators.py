@@ -153,3 +153,20 @@ def test_search_answers_in_json_and_html():
     deep = "[" * 6 + '{"id": 1, "title": "t"}' + "]" * 6
     assert len(P.json_hits(deep)) == 1 and P.json_hits(f"[{deep}]") == []
     assert [(h["url"], h["title"]) for h in P.html_hits("<a href='/i/1'>One <b>x</b></a>", "http://s/")] == [("http://s/i/1", "One x")]
+
+
+def against_sql(spark, folder, name: str, table: str, columns: str, rows: list[tuple]) -> tuple[list, list]:
+    """Rows of a query and of its SQL over a table of these rows."""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE {table} ({columns})")
+    con.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    con.execute(f"COPY {table} TO '{folder}/{table}.parquet'")
+    want = con.sql(Q.ORACLES[name])
+    got = Q.QUERIES[name](spark, str(folder)).select(want.columns).collect()
+    return sorted(map(tuple, got), key=repr), sorted(want.fetchall(), key=repr)
+
+
+def test_ids_of_documents_with_empty_parts(spark, tmp_path):
+    parts = [(t, lang, source) for t in ("a b", "", None, "é" * 70, "|") for lang in ("en", "", None) for source in ("s", "", None)]
+    got, want = against_sql(spark, tmp_path, "doc_id_hash", "documents", "doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR", [(i, *p) for i, p in enumerate(parts)])
+    assert got == want
