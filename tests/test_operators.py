@@ -170,3 +170,10 @@ def test_ids_of_documents_with_empty_parts(spark, tmp_path):
     parts = [(t, lang, source) for t in ("a b", "", None, "é" * 70, "|") for lang in ("en", "", None) for source in ("s", "", None)]
     got, want = against_sql(spark, tmp_path, "doc_id_hash", "documents", "doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR", [(i, *p) for i, p in enumerate(parts)])
     assert got == want
+
+
+def test_titles_with_references_cut_short(spark, tmp_path):
+    titles = ["a &amp", "a &amp; b", "&amp;lt; &lt;b&gt; &quot;", "R&D &#39;x&#39; &copy &eacute;", "&&amp;&&lt", "  x  ", ""]
+    pages = [(i, f"<html lang='lv'><head><title>{t}</title></head><body>&amp</body></html>") for i, t in enumerate(titles)]
+    got, want = against_sql(spark, tmp_path, "page_title_lang", "pages", "page_id BIGINT, url VARCHAR, html VARCHAR", [(i, "http://x/", h) for i, h in pages])
+    assert got == want
