@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,13 +49,20 @@ def parse_rows(resources: DataFrame, parse, schema: str) -> DataFrame:
 def with_format(resources: DataFrame) -> DataFrame:
     """resources (url, body, content_type) with the format that parsers.sniff gives, natively. A null body is empty."""
     head = F.lower(F.decode(F.coalesce(F.substring("body", 1, 4096), F.lit(b"")), "ISO-8859-1"))  # all marks are ASCII
-    kind, start = F.lower(F.coalesce("content_type", F.lit(""))), F.regexp_extract(F.substring(head, 1, 2048), "^[ \t-\r]*([^ \t-\r])", 1)
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
     html = F.startswith(kind, F.lit("text/html"))
-    found = F.when(html, "html").otherwise("xml")
-    for name, marks, n in reversed(P.FORMATS):
-        found = F.when(F.greatest(*(F.contains(F.substring(head, 1, n), F.lit(m)) for m in marks), F.lit(False)), name).otherwise(found)
     text = F.when(html, "html").when(F.startswith(kind, F.lit("text/")) | (kind == ""), "text").otherwise("binary")
-    return resources.withColumn("format", F.when(start == "<", found).when(start.isin("{", "["), "json").otherwise(text))
+
+    def sniffed(head):
+        start = F.regexp_extract(head["start"], "^[ \t-\r]*([^ \t-\r])", 1)
+        found = F.when(html, "html").otherwise("xml")
+        for name, marks, n in reversed(P.FORMATS):
+            found = F.when(reduce(or_, (F.contains(head["start" if n == 2048 else "all"], F.lit(m)) for m in marks)), name).otherwise(found)
+        return F.when(start == "<", found).when(start.isin("{", "["), "json").otherwise(text)
+
+    # lambda variables, so that the head is made once and not for each mark
+    cut = F.transform(F.array(head), lambda h: F.struct(F.substring(h, 1, 2048).alias("start"), h.alias("all")))
+    return resources.withColumn("format", F.get(F.transform(cut, sniffed), F.lit(0)))
 
 
 def page_blocks(resources: DataFrame, fmt: str = "alto") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from lettera.functions import text as T
 from lettera.functions.batches import BATCH, in_small_batches
+from lettera.operators import documents as D
 from lettera.operators.documents import documents, issue_documents
 from lettera.sources import parsers as P
 
@@ -68,3 +69,17 @@ def test_cleaning_as_by_the_plain_patterns():
     for t in ("a-\nb-\nc", " a \t b\n \n \n\n c ", "a=\n  \n b¬ \nc", "\t", "a  b", "a \n", "\x0b a-\r\nb"):
         assert T.clean_ocr(t) == plain(t)
     assert T.normalize_lv("Rihgas seme", T.Lexicon.of(["zeme"])) == "Rīgas zeme"
+
+
+def test_documents_of_some_columns_are_those_of_all(spark, monkeypatch):
+    """A text is analysed only for what is asked for and its source does not say."""
+    dated = METS.replace(b"</mods>", b"<dateIssued>1901-02-03</dateIssued></mods>") if b"</mods>" in METS else METS
+    rows = [("http://x/1901-02-03/mets.xml", dated), ("http://x/1901-02-03/p1.xml", PAGES["A1"]), ("http://x/1901-02-03/p2.xml", PAGES["A2"])]
+    table = spark.createDataFrame([(u, b, "") for u, b in rows], "url string, body binary, content_type string")
+    plain = lambda df: sorted(map(str, df.collect()))
+    for asked in (["url", "title", "text_raw", "date", "ocr_confidence"], ["id", "language"], ["url", "metadata"]):
+        assert plain(issue_documents(table, columns=asked).select(*asked)) == plain(issue_documents(table).select(*asked))
+    monkeypatch.setattr(D.T, "analyze_article", lambda text: 1 / 0)
+    mets, asked = P.parse_mets(dated), frozenset({"url", "title", "text_raw", "date"})
+    found = D.from_mets("http://x/1901-02-03/mets.xml", mets, D.Site(), "", PAGES, asked)
+    assert found and all(d["text_raw"] and d["date"] == "1901-02-03" for d in found)
