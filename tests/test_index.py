@@ -3,6 +3,7 @@ import re
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from lettera.operators import index as I
 from lettera.operators import search as S
@@ -74,3 +75,23 @@ def test_local_search_falls_back(spark, tmp_path):
     index = I.write_index(docs, str(tmp_path / "i"), "id", FIELDS)
     found = lambda q, **k: [r.id for r in S.local_search(docs, index, q, fallback=("title", "body", "body"), **k).collect()]
     assert found("laba") == [1] and found("liktas") == [2] and found("liktas", language="lv") == [] and found("") == [] and found("nothing") == []
+
+
+def test_fields_with_the_same_tokens_have_their_places_once(spark, tmp_path):
+    """Counts, phrases and scores are those of a scan, however alike the fields are."""
+    r = random.Random(4)
+    words = [[r.choice("aa bb cc dd".split()) for _ in range(r.choice((0, 1, 9, 60)))] for _ in range(80)]
+    rows = [(i, " ".join(w[:3]), " ".join(w), " ".join(w).upper(), " ".join(x if x != "cc" else "c" for x in w), " ".join(["dd", *w]) if i % 3 else None) for i, w in enumerate(words)]
+    fields = ["a", "b", "c", "d", "e"]
+    docs = spark.createDataFrame(rows, "id long, a string, b string, c string, d string, e string")
+    index = I.write_index(docs, str(tmp_path / "i"), "id", fields)
+    tokens = {i: [(f or "").lower().split() for f in fs] for i, *fs in rows}
+    got = index.postings.select("id", "term", "f", "d", "positions", I.plain_places(F.col("positions")).alias("plain")).collect()
+    want = {(i, t): sorted((k << 32) + p for k, f in enumerate(fs) for p, x in enumerate(f) if x == t) for i, fs in tokens.items() for t in set(sum(fs, []))}
+    assert {(r.id, r.term): sorted(r.plain) for r in got} == want
+    assert all(r.f == len(want[r.id, r.term]) and r.d == sum(map(len, tokens[r.id])) for r in got)
+    assert sum(len(r.positions) for r in got) < 0.5 * sum(map(len, want.values()))
+    scan = S.indexed(docs, "id", fields)
+    rounded = lambda df: [(r.id, round(r.score, 9)) for r in df.orderBy("score", "id").collect()]
+    for groups in ([[["aa", "bb"]], [["c"], ["dd", "aa", "bb"]]], [[["cc", "cc"]]], [[["c", "dd"], ["bb"]]]):
+        assert rounded(I.search(index, groups, None)) == rounded(S.search(scan, groups, None))
